@@ -1,0 +1 @@
+"""Reserved. Diagnosis is batch-only: a job is judged once its log is complete."""
