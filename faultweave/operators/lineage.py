@@ -82,41 +82,47 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
     layer comes off sit on or behind a cycle. `depth` counts peeled layers and is
     NULL for a cyclic graph.
     """
-    stages = cut_lineage(nodes.select("app_id", "stage_id", "parent_ids"))
-    edges = cut_lineage(lineage_edges(stages))
-    as_child = edges.select("app_id", F.col("child_stage_id").alias("stage_id"))
-    as_parent = edges.select("app_id", F.col("parent_stage_id").alias("stage_id"))
     keys = ["app_id", "stage_id"]
+    stages = cut_lineage(nodes.select(*keys, "parent_ids"))
+    edges = cut_lineage(lineage_edges(stages))
+    children = edges.select("app_id", F.col("child_stage_id").alias("stage_id")).distinct()
+    parents = edges.select("app_id", F.col("parent_stage_id").alias("stage_id")).distinct()
+    roots = cut_lineage(stages.select(*keys).join(children, keys, "left_anti"))
+    leaves = stages.select(*keys).join(parents, keys, "left_anti")
 
-    layer, open_stages, open_edges = 0, stages.select(*keys), edges
-    depths = None
+    layer, ready, waiting = 1, roots, edges
+    layers = [_apps_at(roots, layer)]
     while True:
-        blocked = open_edges.select("app_id", F.col("child_stage_id").alias("stage_id"))
-        ready = cut_lineage(open_stages.join(blocked.distinct(), keys, "left_anti"))
-        if ready.isEmpty():
+        peeled = ready.select(
+            "app_id", F.col("stage_id").alias("parent_stage_id"), F.lit(True).alias("peeled")
+        )
+        marked = cut_lineage(
+            waiting.drop("peeled")
+            .join(peeled, ["app_id", "parent_stage_id"], "left")
+            .withColumn("peeled", F.coalesce("peeled", F.lit(False)))
+        )
+        if marked.filter("peeled").isEmpty():
             break
         layer += 1
-        reached = ready.select("app_id").distinct().withColumn("layer", F.lit(layer))
-        depths = reached if depths is None else depths.unionByName(reached)
-        open_stages = cut_lineage(open_stages.join(ready, keys, "left_anti"))
-        gone = ready.select("app_id", F.col("stage_id").alias("parent_stage_id"))
-        open_edges = cut_lineage(open_edges.join(gone, ["app_id", "parent_stage_id"], "left_anti"))
+        ready = (
+            marked.groupBy("app_id", F.col("child_stage_id").alias("stage_id"))
+            .agg(F.bool_and("peeled").alias("all_peeled"))
+            .filter("all_peeled")
+            .select(*keys)
+        )
+        waiting = marked.filter(~F.col("peeled"))
+        layers.append(_apps_at(ready, layer))
         if layer % MERGE_HOPS == 0:
-            depths = cut_lineage(depths.groupBy("app_id").agg(F.max("layer").alias("layer")))
-
-    counts = stages.groupBy("app_id").agg(F.count("*").alias("total_stages"))
-    roots = stages.join(as_child.distinct(), keys, "left_anti").groupBy("app_id")
-    leaves = stages.join(as_parent.distinct(), keys, "left_anti").groupBy("app_id")
-    left = open_stages.groupBy("app_id").agg(F.count("*").alias("left_over"))
-    if depths is None:
-        depths = stages.select("app_id", F.lit(None).cast("int").alias("layer")).limit(0)
-    depth = depths.groupBy("app_id").agg(F.max("layer").alias("layer"))
-    acyclic = F.coalesce("left_over", F.lit(0)) == 0
+            layers = [cut_lineage(_deepest(layers))]
+
+    stuck = waiting.groupBy("app_id").agg(F.lit(True).alias("stuck"))
+    acyclic = F.col("stuck").isNull()
     return (
-        counts.join(roots.agg(F.count("*").alias("root_stages")), "app_id", "left")
-        .join(leaves.agg(F.count("*").alias("leaf_stages")), "app_id", "left")
-        .join(depth, "app_id", "left")
-        .join(left, "app_id", "left")
+        _per_app(stages, "total_stages")
+        .join(_per_app(roots, "root_stages"), "app_id", "left")
+        .join(_per_app(leaves, "leaf_stages"), "app_id", "left")
+        .join(_deepest(layers), "app_id", "left")
+        .join(stuck, "app_id", "left")
         .select(
             "app_id",
             "total_stages",
@@ -128,6 +134,21 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _apps_at(stages: DataFrame, layer: int) -> DataFrame:
+    return stages.select("app_id").distinct().withColumn("layer", F.lit(layer))
+
+
+def _deepest(layers: list[DataFrame]) -> DataFrame:
+    rows = layers[0]
+    for more in layers[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("app_id").agg(F.max("layer").alias("layer"))
+
+
+def _per_app(stages: DataFrame, name: str) -> DataFrame:
+    return stages.groupBy("app_id").agg(F.count("*").alias(name))
+
+
 def _flagged(nodes: DataFrame, edges: DataFrame, strict_abort: bool) -> DataFrame:
     """Stages with their own flags and what their parents and children look like."""
     own = nodes.select(
@@ -193,6 +214,7 @@ def lineage_root_causes(
     Returns (causes, path): causes as in `chain_root_causes`; path is
     (app_id, stage_id, is_victim), each stage once.
     """
+    nodes = cut_lineage(nodes)
     edges = cut_lineage(lineage_edges(nodes))
     stages = cut_lineage(_flagged(nodes, edges, strict_abort))
     failed, leaf = F.col("failed"), ~F.col("has_child")
