@@ -18,13 +18,25 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def broadcast_limit(spark: SparkSession) -> int:
+    """Largest side to broadcast; nothing where the session turned broadcasts off."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return 0 if threshold.startswith("-") else BROADCAST_LIMIT_BYTES
+
+
+def fits_broadcast(*dfs: DataFrame) -> bool:
+    """Whether each frame is estimated to stay within the limit."""
+    limit = broadcast_limit(dfs[0].sparkSession)
+    sizes = [estimated_bytes(df) for df in dfs]
+    return all(size is not None and size <= limit for size in sizes)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast only while the size estimate is within the limit.
 
     Beyond it the frame is returned as it is and the join shuffles.
     """
-    size = estimated_bytes(df)
-    return F.broadcast(df) if size is not None and size <= limit_bytes else df
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -1,35 +1,59 @@
 """TPC-H-shaped workload queries.
 
-Lines are summed per order (and supplier) before they meet the other tables.
-The join then sees one row per key instead of one per line, a hot order or
-customer collapses on the map side, and the group-by after the join makes the
-result right for any key multiplicity. Money is summed as exact decimal and
-given out as double.
+Where the tables that lines are joined to are too large to broadcast, lines are
+first summed per order (and supplier): the shuffle join then sees one row per
+key instead of one per line, and a hot order or customer collapses on the map
+side. The group-by after the join makes both ways right for any number of rows
+per key. Money is summed in whole units and given out as double.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultweave.functions.scalars import discounted, money, rate, taxed
-from faultweave.operators.sizing import broadcast_if_small
+from faultweave.functions.scalars import charge, descaled, hundredths, revenue, summable
+from faultweave.operators.sizing import broadcast_if_small, fits_broadcast
 
 # Priorities that count as high.
 HIGH_PRIORITIES = ("1-URGENT", "2-HIGH")
 
+# Decimal places of the units that sums are kept in.
+CENTS = 2
+REVENUE_DIGITS = 4
+CHARGE_DIGITS = 6
 
-def _as_double(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
+def _price() -> Column:
+    return summable(hundredths(F.col("l_extendedprice")))
 
-def _day(cutoff: str) -> Column:
-    """A date literal that compares with date text and timestamps alike."""
-    return F.lit(cutoff)
 
+def _quantity() -> Column:
+    return summable(hundredths(F.col("l_quantity")))
 
-def _sum_by(df: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
+
+def _revenue() -> Column:
+    return summable(revenue(F.col("l_extendedprice"), F.col("l_discount")))
+
+
+def _one() -> Column:
+    return F.lit(1).cast("bigint")
+
+
+def _sum_by(df: DataFrame, keys: list[str], *sums: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _lines(
+    lineitem: DataFrame, keys: list[str], joined_to: list[DataFrame], **values: Column
+) -> DataFrame:
+    """Lines as (keys, values), summed per key unless all they meet can be broadcast."""
+    lines = lineitem.select(*keys, *[v.alias(name) for name, v in values.items()])
+    return lines if fits_broadcast(*joined_to) else _sum_by(lines, keys, *values)
+
+
+def _descale(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: descaled(F.col(c), d) for c, d in digits.items()})
 
 
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -37,11 +61,20 @@ def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def _in_window(column: str, start: str, end: str) -> Column:
-    return (F.col(column) >= _day(start)) & (F.col(column) < _day(end))
+    """Half-open date window; the text bounds suit date text and timestamps alike."""
+    return (F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end))
 
 
-def _revenue() -> Column:
-    return discounted(F.col("l_extendedprice"), F.col("l_discount"))
+def _of_order() -> Column:
+    return F.col("l_orderkey") == F.col("o_orderkey")
+
+
+def _of_customer() -> Column:
+    return F.col("o_custkey") == F.col("c_custkey")
+
+
+def _of_supplier() -> Column:
+    return F.col("l_suppkey") == F.col("s_suppkey")
 
 
 # ---------------------------------------------------------------- reports
@@ -57,17 +90,19 @@ def shipping_priority(
     k: int = 100,
 ) -> DataFrame:
     """Revenue of unshipped orders of one market segment, best first."""
-    per_order = _sum_by(
-        lineitem.filter(F.col("l_shipdate") > _day(cutoff)), ["l_orderkey"], revenue=_revenue()
-    )
-    open_orders = orders.filter(F.col("o_orderdate") < _day(cutoff)).join(
-        customer.filter(F.col("c_mktsegment") == segment).select("c_custkey"),
-        F.col("o_custkey") == F.col("c_custkey"),
-    )
+    unshipped = lineitem.filter(F.col("l_shipdate") > F.lit(cutoff))
+    lines = _lines(unshipped, ["l_orderkey"], [orders, customer], revenue=_revenue())
+    buyers = customer.filter(F.col("c_mktsegment") == segment).select("c_custkey")
+    open_orders = orders.filter(F.col("o_orderdate") < F.lit(cutoff)).join(buyers, _of_customer())
     keys = ["l_orderkey", "o_orderdate", *extra_keys]
-    joined = per_order.join(open_orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    totals = _as_double(_sum_by(joined, keys, revenue=F.col("revenue")), "revenue")
-    return _top(totals, k, F.col("revenue").desc(), F.col("o_orderdate"), F.col("l_orderkey"))
+    totals = _sum_by(lines.join(open_orders, _of_order()), keys, "revenue")
+    return _top(
+        _descale(totals, revenue=REVENUE_DIGITS),
+        k,
+        F.col("revenue").desc(),
+        F.col("o_orderdate"),
+        F.col("l_orderkey"),
+    )
 
 
 def order_priority(
@@ -86,7 +121,7 @@ def order_priority(
     late_orders = lineitem.filter(late).select("l_orderkey").distinct()
     return (
         orders.filter(_in_window("o_orderdate", start, end))
-        .join(late_orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+        .join(late_orders, _of_order(), "left_semi")
         .groupBy("o_orderpriority")
         .agg(F.count("*").alias("order_count"))
         .orderBy("o_orderpriority")
@@ -109,22 +144,18 @@ def returned_items(
     case.
     """
     returned = lineitem.filter(F.col("l_returnflag") == "R")
-    per_order = _sum_by(returned, ["l_orderkey"], revenue=_revenue())
+    lines = _lines(returned, ["l_orderkey"], [orders], revenue=_revenue())
     in_window = orders.filter(_in_window("o_orderdate", start, end)).select(
         "o_orderkey", "o_custkey"
     )
-    per_customer = _sum_by(
-        per_order.join(in_window, F.col("l_orderkey") == F.col("o_orderkey")),
-        ["o_custkey"],
-        revenue=F.col("revenue"),
-    )
+    per_customer = _sum_by(lines.join(in_window, _of_order()), ["o_custkey"], "revenue")
     keys = ["c_custkey", "c_name"]
     if not by_customer_only:
         keys += ["c_acctbal", "n_name"]
-    joined = per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+    joined = per_customer.join(customer, _of_customer()).join(
         broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    totals = _as_double(_sum_by(joined, keys, revenue=F.col("revenue")), "revenue")
+    totals = _descale(_sum_by(joined, keys, "revenue"), revenue=REVENUE_DIGITS)
     top = _top(totals, k, F.col("revenue").desc(), *[F.col(c) for c in keys])
     return top.withColumn("c_name_mod", F.lower("c_name")) if by_customer_only else top
 
@@ -140,7 +171,7 @@ def ship_mode(
 ) -> DataFrame:
     """High- and low-priority line counts per ship mode.
 
-    Lines are counted per (order, mode, columns the joined filter needs) first.
+    `joined_filter` may compare the `joined_cols` of a line with its order.
     """
     if line_filter is None:
         line_filter = (
@@ -148,12 +179,9 @@ def ship_mode(
             & (F.col("l_shipdate") < F.col("l_commitdate"))
             & _in_window("l_receiptdate", "1994-01-01", "1995-01-01")
         )
-    lines = (
-        lineitem.filter(F.col(mode_col).isin(*modes) & line_filter)
-        .groupBy("l_orderkey", mode_col, *joined_cols)
-        .agg(F.count("*").alias("lines"))
-    )
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    wanted = lineitem.filter(F.col(mode_col).isin(*modes) & line_filter)
+    lines = _lines(wanted, ["l_orderkey", mode_col, *joined_cols], [orders], lines=_one())
+    joined = lines.join(orders, _of_order())
     if joined_filter is not None:
         joined = joined.filter(joined_filter)
     high = F.col("o_orderpriority").isin(*HIGH_PRIORITIES)
@@ -171,27 +199,20 @@ def pricing_summary(
     lineitem: DataFrame, cutoff: str = "1998-09-02", with_double_qty: bool = False
 ) -> DataFrame:
     """Totals per return flag and line status of lines shipped up to a date."""
-    lines = lineitem.filter(F.col("l_shipdate") <= _day(cutoff)).withColumns(
-        {
-            "qty": money(F.col("l_quantity")),
-            "price": money(F.col("l_extendedprice")),
-            "disc_price": _revenue(),
-            "charge": taxed(_revenue(), F.col("l_tax")),
-            "slow_qty": money(F.col("l_quantity")) * 2,
-        }
-    )
-    sums = {
-        "sum_qty": F.col("qty"),
-        "sum_base_price": F.col("price"),
-        "sum_disc_price": F.col("disc_price"),
-        "sum_charge": F.col("charge"),
+    price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
+    values = {
+        "sum_qty": (_quantity(), CENTS),
+        "sum_base_price": (_price(), CENTS),
+        "sum_disc_price": (_revenue(), REVENUE_DIGITS),
+        "sum_charge": (summable(charge(price, discount, tax)), CHARGE_DIGITS),
     }
     if with_double_qty:
-        sums["sum_slow_qty"] = F.col("slow_qty")
+        values["sum_slow_qty"] = (summable(hundredths(F.col("l_quantity") * 2)), CENTS)
     return (
-        lines.groupBy("l_returnflag", "l_linestatus")
+        lineitem.filter(F.col("l_shipdate") <= F.lit(cutoff))
+        .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            *[F.sum(expr).cast("double").alias(name) for name, expr in sums.items()],
+            *[descaled(F.sum(v), digits).alias(name) for name, (v, digits) in values.items()],
             F.count("*").alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
@@ -226,40 +247,28 @@ def orders_by_nation(
 
 
 def _nation_totals(
-    lines: DataFrame, orders: DataFrame, supplier: DataFrame, nation: DataFrame, name: str
+    lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, nation: DataFrame, name: str
 ) -> DataFrame:
-    per_order = _sum_by(
-        lines, ["l_orderkey", "l_suppkey"], total=money(F.col("l_extendedprice"))
-    )
-    order_keys = broadcast_if_small(orders.select("o_orderkey"))
+    order_keys = orders.select("o_orderkey")
+    lines = _lines(lineitem, ["l_orderkey", "l_suppkey"], [order_keys], total=_price())
     per_supplier = _sum_by(
-        per_order.join(order_keys, F.col("l_orderkey") == F.col("o_orderkey")),
-        ["l_suppkey"],
-        total=F.col("total"),
+        lines.join(broadcast_if_small(order_keys), _of_order()), ["l_suppkey"], "total"
+    )
+    joined = per_supplier.join(broadcast_if_small(supplier), _of_supplier()).join(
+        broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey")
     )
-    joined = per_supplier.join(
-        broadcast_if_small(supplier), F.col("l_suppkey") == F.col("s_suppkey")
-    ).join(broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    totals = _sum_by(joined, ["n_name"], **{name: F.col("total")})
-    return _as_double(totals, name).orderBy(F.col(name).desc(), "n_name")
+    totals = joined.groupBy("n_name").agg(descaled(F.sum("total"), CENTS).alias(name))
+    return totals.orderBy(F.col(name).desc(), "n_name")
 
 
 def partsupp_status(lineitem: DataFrame, partsupp: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines with a part-supplier record, counted by order status."""
     pair = (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))
-    lines = lineitem.groupBy("l_partkey", "l_suppkey", "l_orderkey").agg(
-        F.count("*").alias("lines")
-    )
-    per_order = (
-        lines.join(broadcast_if_small(partsupp.select("ps_partkey", "ps_suppkey")), pair)
-        .groupBy("l_orderkey")
-        .agg(F.sum("lines").alias("lines"))
-    )
+    pairs = partsupp.select("ps_partkey", "ps_suppkey")
+    lines = _lines(lineitem, ["l_partkey", "l_suppkey", "l_orderkey"], [pairs], lines=_one())
+    per_order = _sum_by(lines.join(broadcast_if_small(pairs), pair), ["l_orderkey"], "lines")
     return (
-        per_order.join(
-            orders.select("o_orderkey", "o_orderstatus"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        )
+        per_order.join(orders.select("o_orderkey", "o_orderstatus"), _of_order())
         .groupBy("o_orderstatus")
         .agg(F.sum("lines").alias("cnt"))
         .orderBy(F.col("cnt").desc(), "o_orderstatus")
@@ -286,7 +295,7 @@ def large_volume(
     customer: DataFrame,
     orders: DataFrame,
     lineitem: DataFrame,
-    threshold: float = 200,
+    threshold: int = 200,
     k: int = 100,
 ) -> DataFrame:
     """Orders above a total quantity, dearest first.
@@ -294,15 +303,12 @@ def large_volume(
     The per-order total found for the threshold is the total asked for, so
     lines are read and shuffled once.
     """
-    totals = _sum_by(lineitem, ["l_orderkey"], total_qty=money(F.col("l_quantity")))
-    large = totals.filter(F.col("total_qty") > threshold)
+    totals = lineitem.groupBy("l_orderkey").agg(F.sum(_quantity()).alias("sum_qty"))
+    large = totals.filter(F.col("sum_qty") > threshold * 10**CENTS)
     keys = ["c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice"]
-    joined = large.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        customer, F.col("o_custkey") == F.col("c_custkey")
-    )
-    sums = _as_double(_sum_by(joined, keys, sum_qty=F.col("total_qty")), "sum_qty")
+    joined = large.join(orders, _of_order()).join(customer, _of_customer())
     return _top(
-        sums,
+        _descale(_sum_by(joined, keys, "sum_qty"), sum_qty=CENTS),
         k,
         F.col("o_totalprice").desc(),
         F.col("o_orderdate"),
@@ -318,7 +324,7 @@ def join_key_skew(df: DataFrame, key: str) -> DataFrame:
         F.sum("n").alias("total_rows"),
         F.count("*").alias("distinct_keys"),
         F.max("n").alias("hottest_rows"),
-        (F.max("n") / F.sum("n")).alias("hottest_share"),
+        F.try_divide(F.max("n"), F.sum("n")).alias("hottest_share"),
     )
 
 
@@ -329,62 +335,57 @@ def segment_priority(
     lineitem: DataFrame, orders: DataFrame, customer: DataFrame, k: int = 200
 ) -> DataFrame:
     """Totals per market segment and order priority."""
-    per_order = _sum_by(
-        lineitem,
-        ["l_orderkey"],
-        price=money(F.col("l_extendedprice")),
-        qty=money(F.col("l_quantity")),
-        disc=rate(F.col("l_discount")),
-        tax=rate(F.col("l_tax")),
-        discounts=F.when(F.col("l_discount").isNotNull(), 1).otherwise(0),
-    )
+    values = {
+        "price": _price(),
+        "qty": _quantity(),
+        "disc": summable(hundredths(F.col("l_discount"))),
+        "tax": summable(hundredths(F.col("l_tax"))),
+        "discounts": F.when(F.col("l_discount").isNotNull(), _one()).otherwise(0),
+    }
+    lines = _lines(lineitem, ["l_orderkey"], [orders], **values)
     per_customer = _sum_by(
-        per_order.join(
-            orders.select("o_orderkey", "o_custkey", "o_orderpriority"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        ),
+        lines.join(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), _of_order()),
         ["o_custkey", "o_orderpriority"],
-        **{c: F.col(c) for c in ("price", "qty", "disc", "tax", "discounts")},
+        *values,
     )
     totals = (
-        per_customer.join(
-            customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")
-        )
+        per_customer.join(customer.select("c_custkey", "c_mktsegment"), _of_customer())
         .groupBy("c_mktsegment", "o_orderpriority")
         .agg(
-            F.sum("price").cast("double").alias("total_price"),
-            F.sum("qty").cast("double").alias("total_qty"),
-            F.try_divide(F.sum("disc").cast("double"), F.sum("discounts")).alias("avg_disc"),
-            F.sum("tax").cast("double").alias("total_tax"),
+            descaled(F.sum("price"), CENTS).alias("total_price"),
+            descaled(F.sum("qty"), CENTS).alias("total_qty"),
+            F.try_divide(descaled(F.sum("disc"), CENTS), F.sum("discounts")).alias("avg_disc"),
+            descaled(F.sum("tax"), CENTS).alias("total_tax"),
         )
     )
-    return _top(totals, k, F.col("total_price").desc(), F.col("c_mktsegment"), F.col("o_orderpriority"))
+    return _top(
+        totals,
+        k,
+        F.col("total_price").desc(),
+        F.col("c_mktsegment"),
+        F.col("o_orderpriority"),
+    )
 
 
 def nation_status(
     lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, nation: DataFrame, k: int = 100
 ) -> DataFrame:
     """Revenue and lines per supplier nation and order status."""
-    per_order = _sum_by(
-        lineitem, ["l_orderkey", "l_suppkey"], revenue=_revenue(), cnt=F.lit(1).cast("bigint")
+    lines = _lines(
+        lineitem, ["l_orderkey", "l_suppkey"], [orders], revenue=_revenue(), cnt=_one()
     )
     per_supplier = _sum_by(
-        per_order.join(
-            orders.select("o_orderkey", "o_orderstatus"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        ),
+        lines.join(orders.select("o_orderkey", "o_orderstatus"), _of_order()),
         ["l_suppkey", "o_orderstatus"],
-        revenue=F.col("revenue"),
-        cnt=F.col("cnt"),
+        "revenue",
+        "cnt",
     )
-    joined = per_supplier.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
+    joined = per_supplier.join(supplier, _of_supplier()).join(
         broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey")
     )
-    totals = _sum_by(
-        joined, ["n_name", "o_orderstatus"], revenue=F.col("revenue"), cnt=F.col("cnt")
-    )
+    totals = _sum_by(joined, ["n_name", "o_orderstatus"], "revenue", "cnt")
     return _top(
-        _as_double(totals, "revenue"),
+        _descale(totals, revenue=REVENUE_DIGITS),
         k,
         F.col("revenue").desc(),
         F.col("n_name"),
@@ -392,59 +393,37 @@ def nation_status(
     )
 
 
-def _customer_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Price, quantity and line count per customer key."""
-    per_order = _sum_by(
-        lineitem,
-        ["l_orderkey"],
-        price=money(F.col("l_extendedprice")),
-        qty=money(F.col("l_quantity")),
-        lines=F.lit(1).cast("bigint"),
-    )
-    return _sum_by(
-        per_order.join(
-            orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
-        ),
-        ["o_custkey"],
-        **{c: F.col(c) for c in ("price", "qty", "lines")},
-    )
+def _customer_lines(orders: DataFrame, lineitem: DataFrame, **values: Column) -> DataFrame:
+    """The values summed per customer key."""
+    lines = _lines(lineitem, ["l_orderkey"], [orders], **values)
+    owners = orders.select("o_orderkey", "o_custkey")
+    return _sum_by(lines.join(owners, _of_order()), ["o_custkey"], *values)
 
 
 def customer_spend(
     customer: DataFrame, orders: DataFrame, lineitem: DataFrame, k: int = 150
 ) -> DataFrame:
     """Customers by total spent."""
+    values = {"total_spent": _price(), "line_count": _one(), "total_qty": _quantity()}
     keys = ["c_custkey", "c_name", "c_mktsegment"]
-    joined = _customer_lines(orders, lineitem).join(
-        customer.select(*keys), F.col("o_custkey") == F.col("c_custkey")
-    )
-    totals = _sum_by(
-        joined,
-        keys,
-        total_spent=F.col("price"),
-        line_count=F.col("lines"),
-        total_qty=F.col("qty"),
-    )
-    return _top(
-        _as_double(totals, "total_spent", "total_qty"),
-        k,
-        F.col("total_spent").desc(),
-        F.col("c_custkey"),
+    joined = _customer_lines(orders, lineitem, **values).join(
+        customer.select(*keys), _of_customer()
     )
+    totals = _descale(_sum_by(joined, keys, *values), total_spent=CENTS, total_qty=CENTS)
+    return _top(totals, k, F.col("total_spent").desc(), F.col("c_custkey"))
 
 
 def customer_totals(
     orders: DataFrame, lineitem: DataFrame, customer: DataFrame, k: int = 100
 ) -> DataFrame:
     """Customers by total price, with their line count."""
+    values = {"total_price": _price(), "order_count": _one()}
     keys = ["c_name", "c_custkey"]
-    joined = _customer_lines(orders, lineitem).join(
-        customer.select(*keys), F.col("o_custkey") == F.col("c_custkey")
-    )
-    totals = _sum_by(joined, keys, total_price=F.col("price"), order_count=F.col("lines"))
-    return _top(
-        _as_double(totals, "total_price"), k, F.col("total_price").desc(), F.col("c_custkey")
+    joined = _customer_lines(orders, lineitem, **values).join(
+        customer.select(*keys), _of_customer()
     )
+    totals = _descale(_sum_by(joined, keys, *values), total_price=CENTS)
+    return _top(totals, k, F.col("total_price").desc(), F.col("c_custkey"))
 
 
 def customer_supplier(
@@ -455,22 +434,16 @@ def customer_supplier(
     k: int = 50,
 ) -> DataFrame:
     """Customer and supplier name pairs by total price."""
-    per_order = _sum_by(
-        lineitem, ["l_orderkey", "l_suppkey"], price=money(F.col("l_extendedprice"))
-    )
+    lines = _lines(lineitem, ["l_orderkey", "l_suppkey"], [orders], total_price=_price())
     pairs = _sum_by(
-        per_order.join(
-            orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
-        ),
+        lines.join(orders.select("o_orderkey", "o_custkey"), _of_order()),
         ["o_custkey", "l_suppkey"],
-        price=F.col("price"),
+        "total_price",
     )
-    joined = pairs.join(
-        customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")
-    ).join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    totals = _as_double(
-        _sum_by(joined, ["c_name", "s_name"], total_price=F.col("price")), "total_price"
+    joined = pairs.join(customer.select("c_custkey", "c_name"), _of_customer()).join(
+        supplier.select("s_suppkey", "s_name"), _of_supplier()
     )
+    totals = _descale(_sum_by(joined, ["c_name", "s_name"], "total_price"), total_price=CENTS)
     return _top(totals, k, F.col("total_price").desc(), F.col("c_name"), F.col("s_name"))
 
 
@@ -488,13 +461,11 @@ def supplier_listing(
 ) -> DataFrame:
     """Suppliers of one region for parts of one size and type, by balance."""
     parts = part.filter((F.col("p_size") == size) & F.col("p_type").endswith(type_end))
-    places = nation.join(
-        region.filter(F.col("r_name") == region_name),
+    places = broadcast_if_small(nation).join(
+        broadcast_if_small(region.filter(F.col("r_name") == region_name)),
         F.col("n_regionkey") == F.col("r_regionkey"),
-    ).select("n_nationkey", "n_name")
-    local = supplier.join(
-        broadcast_if_small(places), F.col("s_nationkey") == F.col("n_nationkey")
     )
+    local = supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     offers = partsupp.select("ps_partkey", "ps_suppkey").join(
         broadcast_if_small(parts), F.col("ps_partkey") == F.col("p_partkey")
     )
@@ -508,7 +479,7 @@ def supplier_listing(
 # ---------------------------------------------------------------- range and cross joins
 
 
-def range_rows(spark, start: int, end: int, **columns: Column) -> DataFrame:
+def range_rows(spark: SparkSession, start: int, end: int, **columns: Column) -> DataFrame:
     """`start <= id < end` plus the given columns."""
     return spark.range(start, end).withColumns(columns) if columns else spark.range(start, end)
 
@@ -522,25 +493,25 @@ def category_totals(df: DataFrame, key: str, value: Column, categories: int) ->
 def cross_totals(
     left: DataFrame,
     right: DataFrame,
-    value: Column,
+    money: str,
     row_limit: int | None = None,
     limit_key: str | None = None,
 ) -> DataFrame:
-    """Row count and sum of a left column over `left CROSS JOIN right`.
+    """Row count and sum of a left money column over `left CROSS JOIN right`.
 
     Every left row meets every right row, so the pairs number |left| * |right|
     and each left value counts |right| times: two counts and a sum, no pair is
-    ever made. `row_limit` first keeps the left rows with the lowest `limit_key`.
+    ever made. The count is decimal(38,0), as it outgrows a bigint. `row_limit`
+    first keeps the left rows with the lowest `limit_key`.
     """
     if row_limit is not None:
         left = left.orderBy(limit_key).limit(row_limit)
-    big = "decimal(38,0)"
-    a = left.agg(
-        F.count("*").cast(big).alias("n"), F.sum(value).alias("s"), F.lit(0).cast(big).alias("m")
-    )
-    b = right.agg(F.count("*").cast(big).alias("m"))
-    sizes = a.unionByName(b, allowMissingColumns=True).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m").alias("m")
+    count = F.count("*").cast("decimal(19,0)")
+    a = left.agg(count.alias("n"), F.sum(summable(hundredths(F.col(money)))).alias("s"))
+    b = right.agg(count.alias("m"))
+    sizes = a.unionByName(b, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in "nsm"])
+    price = F.when(F.col("m") > 0, F.col("s").cast("decimal(36,0)") * F.col("m"))
+    return sizes.select(
+        (F.col("n") * F.col("m")).cast("decimal(38,0)").alias("total_rows"),
+        descaled(price, CENTS).alias("total_price"),
     )
-    total = F.when(F.col("m") > 0, F.col("s") * F.col("m"))
-    return sizes.select((F.col("n") * F.col("m")).alias("total_rows"), total.alias("total_price"))

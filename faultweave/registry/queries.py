@@ -430,31 +430,25 @@ def join_key_skew(spark, sf_dir):
 @query
 def range_category_agg(spark, sf_dir):
     (orders,) = _tables(spark, sf_dir, "orders")
-    totals = workload.category_totals(
-        orders, "o_orderkey", F.col("o_totalprice").cast("decimal(12,2)"), 7
-    )
-    return totals.withColumn("total", F.col("total").cast("double"))
+    cents = scalars.summable(scalars.hundredths(F.col("o_totalprice")))
+    totals = workload.category_totals(orders, "o_orderkey", cents, 7)
+    return totals.withColumn("total", scalars.descaled(F.col("total"), workload.CENTS))
 
 
-def _cross(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("total_rows").cast("bigint").alias("total_rows"),
-        F.col("total_price").cast("double").alias("total_price"),
-    )
+def _count_as_bigint(df: DataFrame) -> DataFrame:
+    return df.withColumn("total_rows", F.col("total_rows").cast("bigint"))
 
 
 @query
 def cross_join_summary(spark, sf_dir):
     (orders,) = _tables(spark, sf_dir, "orders")
-    price = F.col("o_totalprice").cast("decimal(12,2)")
-    return _cross(workload.cross_totals(orders, orders, price))
+    return _count_as_bigint(workload.cross_totals(orders, orders, "o_totalprice"))
 
 
 @query
 def cross_join_pairs(spark, sf_dir):
     lineitem, customer = _tables(spark, sf_dir, "lineitem", "customer")
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    return _cross(workload.cross_totals(lineitem, customer, price))
+    return _count_as_bigint(workload.cross_totals(lineitem, customer, "l_extendedprice"))
 
 
 # ---------------------------------------------------------------- manifest, lookups
