@@ -1,27 +1,23 @@
-"""Root cause of each application on chain graphs: one aggregate over linked stages.
+"""Root cause of each application on chain graphs.
 
 Walking upstream from the last failed stage, the walk goes on while the parent
 failed in its own right. On a chain this has a closed form: a failed stage
 *starts* a failure when its parent did not fail or was a logical abort, and the
 root cause is the most downstream start. The path is every stage from there to
 the last failed stage; all but the first are victims.
+
+Three shuffles find it for all applications, and none needs a whole application
+in one task: stages are first judged inside chunks of stage ids, each chunk is
+summed up in one row, and only those rows meet per application.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultweave.functions.scalars import clamp, join_ids
-from faultweave.operators.graph import (
-    CHUNK,
-    COMPLETED,
-    FAILED,
-    chain_links,
-    chunk_of,
-    is_logical_abort,
-    stages_between,
-)
+from faultweave.operators.graph import CHUNK, COMPLETED, FAILED, chunk_of, is_logical_abort
 
 NO_FAILURE = "NO_FAILURE"
 UNKNOWN_REASON = "Unknown"
@@ -55,38 +51,111 @@ def confidence(
     return clamp(points, 0, 100) / F.lit(100.0)
 
 
-def chain_root_causes(
-    nodes: DataFrame, strict_abort: bool = False, chunk: int = CHUNK
-) -> DataFrame:
-    """One row per application: root cause, where the path ends, confidence.
+def _starts(failed: Column, parent: str) -> Column:
+    """A failed stage whose parent did not fail in its own right."""
+    return failed & ~(_is(parent, "failed") & ~_is(parent, "abort"))
 
-    Healthy applications get their leaf stage, `NO_FAILURE` and confidence 1.
-    """
-    flagged = nodes.select(
+
+def _is(stage: str, flag: str) -> Column:
+    return F.coalesce(f"{stage}.{flag}", F.lit(False))
+
+
+def _clean(parent: str) -> Column:
+    return F.coalesce(f"{parent}.completed", F.lit(True)).alias("clean")
+
+
+def _chunk_summaries(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
+    """One row per (app_id, chunk); the parent of its first stage is still unknown."""
+    reason = F.col("failure_reason")
+    stages = nodes.select(
         "app_id",
         "stage_id",
         "stage_name",
         "failure_reason",
+        chunk_of(F.col("stage_id"), chunk).alias("chunk"),
         (F.col("status") == FAILED).alias("failed"),
         (F.col("status") == COMPLETED).alias("completed"),
-        is_logical_abort(F.col("status"), F.col("failure_reason"), strict_abort).alias("abort"),
+        is_logical_abort(F.col("status"), reason, strict_abort).alias("abort"),
+    )
+    inside = Window.partitionBy("app_id", "chunk").orderBy("stage_id")
+    linked = stages.withColumn(
+        "parent", F.lag(F.struct("failed", "completed", "abort")).over(inside)
+    )
+    failed, known = F.col("failed"), F.col("parent").isNotNull()
+    root = F.struct("stage_id", "stage_name", "failure_reason", _clean("parent"))
+    return linked.groupBy("app_id", "chunk").agg(
+        F.min(F.struct("stage_id", "stage_name", "failure_reason", "failed")).alias("first"),
+        F.max(F.struct("stage_id", "stage_name", "failed", "completed", "abort")).alias("last"),
+        F.max(F.when(known & _starts(failed, "parent"), root)).alias("root"),
+        F.count_if(known & failed & ~_is("parent", "failed")).alias("candidates"),
+        F.sort_array(F.collect_list(F.when(failed, F.col("stage_id")))).alias("failed_ids"),
     )
-    linked = chain_links(flagged, ["failed", "completed", "abort"], chunk)
-    prev_failed = F.coalesce("prev.failed", F.lit(False))
-    prev_abort = F.coalesce("prev.abort", F.lit(False))
-    starts = F.col("failed") & ~(prev_failed & ~prev_abort)
-    candidate = F.col("failed") & ~prev_failed
-    clean = F.coalesce("prev.completed", F.lit(True))
-
-    leaf = F.struct("stage_id", "stage_name")
-    root = F.struct("stage_id", "stage_name", "failure_reason", clean.alias("clean"))
-    per_app = linked.groupBy("app_id").agg(
-        F.max(leaf).alias("leaf"),
-        F.max(F.when(starts, root)).alias("root"),
-        F.max(F.when(F.col("failed"), F.col("stage_id"))).alias("terminal"),
-        F.count_if(candidate).alias("candidates"),
+
+
+def _walked_chunks(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
+    """Chunk rows with the application's root and leaf, and their part of the path."""
+    by_app = Window.partitionBy("app_id")
+    first = F.col("first")
+    head = F.when(
+        _starts(first["failed"], "before"),
+        F.struct(
+            first["stage_id"].alias("stage_id"),
+            first["stage_name"].alias("stage_name"),
+            first["failure_reason"].alias("failure_reason"),
+            _clean("before"),
+        ),
     )
-    healthy = F.col("terminal").isNull()
+    joined = _chunk_summaries(nodes, strict_abort, chunk).withColumn(
+        "before", F.lag("last").over(by_app.orderBy("chunk"))
+    )
+    extra_candidate = first["failed"] & ~_is("before", "failed")
+    resolved = joined.select(
+        "app_id",
+        "chunk",
+        "failed_ids",
+        F.max(F.coalesce("root", head)).over(by_app).alias("root"),
+        F.max(F.struct("last.stage_id", "last.stage_name")).over(by_app).alias("leaf"),
+        (F.col("candidates") + extra_candidate.cast("int")).alias("candidates"),
+        F.col("last.stage_id").alias("last_id"),
+    )
+    root_id = F.col("root.stage_id")
+    leaf_only = F.when(
+        F.col("last_id") == F.col("leaf.stage_id"), F.array("leaf.stage_id")
+    ).otherwise(F.array().cast("array<int>"))
+    path = F.when(root_id.isNull(), leaf_only).otherwise(
+        F.filter("failed_ids", lambda stage: stage >= root_id)
+    )
+    return resolved.withColumn("path", path)
+
+
+def chain_root_causes(
+    nodes: DataFrame,
+    strict_abort: bool = False,
+    text_limit: int = PATH_TEXT_LIMIT,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """One row per application: root cause, path and confidence.
+
+    `path` holds the stage ids in order; it is NULL where the path has more than
+    `text_limit` stages, whose rows `propagation_path` still gives whole.
+    Healthy applications get their leaf stage, `NO_FAILURE` and confidence 1.
+    """
+    by_app = Window.partitionBy("app_id")
+    chunks = _walked_chunks(nodes, strict_abort, chunk).withColumn(
+        "path_length", F.sum(F.size("path")).over(by_app)
+    )
+    fits = F.col("path_length") <= text_limit
+    pieces = F.collect_list(F.when(fits, F.struct("chunk", "path")))
+    path = F.flatten(F.transform(F.sort_array(pieces), lambda piece: piece["path"]))
+    per_app = chunks.groupBy("app_id").agg(
+        F.max("leaf").alias("leaf"),
+        F.max("root").alias("root"),
+        F.max(F.array_max("failed_ids")).alias("terminal"),
+        F.sum("candidates").alias("candidates"),
+        F.max("path_length").alias("path_length"),
+        path.alias("path"),
+    )
+    healthy = F.col("root").isNull()
     score = confidence(
         F.col("root.failure_reason"), F.lit(True), F.col("root.clean"), F.col("candidates")
     )
@@ -98,78 +167,34 @@ def chain_root_causes(
         .otherwise(F.coalesce("root.failure_reason", F.lit(UNKNOWN_REASON)))
         .alias("failure_reason"),
         F.coalesce("terminal", "leaf.stage_id").alias("terminal_stage_id"),
+        "path_length",
+        F.when(F.col("path_length") <= text_limit, F.col("path")).alias("path"),
         F.when(healthy, 1.0).otherwise(score).alias("analysis_confidence"),
     )
 
 
-def propagation_path(nodes: DataFrame, causes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per path stage: (app_id, stage_id, is_victim); whole at any length."""
-    ranges = causes.select("app_id", "root_cause_stage_id", "terminal_stage_id")
-    return stages_between(
-        nodes.select("app_id", "stage_id"),
-        ranges,
-        "root_cause_stage_id",
-        "terminal_stage_id",
-        chunk,
-    ).select(
-        "app_id",
-        "stage_id",
-        (F.col("stage_id") != F.col("root_cause_stage_id")).alias("is_victim"),
-    )
-
-
-def path_text(
-    path: DataFrame, limit: int = PATH_TEXT_LIMIT, chunk: int = CHUNK
+def propagation_path(
+    nodes: DataFrame, strict_abort: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
-    """Paths and victims as comma-joined ids: (app_id, propagation_path, victim_stages).
-
-    Ids are gathered per chunk, and only paths counted to at most `limit` stages
-    are put together, so no group outgrows a task. Longer paths have no row here.
-    """
-    pieces = (
-        path.groupBy("app_id", chunk_of(F.col("stage_id"), chunk).alias("_chunk"))
-        .agg(F.sort_array(F.collect_list("stage_id")).alias("ids"))
-        .withColumn("_n", F.size("ids"))
-    )
-    short = (
-        pieces.groupBy("app_id").agg(F.sum("_n").alias("_n")).filter(F.col("_n") <= limit)
-    ).select("app_id")
-    ordered = F.sort_array(F.collect_list(F.struct("_chunk", "ids")))
-    ids = F.flatten(F.transform(ordered, lambda piece: piece["ids"]))
+    """One row per path stage: (app_id, stage_id, is_victim); whole at any length."""
+    root = F.coalesce("root.stage_id", "leaf.stage_id")
     return (
-        pieces.join(short, "app_id", "left_semi")
-        .groupBy("app_id")
-        .agg(ids.alias("ids"))
-        .select(
-            "app_id",
-            join_ids(F.col("ids")).alias("propagation_path"),
-            join_ids(F.slice("ids", F.lit(2), F.greatest(F.size("ids") - 1, F.lit(0)))).alias(
-                "victim_stages"
-            ),
-        )
+        _walked_chunks(nodes, strict_abort, chunk)
+        .select("app_id", root.alias("root_id"), F.explode("path").alias("stage_id"))
+        .select("app_id", "stage_id", (F.col("stage_id") != F.col("root_id")).alias("is_victim"))
     )
 
 
-def root_cause_table(
-    nodes: DataFrame,
-    strict_abort: bool = False,
-    text_limit: int = PATH_TEXT_LIMIT,
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """The persisted seven-column form, path and victims as text.
-
-    The text is NULL where a path is longer than `text_limit`; its rows are in
-    `propagation_path`.
-    """
-    causes = chain_root_causes(nodes, strict_abort, chunk)
-    text = path_text(propagation_path(nodes, causes, chunk), text_limit, chunk)
-    return causes.join(text, "app_id", "left").select(
+def root_cause_table(causes: DataFrame) -> DataFrame:
+    """The persisted seven-column form, path and victims as text."""
+    victims = F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))
+    return causes.select(
         "app_id",
         "root_cause_stage_id",
         "root_cause_stage_name",
         "failure_reason",
-        "propagation_path",
-        "victim_stages",
+        join_ids(F.col("path")).alias("propagation_path"),
+        join_ids(victims).alias("victim_stages"),
         "analysis_confidence",
     )
 

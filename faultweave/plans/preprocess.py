@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faultweave.operators.features import app_features, named_ground_truth
 from faultweave.operators.graph import chain_edges, stage_nodes
-from faultweave.operators.rootcause import root_cause_table
+from faultweave.operators.rootcause import chain_root_causes, root_cause_table
 from faultweave.operators.split import random_split
 from faultweave.sources.eventlog import parse_events, scan_event_logs, stage_table, task_table
 
@@ -66,7 +66,7 @@ def run_preprocessing(
 
     nodes = stage_nodes(stages)
     save(DAG_EDGES, chain_edges(nodes))
-    save(ROOT_CAUSES, root_cause_table(nodes, strict_abort))
+    save(ROOT_CAUSES, root_cause_table(chain_root_causes(nodes, strict_abort)))
 
     features = save(FEATURES, app_features(tasks, stages))
     save(GROUND_TRUTH, named_ground_truth(features))

@@ -14,58 +14,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole(value: Column) -> Column:
-    return F.floor(value).cast("bigint")
-
-
-def epoch_ms(ts: Column) -> Column:
-    """Milliseconds since 1970 of a zone-less timestamp, in any session zone."""
-    day = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400_000
-    minutes = F.hour(ts).cast("bigint") * 60 + F.minute(ts)
-    return day + minutes * 60_000 + whole(F.extract(F.lit("SECOND"), ts) * 1000)
-
+# Milliseconds since 1970 of a zone-less timestamp, in any session zone.
+_EPOCH_MS = """
+    unix_date(to_date({0})) * 86400000L + hour({0}) * 3600000L + minute({0}) * 60000L
+    + floor(extract(SECOND FROM {0}) * 1000)
+"""
 
-def _app(user_id: Column) -> Column:
-    return F.concat(F.lit("app_"), user_id.cast("string"))
+_APP = "'app_' || user_id"
+_LABEL = "int(user_id % 7)"
 
 
-def _stage_rows(spark: SparkSession, sf_dir: str, attempt: Column) -> DataFrame:
-    keyed = table(spark, sf_dir, "events").select(
-        "user_id", "event_type", "ts", F.dayofmonth("ts").alias("day"), attempt.alias("attempt")
+def _stage_rows(spark: SparkSession, sf_dir: str, attempt: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "events").selectExpr(
+        "user_id", "event_type", "ts", "day(ts) AS day", f"{attempt} AS attempt"
     )
     rows = keyed.groupBy("user_id", "day", "attempt").agg(
-        F.count("*").cast("int").alias("num_tasks"),
+        F.expr("int(count(*))").alias("num_tasks"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.bool_or(F.col("event_type") == "error").alias("failed"),
-    )
-    turn = (F.col("user_id") + F.col("day")) % 3
-    reason = (
-        F.when(turn == 0, "Job was cancelled by operator")
-        .when(turn == 1, "ExecutorLostFailure: heartbeat timed out")
-        .otherwise("OOM")
+        F.expr("bool_or(event_type = 'error')").alias("failed"),
     )
-    return rows.select(
-        _app(F.col("user_id")).alias("app_id"),
-        (F.col("user_id") % 7).cast("int").alias("label"),
-        F.col("day").cast("int").alias("stage_id"),
-        F.col("attempt").cast("int").alias("stage_attempt_id"),
-        F.concat(F.lit("stage "), F.col("day").cast("string")).alias("stage_name"),
+    return rows.selectExpr(
+        f"{_APP} AS app_id",
+        f"{_LABEL} AS label",
+        "int(day) AS stage_id",
+        "int(attempt) AS stage_attempt_id",
+        "'stage ' || day AS stage_name",
         "num_tasks",
-        epoch_ms(F.col("first_ts")).alias("submission_time"),
-        epoch_ms(F.col("last_ts")).alias("completion_time"),
-        F.when(F.col("failed"), "FAILED").otherwise("COMPLETED").alias("status"),
-        F.when(F.col("failed"), reason).alias("failure_reason"),
+        f"{_EPOCH_MS.format('first_ts')} AS submission_time",
+        f"{_EPOCH_MS.format('last_ts')} AS completion_time",
+        "if(failed, 'FAILED', 'COMPLETED') AS status",
+        """if(failed, CASE (user_id + day) % 3
+            WHEN 0 THEN 'Job was cancelled by operator'
+            WHEN 1 THEN 'ExecutorLostFailure: heartbeat timed out'
+            ELSE 'OOM' END, NULL) AS failure_reason""",
     )
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage_rows(spark, sf_dir, F.lit(0))
+    return _stage_rows(spark, sf_dir, "0")
 
 
 def stage_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two attempts per stage: its events before and after noon."""
-    return _stage_rows(spark, sf_dir, F.floor(F.hour("ts") / 12))
+    return _stage_rows(spark, sf_dir, "hour(ts) div 12")
 
 
 def lineage_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,49 +67,41 @@ def lineage_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     by_app = Window.partitionBy("app_id").orderBy("stage_id")
     all_ids = by_app.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    o = F.col("_o")
-    ordinals = F.filter(
-        F.array_distinct(F.array(o - 1, F.floor(o / 2).cast("int"))), lambda p: (p >= 1) & (p < o)
-    )
+    parents = """
+        transform(filter(array_distinct(array(_o - 1, int(_o div 2))), p -> p >= 1 AND p < _o),
+                  p -> element_at(_ids, p))
+    """
     return (
         stages(spark, sf_dir)
         .withColumns(
             {"_o": F.row_number().over(by_app), "_ids": F.collect_list("stage_id").over(all_ids)}
         )
-        .withColumn("parent_ids", F.transform(ordinals, lambda p: F.element_at("_ids", p)))
+        .withColumn("parent_ids", F.expr(parents))
         .drop("_o", "_ids")
     )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event, value = F.col("event_id"), F.col("value")
-    bought = F.col("event_type") == "purchase"
-
-    def spilled(modulus: int) -> Column:
-        return F.when(bought, (event % modulus) * 1024).otherwise(F.lit(0).cast("bigint"))
-
-    return table(spark, sf_dir, "events").select(
-        _app(F.col("user_id")).alias("app_id"),
-        (F.col("user_id") % 7).cast("int").alias("label"),
-        F.dayofmonth("ts").cast("int").alias("stage_id"),
-        F.lit(0).alias("stage_attempt_id"),
-        event.alias("task_id"),
-        (event % 3).cast("int").alias("task_attempt"),
-        F.concat(F.lit("exec_"), (event % 4).cast("string")).alias("executor_id"),
-        F.concat(F.lit("host_"), (event % 2).cast("string")).alias("host"),
-        (F.col("event_type") != "error").alias("success"),
-        F.when(event % 5 == 0, F.lit(0).cast("bigint"))
-        .otherwise(whole(value * 100))
-        .alias("duration_ms"),
-        (whole(value * 90) + 1).alias("executor_run_time"),
-        whole(value * 3).alias("jvm_gc_time"),
-        spilled(1000).alias("memory_bytes_spilled"),
-        spilled(500).alias("disk_bytes_spilled"),
-        ((event % 64) * 1048576).alias("peak_execution_memory"),
-        ((event % 100) * 1000).alias("input_bytes_read"),
-        ((event % 977) * 10).alias("shuffle_bytes_read"),
-        ((event % 877) * 10).alias("shuffle_bytes_written"),
-        (event % 13).alias("shuffle_fetch_wait_time"),
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_APP} AS app_id",
+        f"{_LABEL} AS label",
+        "int(day(ts)) AS stage_id",
+        "0 AS stage_attempt_id",
+        "event_id AS task_id",
+        "int(event_id % 3) AS task_attempt",
+        "'exec_' || (event_id % 4) AS executor_id",
+        "'host_' || (event_id % 2) AS host",
+        "event_type <> 'error' AS success",
+        "if(event_id % 5 = 0, 0L, floor(value * 100D)) AS duration_ms",
+        "floor(value * 90D) + 1 AS executor_run_time",
+        "floor(value * 3D) AS jvm_gc_time",
+        "if(event_type = 'purchase', (event_id % 1000) * 1024, 0L) AS memory_bytes_spilled",
+        "if(event_type = 'purchase', (event_id % 500) * 1024, 0L) AS disk_bytes_spilled",
+        "(event_id % 64) * 1048576 AS peak_execution_memory",
+        "(event_id % 100) * 1000 AS input_bytes_read",
+        "(event_id % 977) * 10 AS shuffle_bytes_read",
+        "(event_id % 877) * 10 AS shuffle_bytes_written",
+        "event_id % 13 AS shuffle_fetch_wait_time",
     )
 
 
@@ -211,7 +195,7 @@ def decoy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("saw "), named).alias("Note"),
     )
     owned = table(spark, sf_dir, "events").withColumns(
-        {"app_id": _app(F.col("user_id")), "label": (F.col("user_id") % 7).cast("int")}
+        {"app_id": F.expr(_APP), "label": F.expr(_LABEL)}
     )
     return _as_json(owned, event)
 
@@ -224,34 +208,15 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log path per event: flat, compressed or rolled, in class and other folders."""
-    user = F.col("user_id").cast("string")
-    folder = F.element_at(
-        F.array(
-            *[
-                F.lit(name)
-                for name in (
-                    "baseline",
-                    "oom",
-                    "skew",
-                    "serialization",
-                    "network",
-                    "disk",
-                    "metadata",
-                    "archive",
-                )
-            ]
-        ),
-        (F.col("user_id") % 8 + 1).cast("int"),
-    )
-    form = F.col("event_id") % 4
-    name = (
-        F.when(form == 0, F.concat(F.lit("application_"), user))
-        .when(form == 1, F.concat(F.lit("application_"), user, F.lit(".zstd")))
-        .when(form == 2, F.concat(F.lit("eventlog_v2_application_"), user, F.lit("/events_1_x.zstd")))
-        .otherwise(F.concat(F.lit("notes_"), user, F.lit(".txt")))
-    )
-    path = F.concat(F.lit("hdfs://logs/project/"), folder, F.lit("/"), name)
-    return table(spark, sf_dir, "events").select(path.alias("log_path"))
+    folder = """element_at(array('baseline', 'oom', 'skew', 'serialization', 'network', 'disk',
+        'metadata', 'archive'), int(user_id % 8 + 1))"""
+    name = """CASE event_id % 4
+        WHEN 0 THEN 'application_' || user_id
+        WHEN 1 THEN 'application_' || user_id || '.zstd'
+        WHEN 2 THEN 'eventlog_v2_application_' || user_id || '/events_1_x.zstd'
+        ELSE 'notes_' || user_id || '.txt' END"""
+    path = f"'hdfs://logs/project/' || {folder} || '/' || {name} AS log_path"
+    return table(spark, sf_dir, "events").selectExpr(path)
 
 
 # ---------------------------------------------------------------- runs, predictions
@@ -286,24 +251,15 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prediction per application, wrong for every fifth user."""
-    user = F.col("user_id")
-    label = (user % 7).cast("int")
-    guess = F.when(user % 5 != 0, label).otherwise((label + 1) % 7)
-    return (
-        table(spark, sf_dir, "events")
-        .select("user_id")
-        .distinct()
-        .select(
-            _app(user).alias("app_id"),
-            label.alias("label"),
-            guess.cast("double").alias("prediction"),
-        )
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.selectExpr(
+        f"{_APP} AS app_id",
+        f"{_LABEL} AS label",
+        "double(if(user_id % 5 <> 0, user_id % 7, (user_id % 7 + 1) % 7)) AS prediction",
     )
 
 
 def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part-supplier pairs seen in lineitem."""
-    pairs = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")
-    )
-    return pairs.distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.selectExpr("l_partkey AS ps_partkey", "l_suppkey AS ps_suppkey").distinct()

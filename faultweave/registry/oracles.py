@@ -132,7 +132,9 @@ SELECT {_CAUSE_COLUMNS}, path AS propagation_path,
 FROM causes c"""
 
 ORACLES["root_cause_strict"] = f"""{_chain(("cancelled",))}
-SELECT {_CAUSE_COLUMNS}, terminal_stage_id, analysis_confidence FROM causes"""
+SELECT {_CAUSE_COLUMNS}, terminal_stage_id,
+       CAST(len(string_split(path, ',')) AS BIGINT) AS path_length, analysis_confidence
+FROM causes"""
 
 ORACLES["propagation_path"] = f"""{_chain()}
 SELECT w.app_id, w.stage_id, w.stage_id <> c.root_cause_stage_id AS is_victim

@@ -50,18 +50,18 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def root_cause_chain(spark, sf_dir):
-    return rootcause.root_cause_table(_nodes(spark, sf_dir))
+    return rootcause.root_cause_table(rootcause.chain_root_causes(_nodes(spark, sf_dir)))
 
 
 @query
 def root_cause_strict(spark, sf_dir):
-    return rootcause.chain_root_causes(_nodes(spark, sf_dir), strict_abort=True)
+    causes = rootcause.chain_root_causes(_nodes(spark, sf_dir), strict_abort=True)
+    return causes.drop("path")
 
 
 @query
 def propagation_path(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return rootcause.propagation_path(nodes, rootcause.chain_root_causes(nodes))
+    return rootcause.propagation_path(_nodes(spark, sf_dir))
 
 
 @query
