@@ -12,10 +12,10 @@ BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of `df`; None where the session hides it."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(spark: SparkSession) -> int:
