@@ -40,6 +40,11 @@ def correctness_mark(label: Column, predicted: Column) -> Column:
     return F.when(label == predicted, F.lit("✓")).otherwise(F.lit("✗"))
 
 
+def with_port(name: Column, port: int) -> Column:
+    """`name:port`."""
+    return F.concat_ws(":", name, F.lit(port).cast("string"))
+
+
 def hundredths(value: Column) -> Column:
     """A TPC-H money, quantity or rate column as the whole hundredths it stands for.
 

@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
+# Estimates count compressed file bytes; a hash table of them takes several times more.
+BROADCAST_LIMIT_BYTES = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

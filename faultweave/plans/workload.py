@@ -9,6 +9,8 @@ per key. Money is summed in whole units and given out as double.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,11 +139,12 @@ def returned_items(
     end: str = "1994-01-01",
     by_customer_only: bool = False,
     k: int = 50,
+    name_form: Callable[[Column], Column] = F.lower,
 ) -> DataFrame:
     """Revenue lost to returns per customer, highest first.
 
-    `by_customer_only` groups by key and name alone and adds the name in lower
-    case.
+    `by_customer_only` groups by key and name alone and adds the name in another
+    form.
     """
     returned = lineitem.filter(F.col("l_returnflag") == "R")
     lines = _lines(returned, ["l_orderkey"], [orders], revenue=_revenue())
@@ -157,7 +160,7 @@ def returned_items(
     )
     totals = _descale(_sum_by(joined, keys, "revenue"), revenue=REVENUE_DIGITS)
     top = _top(totals, k, F.col("revenue").desc(), *[F.col(c) for c in keys])
-    return top.withColumn("c_name_mod", F.lower("c_name")) if by_customer_only else top
+    return top.withColumn("c_name_mod", name_form(F.col("c_name"))) if by_customer_only else top
 
 
 def ship_mode(
@@ -458,8 +461,12 @@ def supplier_listing(
     region_name: str = "EUROPE",
     part_cols: tuple[str, ...] = ("p_mfgr",),
     k: int = 100,
+    name_form: Callable[[Column], Column] = F.upper,
 ) -> DataFrame:
-    """Suppliers of one region for parts of one size and type, by balance."""
+    """Suppliers of one region for parts of one size and type, by balance.
+
+    The name is added in another form after the limit, so on `k` rows only.
+    """
     parts = part.filter((F.col("p_size") == size) & F.col("p_type").endswith(type_end))
     places = broadcast_if_small(nation).join(
         broadcast_if_small(region.filter(F.col("r_name") == region_name)),
@@ -473,7 +480,7 @@ def supplier_listing(
         "s_acctbal", "s_name", "n_name", "p_partkey", *part_cols
     )
     order = [F.col("s_acctbal").desc(), F.col("s_name"), F.col("n_name"), F.col("p_partkey")]
-    return _top(listing, k, *order).withColumn("s_name_upper", F.upper("s_name"))
+    return _top(listing, k, *order).withColumn("s_name_upper", name_form(F.col("s_name")))
 
 
 # ---------------------------------------------------------------- range and cross joins

@@ -9,6 +9,7 @@ import pytest
 from oracle_check import rows_of
 from pyspark.sql import functions as F
 
+from faultweave.functions.scalars import with_port
 from faultweave.operators import sizing
 from faultweave.plans import workload
 from faultweave.sources.schemas import TABLES, columns
@@ -241,6 +242,14 @@ def test_cross_totals_with_a_row_limit(tables):
     assert got.total_price == pytest.approx(10 * sum(first))
 
 
+def test_name_forms(tables):
+    inputs = [tables[t] for t in ("customer", "orders", "lineitem", "nation")]
+    got = workload.returned_items(
+        *inputs, by_customer_only=True, k=3, name_form=lambda name: with_port(name, 80)
+    )
+    assert [r.c_name_mod for r in got.collect()] == [f"{r.c_name}:80" for r in got.collect()]
+
+
 def test_union_lines_columns_up(spark, tables):
     extra = workload.skewed_rows(
         tables["lineitem"], tables["orders"], {"l_orderkey": F.lit(1), "l_quantity": F.lit(50.0)}
