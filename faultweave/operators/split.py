@@ -27,30 +27,29 @@ def stratified_split(
     into 65,536 hash buckets per class, bucket sizes are summed up in order, and
     only the rows of one bucket are ranked against each other.
     """
-    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn(
-        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
-    )
-    ordered = Window.partitionBy(label).orderBy("_bucket")
-    everything = Window.partitionBy(label)
-    before = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    hashed = df.withColumns(
+        {
+            "_class": F.coalesce(F.col(label).cast("string"), F.lit("")),
+            "_hash": F.md5(F.col(key).cast("string")),
+        }
+    ).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    by_class = Window.partitionBy("_class")
+    earlier = by_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        hashed.groupBy(label, "_bucket")
+        hashed.groupBy("_class", "_bucket")
         .agg(F.count("*").alias("_n"))
         .select(
-            F.col(label).alias("_label"),
-            F.col("_bucket").alias("_b"),
-            F.coalesce(before, F.lit(0)).alias("_before"),
-            F.sum("_n").over(everything).alias("_total"),
+            "_class",
+            "_bucket",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_n").over(by_class).alias("_total"),
         )
     )
-    in_bucket = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
+    in_bucket = Window.partitionBy("_class", "_bucket").orderBy("_hash", key)
     rank = F.col("_before") + F.row_number().over(in_bucket)
-    tenths = F.lit(round(train_share * 100))
-    quota = F.floor((F.col("_total") * tenths + 99) / 100)
+    quota = F.floor((F.col("_total") * round(train_share * 100) + 99) / 100)
     return (
-        hashed.join(
-            buckets, hashed[label].eqNullSafe(F.col("_label")) & (hashed["_bucket"] == F.col("_b"))
-        )
+        hashed.join(buckets, ["_class", "_bucket"])
         .withColumn("is_train", rank <= quota)
         .select(*df.columns, "is_train")
     )

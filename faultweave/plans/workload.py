@@ -1,10 +1,13 @@
 """TPC-H-shaped workload queries.
 
-Where the tables that lines are joined to are too large to broadcast, lines are
-first summed per order (and supplier): the shuffle join then sees one row per
-key instead of one per line, and a hot order or customer collapses on the map
-side. The group-by after the join makes both ways right for any number of rows
-per key. Money is summed in whole units and given out as double.
+Lines that are only asked for sums per order are summed before they meet orders
+too large to broadcast: the join reuses the shuffle of the sums, sees one row
+per order instead of one per line, and a hot order collapses on the map side.
+Lines that also carry a supplier, part or mode hardly shrink by that and would
+shuffle twice, so they join as they are; a hot key is then split by adaptive
+skew joins, which the group-by on other keys behind them allows. That group-by
+makes every form right for any number of rows per key. Money is summed in whole
+units and given out as double.
 """
 
 from __future__ import annotations
@@ -46,12 +49,14 @@ def _sum_by(df: DataFrame, keys: list[str], *sums: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _lines(
-    lineitem: DataFrame, keys: list[str], joined_to: list[DataFrame], **values: Column
-) -> DataFrame:
-    """Lines as (keys, values), summed per key unless all they meet can be broadcast."""
-    lines = lineitem.select(*keys, *[v.alias(name) for name, v in values.items()])
-    return lines if fits_broadcast(*joined_to) else _sum_by(lines, keys, *values)
+def _lines(lineitem: DataFrame, *keys: str, **values: Column) -> DataFrame:
+    return lineitem.select(*keys, *[v.alias(name) for name, v in values.items()])
+
+
+def _order_lines(lineitem: DataFrame, joined_to: list[DataFrame], **values: Column) -> DataFrame:
+    """Lines by order, summed per order unless all they meet can be broadcast."""
+    lines = _lines(lineitem, "l_orderkey", **values)
+    return lines if fits_broadcast(*joined_to) else _sum_by(lines, ["l_orderkey"], *values)
 
 
 def _descale(df: DataFrame, **digits: int) -> DataFrame:
@@ -93,7 +98,7 @@ def shipping_priority(
 ) -> DataFrame:
     """Revenue of unshipped orders of one market segment, best first."""
     unshipped = lineitem.filter(F.col("l_shipdate") > F.lit(cutoff))
-    lines = _lines(unshipped, ["l_orderkey"], [orders, customer], revenue=_revenue())
+    lines = _order_lines(unshipped, [orders, customer], revenue=_revenue())
     buyers = customer.filter(F.col("c_mktsegment") == segment).select("c_custkey")
     open_orders = orders.filter(F.col("o_orderdate") < F.lit(cutoff)).join(buyers, _of_customer())
     keys = ["l_orderkey", "o_orderdate", *extra_keys]
@@ -147,7 +152,7 @@ def returned_items(
     form.
     """
     returned = lineitem.filter(F.col("l_returnflag") == "R")
-    lines = _lines(returned, ["l_orderkey"], [orders], revenue=_revenue())
+    lines = _order_lines(returned, [orders], revenue=_revenue())
     in_window = orders.filter(_in_window("o_orderdate", start, end)).select(
         "o_orderkey", "o_custkey"
     )
@@ -183,16 +188,15 @@ def ship_mode(
             & _in_window("l_receiptdate", "1994-01-01", "1995-01-01")
         )
     wanted = lineitem.filter(F.col(mode_col).isin(*modes) & line_filter)
-    lines = _lines(wanted, ["l_orderkey", mode_col, *joined_cols], [orders], lines=_one())
-    joined = lines.join(orders, _of_order())
+    joined = _lines(wanted, "l_orderkey", mode_col, *joined_cols).join(orders, _of_order())
     if joined_filter is not None:
         joined = joined.filter(joined_filter)
     high = F.col("o_orderpriority").isin(*HIGH_PRIORITIES)
     return (
         joined.groupBy(mode_col)
         .agg(
-            F.sum(F.when(high, F.col("lines")).otherwise(0)).alias("high_line_count"),
-            F.sum(F.when(~high, F.col("lines")).otherwise(0)).alias("low_line_count"),
+            F.sum(F.when(high, _one()).otherwise(0)).alias("high_line_count"),
+            F.sum(F.when(~high, _one()).otherwise(0)).alias("low_line_count"),
         )
         .orderBy(mode_col)
     )
@@ -252,11 +256,9 @@ def orders_by_nation(
 def _nation_totals(
     lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, nation: DataFrame, name: str
 ) -> DataFrame:
-    order_keys = orders.select("o_orderkey")
-    lines = _lines(lineitem, ["l_orderkey", "l_suppkey"], [order_keys], total=_price())
-    per_supplier = _sum_by(
-        lines.join(broadcast_if_small(order_keys), _of_order()), ["l_suppkey"], "total"
-    )
+    order_keys = broadcast_if_small(orders.select("o_orderkey"))
+    lines = _lines(lineitem, "l_orderkey", "l_suppkey", total=_price())
+    per_supplier = _sum_by(lines.join(order_keys, _of_order()), ["l_suppkey"], "total")
     joined = per_supplier.join(broadcast_if_small(supplier), _of_supplier()).join(
         broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -267,9 +269,9 @@ def _nation_totals(
 def partsupp_status(lineitem: DataFrame, partsupp: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines with a part-supplier record, counted by order status."""
     pair = (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))
-    pairs = partsupp.select("ps_partkey", "ps_suppkey")
-    lines = _lines(lineitem, ["l_partkey", "l_suppkey", "l_orderkey"], [pairs], lines=_one())
-    per_order = _sum_by(lines.join(broadcast_if_small(pairs), pair), ["l_orderkey"], "lines")
+    pairs = broadcast_if_small(partsupp.select("ps_partkey", "ps_suppkey"))
+    lines = _lines(lineitem, "l_partkey", "l_suppkey", "l_orderkey", lines=_one())
+    per_order = _sum_by(lines.join(pairs, pair), ["l_orderkey"], "lines")
     return (
         per_order.join(orders.select("o_orderkey", "o_orderstatus"), _of_order())
         .groupBy("o_orderstatus")
@@ -345,7 +347,7 @@ def segment_priority(
         "tax": summable(hundredths(F.col("l_tax"))),
         "discounts": F.when(F.col("l_discount").isNotNull(), _one()).otherwise(0),
     }
-    lines = _lines(lineitem, ["l_orderkey"], [orders], **values)
+    lines = _order_lines(lineitem, [orders], **values)
     per_customer = _sum_by(
         lines.join(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), _of_order()),
         ["o_custkey", "o_orderpriority"],
@@ -374,9 +376,7 @@ def nation_status(
     lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, nation: DataFrame, k: int = 100
 ) -> DataFrame:
     """Revenue and lines per supplier nation and order status."""
-    lines = _lines(
-        lineitem, ["l_orderkey", "l_suppkey"], [orders], revenue=_revenue(), cnt=_one()
-    )
+    lines = _lines(lineitem, "l_orderkey", "l_suppkey", revenue=_revenue(), cnt=_one())
     per_supplier = _sum_by(
         lines.join(orders.select("o_orderkey", "o_orderstatus"), _of_order()),
         ["l_suppkey", "o_orderstatus"],
@@ -398,7 +398,7 @@ def nation_status(
 
 def _customer_lines(orders: DataFrame, lineitem: DataFrame, **values: Column) -> DataFrame:
     """The values summed per customer key."""
-    lines = _lines(lineitem, ["l_orderkey"], [orders], **values)
+    lines = _order_lines(lineitem, [orders], **values)
     owners = orders.select("o_orderkey", "o_custkey")
     return _sum_by(lines.join(owners, _of_order()), ["o_custkey"], *values)
 
@@ -437,7 +437,7 @@ def customer_supplier(
     k: int = 50,
 ) -> DataFrame:
     """Customer and supplier name pairs by total price."""
-    lines = _lines(lineitem, ["l_orderkey", "l_suppkey"], [orders], total_price=_price())
+    lines = _lines(lineitem, "l_orderkey", "l_suppkey", total_price=_price())
     pairs = _sum_by(
         lines.join(orders.select("o_orderkey", "o_custkey"), _of_order()),
         ["o_custkey", "l_suppkey"],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultweave.functions import scalars
 from faultweave.functions.labels import scenario_name, scenarios_by_label, scenarios_by_name
 from faultweave.operators import evaluation, features, graph, lineage, models, rootcause, split
+from faultweave.operators.sizing import cut_lineage
 from faultweave.plans import workload
 from faultweave.registry import adapters
 from faultweave.sources import eventlog, lake, manifest
@@ -555,7 +556,7 @@ def scaled_features(spark, sf_dir):
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = models.fill_features(split.stratified_split(_features(spark, sf_dir))).cache()
+    rows = cut_lineage(models.fill_features(split.stratified_split(_features(spark, sf_dir))))
     kept = F.col("is_train")
     return rows.filter(kept).drop("is_train"), rows.filter(~kept).drop("is_train")
 
@@ -597,7 +598,7 @@ def ml_model_comparison(spark, sf_dir):
 
 @query
 def ml_cross_validation(spark, sf_dir):
-    rows = models.fill_features(_features(spark, sf_dir)).cache()
+    rows = cut_lineage(models.fill_features(_features(spark, sf_dir)))
     mean_f1 = models.cross_validate(rows)
     return rows.agg(F.count("*").alias("rows")).withColumn("mean_f1", F.lit(mean_f1))
 
