@@ -198,6 +198,34 @@ def test_lines_are_summed_before_the_shuffle_join(tables, no_broadcast):
     assert text.count("Aggregate [") == 3
 
 
+def test_hot_keys_of_direct_joins_are_split(spark, tables, duck, no_broadcast):
+    """With thresholds small enough for the fixture, the skewed side is split."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+        "spark.sql.files.maxPartitionBytes": "2000",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    lines = tables["lineitem"].repartition(8)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = workload.orders_by_nation(
+            lines, tables["orders"], tables["supplier"], tables["nation"]
+        )
+        df.collect()
+        assert "skewed" in df._jdf.queryExecution().executedPlan().toString()
+        sql = f"""SELECT n_name, {PRICE} AS total_price FROM lineitem, orders, supplier, nation
+            WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey
+            AND s_nationkey = n_nationkey GROUP BY 1"""
+        check(df, duck, sql)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_filters_and_columns_reach_the_scan(tables):
     df = workload.order_priority(tables["orders"], tables["lineitem"])
     plan = df._jdf.queryExecution().executedPlan().toString()
