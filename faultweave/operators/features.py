@@ -158,10 +158,7 @@ def feature_stats(features: DataFrame, cols: list[str] = FEATURE_COLUMNS) -> Dat
     """
     stats = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
     wide = features.agg(
-        *[
-            F.struct(*[fn(c).alias(s) for s, fn in stats.items()]).alias(c)
-            for c in cols
-        ]
+        *[F.struct(*[fn(c).alias(s) for s, fn in stats.items()]).alias(c) for c in cols]
     )
-    tall = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols]))
-    return wide.select(tall.alias("row")).select("row.feature", "row.s.*")
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols]
+    return wide.select(F.inline(F.array(*rows))).select("feature", "s.*")

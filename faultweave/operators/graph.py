@@ -199,9 +199,8 @@ def chain_ancestors(
         F.col("root_stage_id").alias("_low"),
         (F.col("seed_stage_id") - 1).alias("_high"),
     )
-    return stages_between(nodes.select("app_id", "stage_id"), ranges, "_low", "_high", chunk).select(
-        "app_id", "seed_stage_id", F.col("stage_id").alias("ancestor_stage_id")
-    )
+    found = stages_between(nodes.select("app_id", "stage_id"), ranges, "_low", "_high", chunk)
+    return found.select("app_id", "seed_stage_id", F.col("stage_id").alias("ancestor_stage_id"))
 
 
 def chain_descendants(
@@ -214,6 +213,5 @@ def chain_descendants(
         (F.col("seed_stage_id") + 1).alias("_low"),
         F.col("leaf_stage_id").alias("_high"),
     )
-    return stages_between(nodes.select("app_id", "stage_id"), ranges, "_low", "_high", chunk).select(
-        "app_id", "seed_stage_id", F.col("stage_id").alias("descendant_stage_id")
-    )
+    found = stages_between(nodes.select("app_id", "stage_id"), ranges, "_low", "_high", chunk)
+    return found.select("app_id", "seed_stage_id", F.col("stage_id").alias("descendant_stage_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ LARGE_TABLES = ("lineitem", "orders")
 LARGE_PARTITIONS = 200
 SMALL_PARTITIONS = 10
 
+# Raw bytes per file, once the fixed file counts would make larger ones.
+TARGET_FILE_BYTES = 512 * 1024 * 1024
+
 SUMMARY = "table_name string, found boolean, row_count bigint, bytes bigint, size string"
 
 
@@ -24,6 +29,12 @@ def read_raw_table(spark: SparkSession, name: str, raw_path: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).csv(f"{raw_path}/{name}.tbl", sep="|", header=False)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """Total file size below a path, from the file listing; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def lay_out(df: DataFrame, name: str, partitions: int = LARGE_PARTITIONS) -> DataFrame:
     """File layout: large tables rebalanced to `partitions`, others to ten at most."""
     if name in LARGE_TABLES:
@@ -31,6 +42,14 @@ def lay_out(df: DataFrame, name: str, partitions: int = LARGE_PARTITIONS) -> Dat
     return df.coalesce(min(partitions, SMALL_PARTITIONS))
 
 
+def lay_out_by_size(df: DataFrame, name: str, raw_bytes: int) -> DataFrame:
+    """`lay_out`, but with more files where a file would outgrow the target size."""
+    wanted = math.ceil(raw_bytes / TARGET_FILE_BYTES)
+    if name in LARGE_TABLES:
+        return df.repartition(max(wanted, LARGE_PARTITIONS))
+    return df.coalesce(max(wanted, SMALL_PARTITIONS))
+
+
 def write_table(df: DataFrame, path: str, compression: str = "snappy") -> None:
     df.write.mode("overwrite").option("compression", compression).parquet(path)
 
@@ -40,15 +59,22 @@ def convert_table(
     name: str,
     raw_path: str,
     lake_path: str,
-    partitions: int = LARGE_PARTITIONS,
+    partitions: int | None = None,
 ) -> None:
-    write_table(lay_out(read_raw_table(spark, name, raw_path), name, partitions), f"{lake_path}/{name}")
+    """Text to Parquet, laid out by size unless `partitions` is given. Writes."""
+    df = read_raw_table(spark, name, raw_path)
+    if partitions is None:
+        size = stored_bytes(spark, f"{raw_path}/{name}.tbl").first()["bytes"]
+        df = lay_out_by_size(df, name, size)
+    else:
+        df = lay_out(df, name, partitions)
+    write_table(df, f"{lake_path}/{name}")
 
 
 def convert_all(
-    spark: SparkSession, raw_path: str, lake_path: str, partitions: int = LARGE_PARTITIONS
+    spark: SparkSession, raw_path: str, lake_path: str, partitions: int | None = None
 ) -> dict[str, Exception | None]:
-    """Convert every table; a table that fails is reported and the rest go on."""
+    """Convert every table; a table that fails is reported and the rest go on. Writes."""
     outcome: dict[str, Exception | None] = {}
     for name in TABLES:
         try:
@@ -74,24 +100,20 @@ def table_summary(
 ) -> DataFrame:
     """Rows, bytes and size text per table; `found` is false for missing tables.
 
-    No data column is read: rows are counted per file, and each file's size is
-    taken once.
+    Rows are counted from file footers and bytes come from the listing, so no
+    data is read.
     """
     rows = None
     for name in sorted(names):
-        df = open_table(spark, f"{lake_path}/{name}{suffix}")
+        path = f"{lake_path}/{name}{suffix}"
+        df = open_table(spark, path)
         if df is None:
             missing = [(name, False, None, None, "NOT FOUND")]
             one = spark.createDataFrame(missing, SUMMARY)
         else:
-            files = df.select(
-                F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")
-            )
-            per_file = files.groupBy("f").agg(F.max("b").alias("b"), F.count("*").alias("n"))
-            sums = per_file.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-                F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
-            )
+            counted = df.agg(F.count("*").alias("row_count"))
+            both = counted.unionByName(stored_bytes(spark, path), allowMissingColumns=True)
+            sums = both.agg(F.max("row_count").alias("row_count"), F.max("bytes").alias("bytes"))
             one = sums.select(
                 F.lit(name).alias("table_name"),
                 F.lit(True).alias("found"),

@@ -61,13 +61,18 @@ def stage(stage_id=1, attempt=0, reason=None, parents=(), **over):
     return json.dumps({"Event": "SparkListenerStageCompleted", "Stage Info": info})
 
 
+def as_lines(spark, lines):
+    schema = "app_id string, label int, value string"
+    return spark.createDataFrame([("a", 1, line) for line in lines], schema)
+
+
 def parsed_tasks(spark, *lines, **params):
-    df = spark.createDataFrame([("a", 1, line) for line in lines], "app_id string, label int, value string")
+    df = as_lines(spark, lines)
     return [r.asDict() for r in eventlog.parse_task_events(df, **params).collect()]
 
 
 def parsed_stages(spark, *lines, **params):
-    df = spark.createDataFrame([("a", 1, line) for line in lines], "app_id string, label int, value string")
+    df = as_lines(spark, lines)
     return [r.asDict() for r in eventlog.parse_stage_events(df, **params).collect()]
 
 
@@ -142,9 +147,10 @@ def test_stage_fields(spark):
 
 
 def test_one_pass_equals_two(spark):
-    lines = [task(i, i) for i in range(5)] + [stage(i, reason="x" if i % 2 else None) for i in range(4)]
+    lines = [task(i, i) for i in range(5)]
+    lines += [stage(i, reason="x" if i % 2 else None) for i in range(4)]
     lines += [task(9)[:50], task(8, **{"Stage ID": "text"})]
-    df = spark.createDataFrame([("a", 1, v) for v in lines], "app_id string, label int, value string")
+    df = as_lines(spark, lines)
     events = eventlog.parse_events(df)
     assert sorted(eventlog.task_table(events).collect()) == sorted(
         eventlog.parse_task_events(df).collect()
@@ -155,7 +161,7 @@ def test_one_pass_equals_two(spark):
 
 
 def test_each_line_is_parsed_once(spark):
-    df = spark.createDataFrame([("a", 1, task())], "app_id string, label int, value string")
+    df = as_lines(spark, [task()])
     plan = eventlog.parse_task_events(df)._jdf.queryExecution().optimizedPlan().toString()
     # The typed parse, and the wide parse of odd lines.
     assert plan.count("from_json(") == 2
@@ -188,8 +194,8 @@ def log_dir(tmp_path_factory):
 
 
 def test_scan(spark, log_dir):
-    lines = eventlog.scan_event_logs(spark, log_dir)
-    seen = {(r.app_id, r.label): r["count"] for r in lines.groupBy("app_id", "label").count().collect()}
+    counts = eventlog.scan_event_logs(spark, log_dir).groupBy("app_id", "label").count()
+    seen = {(r.app_id, r.label): r["count"] for r in counts.collect()}
     assert seen == {
         ("application_1", 0): 4,
         ("application_2", 1): 2,

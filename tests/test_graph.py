@@ -24,7 +24,8 @@ def nodes(spark, ids):
 
 @pytest.mark.parametrize("chunk", [1, 4, 4096])
 def test_edges(nodes, ids, chunk):
-    got = {(r.app_id, r.stage_id): r.parent_stage_id for r in graph.chain_edges(nodes, chunk).collect()}
+    edges = graph.chain_edges(nodes, chunk).collect()
+    got = {(r.app_id, r.stage_id): r.parent_stage_id for r in edges}
     want = {(app, i): p for app in ids for i, p in zip(ids[app], [-1, *ids[app]])}
     assert got == want
 
@@ -56,7 +57,8 @@ def test_latest_attempt_wins(spark):
         ("a", 1, 1, 9, "second", "COMPLETED", None),
         ("a", 2, 0, 7, None, None, None),
     ]
-    got = [tuple(r) for r in graph.stage_nodes(spark.createDataFrame(rows, SCHEMA)).orderBy("stage_id").collect()]
+    nodes = graph.stage_nodes(spark.createDataFrame(rows, SCHEMA)).orderBy("stage_id")
+    got = [tuple(r) for r in nodes.collect()]
     assert got == [("a", 1, "second", "COMPLETED", None), ("a", 2, "", "UNKNOWN", None)]
 
 
@@ -74,7 +76,8 @@ def test_icons(spark):
 
 
 def test_abort_words(spark):
-    rows = [("SKIPPED", None), ("FAILED", "Stage was Cancelled"), ("FAILED", "Job aborted"), ("FAILED", "x")]
+    reasons = [None, "Stage was Cancelled", "Job aborted", "x"]
+    rows = list(zip(["SKIPPED", "FAILED", "FAILED", "FAILED"], reasons))
     df = spark.createDataFrame(rows, "s string, r string")
     loose = [r[0] for r in df.select(graph.is_logical_abort(df["s"], df["r"])).collect()]
     strict = [r[0] for r in df.select(graph.is_logical_abort(df["s"], df["r"], True)).collect()]

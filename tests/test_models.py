@@ -120,7 +120,8 @@ def test_train_compare_save_and_judge(spark, features, tmp_path):
 
 
 def test_first_model_wins_ties(spark):
-    row = spark.createDataFrame([(0.5, 0.5, 0.5, 0.5)], "accuracy double, f1 double, precision double, recall double")
+    schema = ", ".join(f"{m} double" for m in models.MEASURES)
+    row = spark.createDataFrame([(0.5, 0.5, 0.5, 0.5)], schema)
     table = models.compare({"one": row, "two": row}).collect()
     assert [(r.model, r.is_best) for r in table] == [("one", True), ("two", False)]
 

@@ -58,6 +58,22 @@ def test_layout(spark):
     assert lake.lay_out(df, "part", 4).rdd.getNumPartitions() == 4
 
 
+def test_layout_by_size(spark, monkeypatch):
+    df = spark.range(100).repartition(500)
+    gigabyte = 1024**3
+    assert lake.lay_out_by_size(df, "orders", 10).rdd.getNumPartitions() == 200
+    assert lake.lay_out_by_size(df, "orders", 150 * gigabyte).rdd.getNumPartitions() == 300
+    assert lake.lay_out_by_size(df, "part", 10).rdd.getNumPartitions() == 10
+    assert lake.lay_out_by_size(df, "part", 20 * gigabyte).rdd.getNumPartitions() == 40
+
+
+def test_convert_by_size(spark, raw, tmp_path):
+    out = str(tmp_path / "lake")
+    lake.convert_table(spark, "region", str(raw), out)
+    assert spark.read.parquet(f"{out}/region").count() == 2
+    assert lake.stored_bytes(spark, str(raw / "region.tbl")).first()["bytes"] == len(REGION)
+
+
 def test_format_bytes(spark):
     sizes = [0, 1023, 1024, 1152, 1024**2 - 1, 1024**2, 5 * 1024**3, 1024**3 * 5000]
     df = spark.createDataFrame([(s,) for s in sizes], "n bigint")

@@ -14,7 +14,8 @@ from faultweave.operators import sizing
 from faultweave.plans import workload
 from faultweave.sources.schemas import TABLES, columns
 
-REVENUE = "CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)"
+REVENUE = """CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))
+    * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)"""
 PRICE = "CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE)"
 
 
@@ -80,7 +81,8 @@ def duck(rows):
     for name, data in rows.items():
         kinds = TABLES[name].replace("string", "VARCHAR")
         con.execute(f"CREATE TABLE {name} ({kinds})")
-        con.executemany(f"INSERT INTO {name} VALUES ({','.join('?' * len(columns(TABLES[name])))})", data)
+        marks = ",".join("?" * len(columns(TABLES[name])))
+        con.executemany(f"INSERT INTO {name} VALUES ({marks})", data)
     return con
 
 
@@ -293,5 +295,6 @@ def test_range_rows(spark):
     df = workload.range_rows(spark, 1, 100, value=F.rand(7))
     again = workload.range_rows(spark, 1, 100, value=F.rand(7))
     assert df.collect() == again.collect()
-    totals = {r.category: r.total for r in workload.category_totals(df, "id", F.lit(1), 5).collect()}
+    rows = workload.category_totals(df, "id", F.lit(1), 5).collect()
+    totals = {r.category: r.total for r in rows}
     assert totals == {"0": 19, "1": 20, "2": 20, "3": 20, "4": 20}
