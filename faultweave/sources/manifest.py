@@ -12,6 +12,17 @@ DONE_STATES = ("FINISHED", "FAILED")
 TIMEOUT = "TIMEOUT"
 ERROR_PREFIX = "ERROR"
 
+# Runs of each failure type in a full campaign, 80 in all.
+CAMPAIGN_RUNS = {
+    "BASELINE": 12,
+    "OOM": 12,
+    "DISK": 11,
+    "NET": 11,
+    "SKEW": 12,
+    "SER": 11,
+    "META": 11,
+}
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows, trimmed; rows with fewer than seven fields are dropped."""
@@ -33,6 +44,16 @@ def append_runs(runs: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.save(path)
 
 
+def plan_runs(spark: SparkSession, totals: dict[str, int] | None = None) -> DataFrame:
+    """Planned runs (failure_type, run_id), ids counted from 001 per failure type."""
+    totals = CAMPAIGN_RUNS if totals is None else totals
+    types = spark.createDataFrame(list(totals.items()), "failure_type string, total int")
+    numbered = types.filter("total > 0").select(
+        "failure_type", F.explode(F.sequence(F.lit(1), "total")).alias("run")
+    )
+    return numbered.select("failure_type", F.format_string("%03d", "run").alias("run_id"))
+
+
 def pending_runs(planned: DataFrame, manifest: DataFrame) -> DataFrame:
     """Planned runs (failure_type, run_id) that are not done; failed submissions repeat."""
     done = manifest.filter(F.col("Status").isin(*DONE_STATES)).select(

@@ -127,6 +127,13 @@ def test_pending_and_summary(spark):
     assert [tuple(r) for r in manifest.run_summary(done).collect()] == [("OOM", 4, 1, 1, 1, 1)]
 
 
+def test_planned_runs(spark):
+    runs = manifest.plan_runs(spark)
+    assert runs.count() == 80
+    some = manifest.plan_runs(spark, {"OOM": 2, "NET": 0}).orderBy("run_id").collect()
+    assert [tuple(r) for r in some] == [("OOM", "001"), ("OOM", "002")]
+
+
 def test_scenarios(spark):
     df = spark.createDataFrame([(4, "data_SKEW"), (9, "nothing")], "label int, asked string")
     by_label = labels.scenarios_by_label(df).collect()
