@@ -40,13 +40,14 @@ def reach(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
     `seed` keeps walks of one application apart.
     """
     keys = ["app_id", "seed", "stage_id"]
+    onward = arcs.selectExpr("app_id", "source AS stage_id", "target")
     frontier = cut_lineage(seeds.select(*keys).distinct())
     visited, hops = frontier, 0
     while not frontier.isEmpty():
         hops += 1
-        step = frontier.join(
-            arcs, (frontier["app_id"] == arcs["app_id"]) & (frontier["stage_id"] == arcs["source"])
-        ).select(frontier["app_id"], "seed", F.col("target").alias("stage_id"))
+        step = frontier.join(onward, ["app_id", "stage_id"]).selectExpr(
+            "app_id", "seed", "target AS stage_id"
+        )
         frontier = cut_lineage(step.distinct().join(visited, keys, "left_anti"))
         visited = visited.unionByName(frontier)
         if hops % MERGE_HOPS == 0:
@@ -93,24 +94,22 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
     layer, ready, waiting = 1, roots, edges
     layers = [_apps_at(roots, layer)]
     while True:
-        peeled = ready.select(
-            "app_id", F.col("stage_id").alias("parent_stage_id"), F.lit(True).alias("peeled")
-        )
+        peeled = ready.selectExpr("app_id", "stage_id AS parent_stage_id", "true AS gone")
         marked = cut_lineage(
-            waiting.drop("peeled")
-            .join(peeled, ["app_id", "parent_stage_id"], "left")
-            .withColumn("peeled", F.coalesce("peeled", F.lit(False)))
+            waiting.join(peeled, ["app_id", "parent_stage_id"], "left").selectExpr(
+                "app_id", "child_stage_id", "parent_stage_id", "gone IS NOT NULL AS peeled"
+            )
         )
         if marked.filter("peeled").isEmpty():
             break
         layer += 1
         ready = (
-            marked.groupBy("app_id", F.col("child_stage_id").alias("stage_id"))
-            .agg(F.bool_and("peeled").alias("all_peeled"))
+            marked.groupBy("app_id", "child_stage_id")
+            .agg(F.expr("bool_and(peeled) AS all_peeled"))
             .filter("all_peeled")
-            .select(*keys)
+            .selectExpr("app_id", "child_stage_id AS stage_id")
         )
-        waiting = marked.filter(~F.col("peeled"))
+        waiting = marked.filter("NOT peeled").drop("peeled")
         layers.append(_apps_at(ready, layer))
         if layer % MERGE_HOPS == 0:
             layers = [cut_lineage(_deepest(layers))]
