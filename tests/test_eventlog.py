@@ -146,6 +146,11 @@ def test_stage_fields(spark):
     assert (bad["stage_name"], bad["num_tasks"], bad["completion_time"]) == ("s2", 2, 21)
 
 
+def test_empty_failure_reason_is_a_failure(spark):
+    (row,) = parsed_stages(spark, stage(reason=""))
+    assert (row["status"], row["failure_reason"]) == ("FAILED", "")
+
+
 def test_one_pass_equals_two(spark):
     lines = [task(i, i) for i in range(5)]
     lines += [stage(i, reason="x" if i % 2 else None) for i in range(4)]

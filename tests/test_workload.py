@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import duckdb
 import pytest
 from oracle_check import rows_of
 from pyspark.sql import functions as F
 
-from faultweave.functions.scalars import with_port
+from faultweave.functions.scalars import (
+    charge,
+    descaled,
+    hundredths,
+    revenue,
+    summable,
+    with_port,
+)
 from faultweave.operators import sizing
 from faultweave.plans import workload
 from faultweave.sources.schemas import TABLES, columns
@@ -200,6 +208,28 @@ def test_lines_are_summed_before_the_shuffle_join(tables, no_broadcast):
     assert text.count("Aggregate [") == 3
 
 
+def test_whole_units_are_exact(spark):
+    rng = random.Random(4)
+    cents = [rng.randint(-(10**9), 10**9) for _ in range(20_000)] + [0, 1, -1, 10**12 + 7]
+    df = spark.createDataFrame([(c, c / 100) for c in cents], "cents bigint, amount double")
+    assert df.filter(hundredths(F.col("amount")) != F.col("cents")).count() == 0
+    total = df.agg(descaled(F.sum(summable(hundredths(F.col("amount")))), 2)).first()[0]
+    assert total == float(Decimal(sum(cents)).scaleb(-2))
+    rates = spark.createDataFrame([(100.10, 0.05, 0.08)], "p double, d double, t double")
+    row = rates.select(
+        descaled(summable(revenue(F.col("p"), F.col("d"))), 4),
+        descaled(summable(charge(F.col("p"), F.col("d"), F.col("t"))), 6),
+    ).first()
+    assert tuple(row) == (95.095, 102.7026)
+
+
+def test_sums_cannot_overflow(spark):
+    """Far beyond a bigint: thirty sums of the largest unit a row can hold."""
+    df = spark.range(30).select(summable(F.lit(999_999_999_999_999_999)).alias("units"))
+    total = df.agg(descaled(F.sum("units"), 2)).first()[0]
+    assert total == float(Decimal(999_999_999_999_999_999) * 30 / 100)
+
+
 def test_hot_keys_of_direct_joins_are_split(spark, tables, duck, no_broadcast):
     """With thresholds small enough for the fixture, the skewed side is split."""
     settings = {
