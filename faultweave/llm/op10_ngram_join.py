@@ -16,8 +16,9 @@ least t(n) = ceil(s * n) shingles for the size n of either, because their union
 Equal sets are one class from the start. On each list only the leader (smallest class) meets
 all others; those links are verified on whole sets and joined to components. Then members that
 stand in another component than their leader meet the rest of their list. So a family of near
-copies costs its list's length and not its square, and no link between different sets is lost,
-as every pair on a common list is either verified or already connected.
+copies costs its list's length and not its square, and no link between different sets is lost:
+every pair on a common list is verified, connected already, or ruled out because the buckets of
+two sets bound their overlap.
 """
 
 from __future__ import annotations
@@ -50,6 +51,9 @@ from faultweave.llm.shared import (
 
 #: Sizes considered as boundary. The subsets of a set this small stay below a few hundred.
 LARGEST_SMALL = 16
+#: Members of a list that meet others in one task, about, and hash buckets of their sketches.
+BLOCK = 2048
+BUCKETS = 256
 #: Rows that a listed shingle costs: counted once, joined once, gathered once.
 LIST_COST = 3
 
@@ -67,10 +71,10 @@ class Bounds:
         return 100 * n // self.percent
 
     def listed(self, n: int) -> int:
-        return n - self.overlap(n) + 1 + n // 20
+        return n - self.overlap(n) + 1 + 3 * n // 20
 
     def shared(self, n: int) -> int:
-        return 1 + self.overlap(n) // 20
+        return 1 + 3 * self.overlap(n) // 20
 
     def subsets(self, n: int) -> int:
         return sum(
@@ -112,7 +116,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     star = star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     star_links = saved(_verified(star, bodies, percent, k))
     reached = components(star_links)
-    rest = _beyond_leader(members, reached, percent)
+    rest = _beyond_leader(members, reached, _sketched(bodies, k), percent)
     more_links = _verified(rest, bodies, percent, k)
     reached = components(star_links.union(more_links))
 
@@ -168,7 +172,7 @@ def _entries(docs: DataFrame, classes: DataFrame, bounds: Bounds, k: int) -> Dat
     keys = _keys(docs, bounds, x, k)
     often = keys.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     # Keys of small sets must meet once; of listed shingles, as often as any partner implies.
-    least = f"if(small, 1L, 1L + (({bounds.percent} * n + 99) div 100) div 20)"
+    least = f"if(small, 1L, 1L + (({bounds.percent} * n + 99) div 100) * 3 div 20)"
     rarest = "slice(array_sort(own), 1, greatest(0, int(size(own) - least + 1)))"
     kept = (
         keys.join(often, "h")
@@ -261,29 +265,113 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> Data
     return pairs.join(of_b, "b").join(of_a, "a").mapInArrow(run, "a long, b long")
 
 
-def _beyond_leader(members: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in different components, of which one at least isn't in the leader's."""
+def _beyond_leader(members: DataFrame, reached: DataFrame, sketches: DataFrame, percent: int):
+    """Pairs (a, b) of a list in different components, of which one at least isn't in the
+    leader's, that may be as similar as asked by their sizes and sketches.
+
+    A list is cut into blocks, and blocks meet in tasks: those apart from their leader as probes,
+    all members as the list. So a task holds two blocks at most, and only pairs that pass come
+    out of it.
+    """
     of = reached.withColumnRenamed("component", "of")
     lead = reached.select(F.col("node").alias("lead_node"), F.col("component").alias("lead_of"))
-    placed = (
+    placed = saved(
         members.select("h", "node", "n", F.col("lead.node").alias("lead_node"))
         .join(of, "node", "left")
         .join(lead, "lead_node", "left")
-        .select(
-            "h",
-            "node",
-            "n",
-            "lead_node",
-            F.coalesce("of", "node").alias("of"),
-            F.coalesce("lead_of", "lead_node").alias("lead_of"),
-        )
+        .withColumn("of", F.coalesce("of", "node"))
+        .withColumn("apart", F.expr("of <> coalesce(lead_of, lead_node)"))
+        .drop("lead_of")
+    )
+    # On a list of two, the other has met the leader already.
+    sizes = placed.groupBy("h").agg(
+        F.ceil(F.count_if("apart") / BLOCK).alias("probes"), F.ceil(F.count("*") / BLOCK).alias("rows"),
+        F.count("*").alias("members"),
+    )
+    sizes = sizes.where("probes > 0 and members > 2").drop("members")
+    held = placed.join(sizes, "h").join(sketches, "node")
+    place = F.xxhash64("node")
+    probes = held.where("apart").select(
+        "*",
+        F.lit(0).alias("side"),
+        F.pmod(place, "probes").alias("p"),
+        F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"),
     )
-    apart = saved(placed.where("of <> lead_of").select("h", "node", "n", "of", "lead_node"))
-    other = placed.select("h", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "of")))
+    rows = held.select(
+        "*",
+        F.lit(1).alias("side"),
+        F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("p"),
+        F.pmod(place, "rows").alias("r"),
+    )
+    cell = ("h", "p", "r")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            if kept is not None:
+                part = pa.concat_tables([kept, part])
+            at = np.stack([part[c].to_numpy() for c in cell])
+            new = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            edges = [0, *new.tolist()]
+            for low, high in zip(edges, edges[1:], strict=False):
+                yield from _near(part.slice(low, high - low), percent, schema)
+            kept = part.slice(edges[-1]).combine_chunks()
+        if kept is not None:
+            yield from _near(kept, percent, schema)
+
     return (
-        apart.join(other, "h")
-        .where("of <> of_2 and node_2 <> lead_node")
-        .where(f"100 * least(n, n_2) >= {percent} * greatest(n, n_2)")
-        .select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
+        probes.unionByName(rows)
+        .select(*cell, "side", "node", "n", "of", "lead_node", "sketch", "excess")
+        .repartition(*cell)
+        .sortWithinPartitions(*cell, "side")
+        .mapInArrow(run, "a long, b long")
         .distinct()
     )
+
+
+def _near(cell: pa.Table, percent: int, schema: pa.Schema):
+    """The pairs of a cell that pass: equal buckets of two sketches bound the overlap."""
+    side = cell["side"].to_numpy()
+    probes = int(np.searchsorted(side, 1))
+    if not 0 < probes < len(side):
+        return
+    column = {c: cell[c].to_numpy() for c in ("node", "n", "of", "lead_node", "excess")}
+    sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    row = {c: v[probes:] for c, v in column.items()}
+    a, b = [], []
+    for i in range(probes):
+        own = {c: v[i] for c, v in column.items()}
+        ok = (row["of"] != own["of"]) & (row["node"] != own["lead_node"])
+        low, high = np.minimum(row["n"], own["n"]), np.maximum(row["n"], own["n"])
+        ok &= 100 * low >= percent * high
+        there = np.flatnonzero(ok)
+        if not len(there):
+            continue
+        both = np.minimum(sketch[probes:][there], sketch[i]).sum(axis=1, dtype=np.int64)
+        both += np.minimum(row["excess"][there], own["excess"])
+        there = there[(100 + percent) * both >= percent * (row["n"][there] + own["n"])]
+        other = row["node"][there]
+        a.append(np.minimum(other, own["node"]))
+        b.append(np.maximum(other, own["node"]))
+    if a:
+        yield table(schema, np.concatenate(a), np.concatenate(b))
+
+
+def _sketched(bodies: DataFrame, k: int) -> DataFrame:
+    """(node, sketch, excess): shingles of a set by hash bucket, as bytes, and how many go beyond
+    what bytes hold."""
+    schema = pa.schema([("node", pa.int64()), ("sketch", pa.binary()), ("excess", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sketch, excess = [], []
+            for raw in unpacked(batch["body"]):
+                own = next(_distinct(one_text(raw), k))
+                count = np.bincount((own >> U64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+                sketch.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+                excess.append(int(np.maximum(count - 255, 0).sum()))
+            yield table(schema, batch["node"], sketch, excess)
+
+    return bodies.mapInArrow(run, "node long, sketch binary, excess long")
