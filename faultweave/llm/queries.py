@@ -12,6 +12,7 @@ from faultweave.llm.op03_pii import pii_spans
 from faultweave.llm.op04_packing import pack
 from faultweave.llm.op05_toxicity import toxicity
 from faultweave.llm.op06_decontamination import contaminated
+from faultweave.llm.op07_suffix_dedup import remove_repeats
 from faultweave.llm.op08_language_id import language_id
 from faultweave.llm.op09_license_scan import license_scan
 from faultweave.llm.op10_ngram_join import ngram_jaccard_join
@@ -46,6 +47,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), items)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), length=50)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,

@@ -127,7 +127,8 @@ LETTER_OR_DIGIT = ~byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE_VALUE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: A fixed random odd number for each byte.
+BYTE_VALUE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def powers(n: int) -> np.ndarray:
@@ -183,7 +184,7 @@ def _hashed(
     step = np.diff(np.append(begin, len(data)))
     place = np.arange(len(data)) - np.repeat(begin, step)
     np.minimum(place, longest, out=place)
-    value = _BYTE_VALUE[data] * powers(longest + 1)[place]
+    value = BYTE_VALUE[data] * powers(longest + 1)[place]
     value[~inside] = 0
     return mixed(np.add.reduceat(value, begin) + (end - begin).astype(np.uint64))
 
