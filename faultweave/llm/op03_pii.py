@@ -63,8 +63,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
     spans is `kind:start:end`, in code points with exclusive end, ordered by start and then kind
     (email, ip, card, phone, ssn, iban, secret), joined by commas; base_sha256 is the hash of the
-    same text of the base kinds alone. Base spans of different kinds may overlap; added spans
-    overlap no base span.
+    same text of the base kinds alone. Base spans of different kinds may overlap; an added span
+    overlaps a base span only where it holds all of it, as a key holds digits.
 
     A null or empty text has no spans. Null doc_ids and repeated rows come out as they are;
     repeats count in training as often as they occur. No rows give no rows. Columns other than
@@ -195,7 +195,9 @@ def _candidates(text: DataFrame, *keep: str) -> DataFrame:
     base = base.withColumn("base", _ordered(F.concat(*(_named(k) for k in BASE))))
     free = F.filter(
         "other",
-        lambda x: ~F.exists("base", lambda b: (b.s < x.e) & (x.s < b.e)),
+        lambda x: ~F.exists(
+            "base", lambda b: (b.s < x.e) & (x.s < b.e) & ~((x.s <= b.s) & (b.e <= x.e))
+        ),
     )
     return base.withColumn("other", free).select(
         *keep, *BASE, "base", F.transform("other", _voted).alias("candidates")

@@ -39,6 +39,8 @@ SAMPLE = 10_000
 INPUTS = 256
 FOLDS = 5
 LEAST_DOCS = 5
+#: Standard errors by which the shares of a word must differ at least.
+LEAST_Z = 4.0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -170,7 +172,7 @@ def _telling(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     z = np.abs(yes / n_yes - no / n_no) / spread
     z[yes + no < LEAST_DOCS] = 0
     order = np.lexsort((hashes, -z))[:INPUTS]
-    return np.sort(hashes[order[z[order] > 0]])
+    return np.sort(hashes[order[z[order] >= LEAST_Z]])
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 8, ridge: float = 1.0) -> np.ndarray:
