@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,30 +43,11 @@ def with_port(name: Column, port: int) -> Column:
     return F.concat_ws(":", name, F.lit(port).cast("string"))
 
 
-def hundredths(value: Column) -> Column:
-    """A TPC-H money, quantity or rate column as the whole hundredths it stands for.
-
-    Whole numbers add up exactly in any order and stay in one machine word per
-    row; casting doubles to decimals costs several times the scan.
-    """
-    return F.floor(value * 100 + 0.5)
-
-
 def revenue(price: Column, discount: Column) -> Column:
-    """`price * (1 - discount)` in ten-thousandths."""
-    return hundredths(price) * (F.lit(100) - hundredths(discount))
+    """`price * (1 - discount)`."""
+    return price * (1 - discount)
 
 
 def charge(price: Column, discount: Column, tax: Column) -> Column:
-    """`price * (1 - discount) * (1 + tax)` in millionths."""
-    return revenue(price, discount) * (F.lit(100) + hundredths(tax))
-
-
-def summable(units: Column) -> Column:
-    """Whole units in a type whose sum cannot overflow at any table size."""
-    return units.cast("decimal(18,0)")
-
-
-def descaled(total: Column, digits: int) -> Column:
-    """A sum of units of `10**-digits` as a double."""
-    return (total * F.lit(Decimal(1).scaleb(-digits))).cast("double")
+    """`price * (1 - discount) * (1 + tax)`."""
+    return revenue(price, discount) * (1 + tax)

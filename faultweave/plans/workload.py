@@ -1,13 +1,13 @@
 """TPC-H-shaped workload queries.
 
-Lines that are only asked for sums per order are summed before they meet orders
-too large to broadcast: the join reuses the shuffle of the sums, sees one row
-per order instead of one per line, and a hot order collapses on the map side.
-Lines that also carry a supplier, part or mode hardly shrink by that and would
-shuffle twice, so they join as they are; a hot key is then split by adaptive
-skew joins, which the group-by on other keys behind them allows. That group-by
-makes every form right for any number of rows per key. Money is summed in whole
-units and given out as double.
+Lines that are only asked for sums per order are summed before they meet orders:
+the join reuses the shuffle of the sums, sees one row per order instead of one
+per line, and a hot order collapses on the map side. Lines that also carry a
+supplier, part or mode hardly shrink by that and would shuffle twice, so they
+join as they are; a hot key is then split by adaptive skew joins, which the
+group-by on other keys behind them allows. Small tables are joined to each other
+first, so that the final group-by, whose map side sums each partition to a few
+rows, is the only one behind the lines. Money is summed as the expression stands.
 """
 
 from __future__ import annotations
@@ -17,28 +17,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultweave.functions.scalars import charge, descaled, hundredths, revenue, summable
-from faultweave.operators.sizing import broadcast_if_small, fits_broadcast
+from faultweave.functions.scalars import charge, revenue
+from faultweave.operators.sizing import broadcast_if_small
 
 # Priorities that count as high.
 HIGH_PRIORITIES = ("1-URGENT", "2-HIGH")
 
-# Decimal places of the units that sums are kept in.
-CENTS = 2
-REVENUE_DIGITS = 4
-CHARGE_DIGITS = 6
-
 
 def _price() -> Column:
-    return summable(hundredths(F.col("l_extendedprice")))
+    return F.col("l_extendedprice")
 
 
 def _quantity() -> Column:
-    return summable(hundredths(F.col("l_quantity")))
+    return F.col("l_quantity")
 
 
 def _revenue() -> Column:
-    return summable(revenue(F.col("l_extendedprice"), F.col("l_discount")))
+    return revenue(F.col("l_extendedprice"), F.col("l_discount"))
 
 
 def _one() -> Column:
@@ -53,14 +48,9 @@ def _lines(lineitem: DataFrame, *keys: str, **values: Column) -> DataFrame:
     return lineitem.select(*keys, *[v.alias(name) for name, v in values.items()])
 
 
-def _order_lines(lineitem: DataFrame, joined_to: list[DataFrame], **values: Column) -> DataFrame:
-    """Lines by order, summed per order unless all they meet can be broadcast."""
-    lines = _lines(lineitem, "l_orderkey", **values)
-    return lines if fits_broadcast(*joined_to) else _sum_by(lines, ["l_orderkey"], *values)
-
-
-def _descale(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: descaled(F.col(c), d) for c, d in digits.items()})
+def _order_lines(lineitem: DataFrame, **values: Column) -> DataFrame:
+    """The values of the lines summed by order."""
+    return _sum_by(_lines(lineitem, "l_orderkey", **values), ["l_orderkey"], *values)
 
 
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -98,18 +88,12 @@ def shipping_priority(
 ) -> DataFrame:
     """Revenue of unshipped orders of one market segment, best first."""
     unshipped = lineitem.filter(F.col("l_shipdate") > F.lit(cutoff))
-    lines = _order_lines(unshipped, [orders, customer], revenue=_revenue())
+    lines = _order_lines(unshipped, revenue=_revenue())
     buyers = customer.filter(F.col("c_mktsegment") == segment).select("c_custkey")
     open_orders = orders.filter(F.col("o_orderdate") < F.lit(cutoff)).join(buyers, _of_customer())
     keys = ["l_orderkey", "o_orderdate", *extra_keys]
     totals = _sum_by(lines.join(open_orders, _of_order()), keys, "revenue")
-    return _top(
-        _descale(totals, revenue=REVENUE_DIGITS),
-        k,
-        F.col("revenue").desc(),
-        F.col("o_orderdate"),
-        F.col("l_orderkey"),
-    )
+    return _top(totals, k, F.col("revenue").desc(), F.col("o_orderdate"), F.col("l_orderkey"))
 
 
 def order_priority(
@@ -152,7 +136,7 @@ def returned_items(
     form.
     """
     returned = lineitem.filter(F.col("l_returnflag") == "R")
-    lines = _order_lines(returned, [orders], revenue=_revenue())
+    lines = _order_lines(returned, revenue=_revenue())
     in_window = orders.filter(_in_window("o_orderdate", start, end)).select(
         "o_orderkey", "o_custkey"
     )
@@ -163,7 +147,7 @@ def returned_items(
     joined = per_customer.join(customer, _of_customer()).join(
         broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    totals = _descale(_sum_by(joined, keys, "revenue"), revenue=REVENUE_DIGITS)
+    totals = _sum_by(joined, keys, "revenue")
     top = _top(totals, k, F.col("revenue").desc(), *[F.col(c) for c in keys])
     return top.withColumn("c_name_mod", name_form(F.col("c_name"))) if by_customer_only else top
 
@@ -208,18 +192,18 @@ def pricing_summary(
     """Totals per return flag and line status of lines shipped up to a date."""
     price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     values = {
-        "sum_qty": (_quantity(), CENTS),
-        "sum_base_price": (_price(), CENTS),
-        "sum_disc_price": (_revenue(), REVENUE_DIGITS),
-        "sum_charge": (summable(charge(price, discount, tax)), CHARGE_DIGITS),
+        "sum_qty": _quantity(),
+        "sum_base_price": _price(),
+        "sum_disc_price": _revenue(),
+        "sum_charge": charge(price, discount, tax),
     }
     if with_double_qty:
-        values["sum_slow_qty"] = (summable(hundredths(F.col("l_quantity") * 2)), CENTS)
+        values["sum_slow_qty"] = _quantity() * 2
     return (
         lineitem.filter(F.col("l_shipdate") <= F.lit(cutoff))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            *[descaled(F.sum(v), digits).alias(name) for name, (v, digits) in values.items()],
+            *[F.sum(v).alias(name) for name, v in values.items()],
             F.count("*").alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
@@ -262,7 +246,7 @@ def _nation_totals(
     joined = per_supplier.join(broadcast_if_small(supplier), _of_supplier()).join(
         broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey")
     )
-    totals = joined.groupBy("n_name").agg(descaled(F.sum("total"), CENTS).alias(name))
+    totals = joined.groupBy("n_name").agg(F.sum("total").alias(name))
     return totals.orderBy(F.col(name).desc(), "n_name")
 
 
@@ -309,11 +293,11 @@ def large_volume(
     lines are read and shuffled once.
     """
     totals = lineitem.groupBy("l_orderkey").agg(F.sum(_quantity()).alias("sum_qty"))
-    large = totals.filter(F.col("sum_qty") > threshold * 10**CENTS)
+    large = totals.filter(F.col("sum_qty") > threshold)
     keys = ["c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice"]
     joined = large.join(orders, _of_order()).join(customer, _of_customer())
     return _top(
-        _descale(_sum_by(joined, keys, "sum_qty"), sum_qty=CENTS),
+        _sum_by(joined, keys, "sum_qty"),
         k,
         F.col("o_totalprice").desc(),
         F.col("o_orderdate"),
@@ -343,24 +327,22 @@ def segment_priority(
     values = {
         "price": _price(),
         "qty": _quantity(),
-        "disc": summable(hundredths(F.col("l_discount"))),
-        "tax": summable(hundredths(F.col("l_tax"))),
+        "disc": F.col("l_discount"),
+        "tax": F.col("l_tax"),
         "discounts": F.when(F.col("l_discount").isNotNull(), _one()).otherwise(0),
     }
-    lines = _order_lines(lineitem, [orders], **values)
-    per_customer = _sum_by(
-        lines.join(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), _of_order()),
-        ["o_custkey", "o_orderpriority"],
-        *values,
+    owned = orders.select("o_orderkey", "o_custkey", "o_orderpriority").join(
+        customer.select("c_custkey", "c_mktsegment"), _of_customer()
     )
     totals = (
-        per_customer.join(customer.select("c_custkey", "c_mktsegment"), _of_customer())
+        _order_lines(lineitem, **values)
+        .join(owned.drop("o_custkey", "c_custkey"), _of_order())
         .groupBy("c_mktsegment", "o_orderpriority")
         .agg(
-            descaled(F.sum("price"), CENTS).alias("total_price"),
-            descaled(F.sum("qty"), CENTS).alias("total_qty"),
-            F.try_divide(descaled(F.sum("disc"), CENTS), F.sum("discounts")).alias("avg_disc"),
-            descaled(F.sum("tax"), CENTS).alias("total_tax"),
+            F.sum("price").alias("total_price"),
+            F.sum("qty").alias("total_qty"),
+            F.try_divide(F.sum("disc"), F.sum("discounts")).alias("avg_disc"),
+            F.sum("tax").alias("total_tax"),
         )
     )
     return _top(
@@ -377,28 +359,19 @@ def nation_status(
 ) -> DataFrame:
     """Revenue and lines per supplier nation and order status."""
     lines = _lines(lineitem, "l_orderkey", "l_suppkey", revenue=_revenue(), cnt=_one())
-    per_supplier = _sum_by(
-        lines.join(orders.select("o_orderkey", "o_orderstatus"), _of_order()),
-        ["l_suppkey", "o_orderstatus"],
-        "revenue",
-        "cnt",
-    )
-    joined = per_supplier.join(supplier, _of_supplier()).join(
+    places = supplier.select("s_suppkey", "s_nationkey").join(
         broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey")
     )
-    totals = _sum_by(joined, ["n_name", "o_orderstatus"], "revenue", "cnt")
-    return _top(
-        _descale(totals, revenue=REVENUE_DIGITS),
-        k,
-        F.col("revenue").desc(),
-        F.col("n_name"),
-        F.col("o_orderstatus"),
+    joined = lines.join(orders.select("o_orderkey", "o_orderstatus"), _of_order()).join(
+        broadcast_if_small(places.select("s_suppkey", "n_name")), _of_supplier()
     )
+    totals = _sum_by(joined, ["n_name", "o_orderstatus"], "revenue", "cnt")
+    return _top(totals, k, F.col("revenue").desc(), F.col("n_name"), F.col("o_orderstatus"))
 
 
 def _customer_lines(orders: DataFrame, lineitem: DataFrame, **values: Column) -> DataFrame:
     """The values summed per customer key."""
-    lines = _order_lines(lineitem, [orders], **values)
+    lines = _order_lines(lineitem, **values)
     owners = orders.select("o_orderkey", "o_custkey")
     return _sum_by(lines.join(owners, _of_order()), ["o_custkey"], *values)
 
@@ -412,7 +385,7 @@ def customer_spend(
     joined = _customer_lines(orders, lineitem, **values).join(
         customer.select(*keys), _of_customer()
     )
-    totals = _descale(_sum_by(joined, keys, *values), total_spent=CENTS, total_qty=CENTS)
+    totals = _sum_by(joined, keys, *values)
     return _top(totals, k, F.col("total_spent").desc(), F.col("c_custkey"))
 
 
@@ -425,7 +398,7 @@ def customer_totals(
     joined = _customer_lines(orders, lineitem, **values).join(
         customer.select(*keys), _of_customer()
     )
-    totals = _descale(_sum_by(joined, keys, *values), total_price=CENTS)
+    totals = _sum_by(joined, keys, *values)
     return _top(totals, k, F.col("total_price").desc(), F.col("c_custkey"))
 
 
@@ -438,15 +411,13 @@ def customer_supplier(
 ) -> DataFrame:
     """Customer and supplier name pairs by total price."""
     lines = _lines(lineitem, "l_orderkey", "l_suppkey", total_price=_price())
-    pairs = _sum_by(
-        lines.join(orders.select("o_orderkey", "o_custkey"), _of_order()),
-        ["o_custkey", "l_suppkey"],
-        "total_price",
+    owned = orders.select("o_orderkey", "o_custkey").join(
+        customer.select("c_custkey", "c_name"), _of_customer()
     )
-    joined = pairs.join(customer.select("c_custkey", "c_name"), _of_customer()).join(
-        supplier.select("s_suppkey", "s_name"), _of_supplier()
+    joined = lines.join(owned.select("o_orderkey", "c_name"), _of_order()).join(
+        broadcast_if_small(supplier.select("s_suppkey", "s_name")), _of_supplier()
     )
-    totals = _descale(_sum_by(joined, ["c_name", "s_name"], "total_price"), total_price=CENTS)
+    totals = _sum_by(joined, ["c_name", "s_name"], "total_price")
     return _top(totals, k, F.col("total_price").desc(), F.col("c_name"), F.col("s_name"))
 
 
@@ -514,11 +485,11 @@ def cross_totals(
     if row_limit is not None:
         left = left.orderBy(limit_key).limit(row_limit)
     count = F.count("*").cast("decimal(19,0)")
-    a = left.agg(count.alias("n"), F.sum(summable(hundredths(F.col(money)))).alias("s"))
+    a = left.agg(count.alias("n"), F.sum(money).alias("s"))
     b = right.agg(count.alias("m"))
     sizes = a.unionByName(b, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in "nsm"])
-    price = F.when(F.col("m") > 0, F.col("s").cast("decimal(36,0)") * F.col("m"))
+    price = F.when(F.col("m") > 0, F.col("s") * F.col("m"))
     return sizes.select(
         (F.col("n") * F.col("m")).cast("decimal(38,0)").alias("total_rows"),
-        descaled(price, CENTS).alias("total_price"),
+        price.alias("total_price"),
     )

@@ -441,17 +441,17 @@ FROM events WHERE user_id % 8 < 7 AND event_id % 4 < 3 GROUP BY user_id"""
 
 # ---------------------------------------------------------------- workload
 
-_PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
-_REVENUE = f"{_PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2)))"
-_QTY = "CAST(l_quantity AS DECIMAL(12,2))"
+_PRICE = "l_extendedprice"
+_REVENUE = "l_extendedprice * (1 - l_discount)"
+_QTY = "l_quantity"
 
 
-def _total(expr: str, name: str) -> str:
-    return f"CAST(sum({expr}) AS DOUBLE) AS {name}"
+def _total(expr: str, name: str, digits: int = 2) -> str:
+    return _round(f"sum({expr})", name, digits)
 
 
 ORACLES["q_shipping_priority"] = f"""
-SELECT l_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, {_total(_REVENUE, "revenue")}
+SELECT l_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, {_total(_REVENUE, "revenue", 4)}
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15'
   AND l_shipdate > TIMESTAMP '1998-03-15'
@@ -471,12 +471,12 @@ WHERE o_orderdate >= TIMESTAMP '1996-10-01' AND o_orderdate < TIMESTAMP '1997-01
   AND l_returnflag = 'R'"""
 
 ORACLES["q_returned_items"] = f"""
-SELECT c_custkey, c_name, c_acctbal, n_name, {_total(_REVENUE, "revenue")} {_RETURNED}
+SELECT c_custkey, c_name, c_acctbal, n_name, {_total(_REVENUE, "revenue", 4)} {_RETURNED}
 GROUP BY c_custkey, c_name, c_acctbal, n_name
 ORDER BY revenue DESC, c_custkey, c_name, c_acctbal, n_name LIMIT 50"""
 
 ORACLES["q_returned_items_top20"] = f"""
-SELECT c_custkey, c_name, {_total(_REVENUE, "revenue")}, lower(c_name) AS c_name_mod {_RETURNED}
+SELECT c_custkey, c_name, {_total(_REVENUE, "revenue", 4)}, lower(c_name) AS c_name_mod {_RETURNED}
 GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey, c_name LIMIT 20"""
 
 ORACLES["q_ship_mode"] = """
@@ -490,8 +490,8 @@ GROUP BY l_returnflag"""
 
 _PRICING = f"""
 SELECT l_returnflag, l_linestatus, {_total(_QTY, "sum_qty")}, {_total(_PRICE, "sum_base_price")},
-       {_total(_REVENUE, "sum_disc_price")},
-       {_total(f"{_REVENUE} * (1 + CAST(l_tax AS DECIMAL(4,2)))", "sum_charge")},
+       {_total(_REVENUE, "sum_disc_price", 4)},
+       {_total(f"{_REVENUE} * (1 + l_tax)", "sum_charge", 3)},
        %s count(*) AS count_order
 FROM %s WHERE l_shipdate <= TIMESTAMP '%s' GROUP BY l_returnflag, l_linestatus"""
 
@@ -532,10 +532,10 @@ skewed AS (
 def _large_volume(lines: str, threshold: int) -> str:
     return f"""
 SELECT c_name, c_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
-       o_totalprice, {_total("CAST(x.l_quantity AS DECIMAL(12,2))", "sum_qty")}
+       o_totalprice, {_total("x.l_quantity", "sum_qty")}
 FROM customer JOIN orders ON c_custkey = o_custkey
 JOIN (SELECT l_orderkey FROM {lines} GROUP BY l_orderkey
-      HAVING sum(CAST(l_quantity AS DECIMAL(12,2))) > {threshold}) big
+      HAVING sum(l_quantity) > {threshold}) big
      ON o_orderkey = big.l_orderkey
 JOIN {lines} x ON o_orderkey = x.l_orderkey
 GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice
@@ -555,13 +555,13 @@ FROM per_key"""
 ORACLES["q_heavy_segment_priority"] = f"""
 SELECT c_mktsegment, o_orderpriority, {_total(_PRICE, "total_price")}, {_total(_QTY, "total_qty")},
        {_round("avg(l_discount)", "avg_disc", 9)},
-       {_total("CAST(l_tax AS DECIMAL(4,2))", "total_tax")}
+       {_total("l_tax", "total_tax")}
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 GROUP BY c_mktsegment, o_orderpriority
 ORDER BY total_price DESC, c_mktsegment, o_orderpriority LIMIT 200"""
 
 ORACLES["q_heavy_nation_status"] = f"""
-SELECT n_name, o_orderstatus, {_total(_REVENUE, "revenue")}, count(*) AS cnt
+SELECT n_name, o_orderstatus, {_total(_REVENUE, "revenue", 4)}, count(*) AS cnt
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation ON s_nationkey = n_nationkey
 GROUP BY n_name, o_orderstatus ORDER BY revenue DESC, n_name, o_orderstatus LIMIT 100"""
@@ -591,18 +591,18 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 WHERE p_size = 15 AND p_type LIKE '%O' AND r_name = 'EUROPE'
 ORDER BY s_acctbal DESC, s_name, n_name, p_partkey LIMIT 100"""
 
-ORACLES["range_category_agg"] = """
-SELECT CAST(o_orderkey % 7 AS VARCHAR) AS category,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total
+ORACLES["range_category_agg"] = f"""
+SELECT CAST(o_orderkey % 7 AS VARCHAR) AS category, {_total("o_totalprice", "total")}
 FROM orders GROUP BY 1"""
 
-ORACLES["cross_join_summary"] = """
+ORACLES["cross_join_summary"] = f"""
 SELECT count(*) AS total_rows,
-       CAST(sum(CAST(a.o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total_price
+       {_round("sum(CAST(a.o_totalprice AS DECIMAL(12,2))) / 1e6", "total_price", 4)}
 FROM orders a CROSS JOIN orders b"""
 
 ORACLES["cross_join_pairs"] = f"""
-SELECT count(*) AS total_rows, {_total(_PRICE, "total_price")}
+SELECT count(*) AS total_rows,
+       {_round("sum(CAST(l_extendedprice AS DECIMAL(12,2))) / 1e6", "total_price", 4)}
 FROM lineitem CROSS JOIN customer"""
 
 # ---------------------------------------------------------------- manifest, lookups
