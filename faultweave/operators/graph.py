@@ -128,7 +128,7 @@ def status_icon(status: Column) -> Column:
 
 
 def chain_listing(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One line per stage: icon, status, parents, children, start of the reason."""
+    """One line per stage: icon, status, parents, children, reason and its start for display."""
     return chain_links(nodes, chunk=chunk).select(
         "app_id",
         "stage_id",
@@ -136,6 +136,7 @@ def chain_listing(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "status",
         _ids_or_none(F.array_compact(F.array("prev.stage_id"))).alias("parents"),
         _ids_or_none(F.array_compact(F.array("next.stage_id"))).alias("children"),
+        "failure_reason",
         F.substring("failure_reason", 1, 50).alias("reason_start"),
     )
 

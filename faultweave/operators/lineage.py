@@ -1,24 +1,23 @@
 """Stage graphs with true parent ids: reachability, shape and root cause.
 
 A stage may have many parents, so no closed form exists. All applications are
-walked together, one join per hop; each hop's frontier is checkpointed, so the
-plan stays short and a lost executor repeats one hop at most. The loops run
-jobs: they must know when a frontier is empty.
+walked together by doubling: the pairs at 2**k steps, joined with themselves, are
+the pairs at 2**(k + 1) steps, and any number of steps is a sum of such powers. So
+the rounds grow with the logarithm of the depth. Each round is kept once computed;
+the loops run jobs, as they must know when no longer step exists.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultweave.functions.scalars import join_ids
 from faultweave.operators.graph import COMPLETED, FAILED, is_logical_abort
 from faultweave.operators.rootcause import NO_FAILURE, UNKNOWN_REASON, confidence
 from faultweave.operators.sizing import cut_lineage
 
-# Visited stages are merged into one checkpoint every this many hops.
-MERGE_HOPS = 8
-
 
 def lineage_edges(nodes: DataFrame) -> DataFrame:
     """(app_id, child_stage_id, parent_stage_id) for parents that exist."""
@@ -33,26 +32,45 @@ def lineage_edges(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _jumps(arcs: DataFrame, most: int) -> list[DataFrame]:
+    """Arcs of 1, 2, 4, ... steps: (app_id, source, target), until none is left or a walk of
+    `most` steps can be made of them. Runs jobs."""
+    jumps = [cut_lineage(arcs.select("app_id", "source", "target").distinct())]
+    while 2 ** len(jumps) <= most:
+        half = jumps[-1]
+        onward = half.selectExpr("app_id", "source AS target", "target AS next")
+        double = half.join(onward, ["app_id", "target"]).selectExpr(
+            "app_id", "source", "next AS target"
+        )
+        double = cut_lineage(double.distinct())
+        if double.isEmpty():
+            break
+        jumps.append(double)
+    return jumps
+
+
+def _most_stages(arcs: DataFrame) -> int:
+    """An upper bound of the stages that the arcs of one application touch."""
+    sizes = arcs.groupBy("app_id").agg(F.count_distinct("source").alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) + 1
+
+
 def reach(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything reachable from the seeds, the seeds included. Runs jobs.
 
     `arcs` is (app_id, source, target); `seeds` is (app_id, seed, stage_id), where
-    `seed` keeps walks of one application apart.
+    `seed` keeps walks of one application apart. Longest jumps are taken first:
+    after the jumps of 2**k steps all walks of any sum of such powers are found.
     """
     keys = ["app_id", "seed", "stage_id"]
-    onward = arcs.selectExpr("app_id", "source AS stage_id", "target")
-    frontier = cut_lineage(seeds.select(*keys).distinct())
-    visited, hops = frontier, 0
-    while not frontier.isEmpty():
-        hops += 1
-        step = frontier.join(onward, ["app_id", "stage_id"]).selectExpr(
+    found = seeds.select(*keys).distinct()
+    for jump in reversed(_jumps(arcs, _most_stages(arcs))):
+        onward = jump.selectExpr("app_id", "source AS stage_id", "target")
+        step = found.join(onward, ["app_id", "stage_id"]).selectExpr(
             "app_id", "seed", "target AS stage_id"
         )
-        frontier = cut_lineage(step.distinct().join(visited, keys, "left_anti"))
-        visited = visited.unionByName(frontier)
-        if hops % MERGE_HOPS == 0:
-            visited = cut_lineage(visited)
-    return visited
+        found = cut_lineage(found.unionByName(step).distinct())
+    return found
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, source: str, target: str, found: str) -> DataFrame:
@@ -79,71 +97,48 @@ def lineage_descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def lineage_shape(nodes: DataFrame) -> DataFrame:
     """Per application: stages, roots, leaves, depth, acyclicity. Runs jobs.
 
-    Layers of stages without open parents are peeled off; stages left when no
-    layer comes off sit on or behind a cycle. `depth` counts peeled layers and is
-    NULL for a cyclic graph.
+    `depth` counts the stages of the longest walk, found by trying the longest
+    jumps first from wherever the walk has come. It is NULL for a cyclic graph,
+    where walks have more steps than there are stages.
     """
     keys = ["app_id", "stage_id"]
     stages = cut_lineage(nodes.select(*keys, "parent_ids"))
     edges = cut_lineage(lineage_edges(stages))
     children = edges.select("app_id", F.col("child_stage_id").alias("stage_id")).distinct()
     parents = edges.select("app_id", F.col("parent_stage_id").alias("stage_id")).distinct()
-    roots = cut_lineage(stages.select(*keys).join(children, keys, "left_anti"))
+    roots = stages.select(*keys).join(children, keys, "left_anti")
     leaves = stages.select(*keys).join(parents, keys, "left_anti")
 
-    layer, ready, waiting = 1, roots, edges
-    layers = [_apps_at(roots, layer)]
-    while True:
-        peeled = ready.selectExpr("app_id", "stage_id AS parent_stage_id", "true AS gone")
-        marked = cut_lineage(
-            waiting.join(peeled, ["app_id", "parent_stage_id"], "left").selectExpr(
-                "app_id", "child_stage_id", "parent_stage_id", "gone IS NOT NULL AS peeled"
-            )
-        )
-        if marked.filter("peeled").isEmpty():
-            break
-        layer += 1
-        ready = (
-            marked.groupBy("app_id", "child_stage_id")
-            .agg(F.expr("bool_and(peeled) AS all_peeled"))
-            .filter("all_peeled")
-            .selectExpr("app_id", "child_stage_id AS stage_id")
-        )
-        waiting = marked.filter("NOT peeled").drop("peeled")
-        layers.append(_apps_at(ready, layer))
-        if layer % MERGE_HOPS == 0:
-            layers = [cut_lineage(_deepest(layers))]
-
-    stuck = waiting.groupBy("app_id").agg(F.lit(True).alias("stuck"))
-    acyclic = F.col("stuck").isNull()
+    arcs = edges.selectExpr("app_id", "parent_stage_id AS source", "child_stage_id AS target")
+    jumps = _jumps(arcs, _most_stages(arcs))
+    here, steps = stages.select(*keys), []
+    for k in reversed(range(len(jumps))):
+        onward = jumps[k].selectExpr("app_id", "source AS stage_id", "target")
+        moved = here.join(onward, keys).selectExpr("app_id", "target AS stage_id").distinct()
+        moved = cut_lineage(moved)
+        apps = moved.select("app_id").distinct()
+        steps.append(apps.withColumn("steps", F.lit(2**k)))
+        here = cut_lineage(moved.unionByName(here.join(apps, "app_id", "left_anti")))
+    walks = reduce(DataFrame.unionByName, steps).groupBy("app_id").agg(F.sum("steps").alias("steps"))
+
+    walked = F.coalesce("steps", F.lit(0))
+    acyclic = walked < F.col("total_stages")
     return (
         _per_app(stages, "total_stages")
         .join(_per_app(roots, "root_stages"), "app_id", "left")
         .join(_per_app(leaves, "leaf_stages"), "app_id", "left")
-        .join(_deepest(layers), "app_id", "left")
-        .join(stuck, "app_id", "left")
+        .join(walks, "app_id", "left")
         .select(
             "app_id",
             "total_stages",
             F.coalesce("root_stages", F.lit(0)).alias("root_stages"),
             F.coalesce("leaf_stages", F.lit(0)).alias("leaf_stages"),
-            F.when(acyclic, F.col("layer")).alias("depth"),
+            F.when(acyclic, walked + 1).cast("int").alias("depth"),
             acyclic.alias("is_acyclic"),
         )
     )
 
 
-def _apps_at(stages: DataFrame, layer: int) -> DataFrame:
-    return stages.select("app_id").distinct().withColumn("layer", F.lit(layer))
-
-
-def _deepest(layers: list[DataFrame]) -> DataFrame:
-    rows = layers[0]
-    for more in layers[1:]:
-        rows = rows.unionByName(more)
-    return rows.groupBy("app_id").agg(F.max("layer").alias("layer"))
-
-
 def _per_app(stages: DataFrame, name: str) -> DataFrame:
     return stages.groupBy("app_id").agg(F.count("*").alias(name))
 
@@ -278,14 +273,3 @@ def lineage_root_causes(
         "app_id", "stage_id", (F.col("failed") & F.col("any_cause_above")).alias("is_victim")
     )
     return causes, path
-
-
-def lineage_path_text(path: DataFrame, limit: int) -> DataFrame:
-    """Path and victim ids as text, ascending, for paths of at most `limit` stages."""
-    short = path.groupBy("app_id").agg(F.count("*").alias("n")).filter(F.col("n") <= limit)
-    kept = path.join(short.select("app_id"), "app_id", "left_semi")
-    victims = F.when(F.col("is_victim"), F.col("stage_id"))
-    return kept.groupBy("app_id").agg(
-        join_ids(F.sort_array(F.collect_list("stage_id"))).alias("propagation_path"),
-        join_ids(F.sort_array(F.collect_list(victims))).alias("victim_stages"),
-    )

@@ -6,9 +6,10 @@ failed in its own right. On a chain this has a closed form: a failed stage
 root cause is the most downstream start. The path is every stage from there to
 the last failed stage; all but the first are victims.
 
-Three shuffles find it for all applications, and none needs a whole application
-in one task: stages are first judged inside chunks of stage ids, each chunk is
-summed up in one row, and only those rows meet per application.
+Three shuffles find it for all applications, and none needs the stages of a
+whole application in one task: stages are first judged inside chunks of stage
+ids, each chunk is summed up in one row of fixed size, and only those rows meet
+per application. The stages of a path are then picked chunk by chunk.
 """
 
 from __future__ import annotations
@@ -32,9 +33,6 @@ EXTRA_ROOT = 10
 
 REASON_PREFIX = 30
 
-# Longer paths are given as rows by `propagation_path`, not as one text value.
-PATH_TEXT_LIMIT = 100_000
-
 
 def confidence(
     reason: Column, single_parents: Column, clean_parents: Column, candidates: Column
@@ -64,10 +62,9 @@ def _clean(parent: str) -> Column:
     return F.coalesce(f"{parent}.completed", F.lit(True)).alias("clean")
 
 
-def _chunk_summaries(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
-    """One row per (app_id, chunk); the parent of its first stage is still unknown."""
+def _flagged_stages(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
     reason = F.col("failure_reason")
-    stages = nodes.select(
+    return nodes.select(
         "app_id",
         "stage_id",
         "stage_name",
@@ -77,23 +74,37 @@ def _chunk_summaries(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFr
         (F.col("status") == COMPLETED).alias("completed"),
         is_logical_abort(F.col("status"), reason, strict_abort).alias("abort"),
     )
-    inside = Window.partitionBy("app_id", "chunk").orderBy("stage_id")
-    linked = stages.withColumn(
-        "parent", F.lag(F.struct("failed", "completed", "abort")).over(inside)
+
+
+def _chunk_summaries(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
+    """One row per (app_id, chunk); the parent of its first stage is still unknown."""
+    in_chunk = Window.partitionBy("app_id", "chunk")
+    linked = _flagged_stages(nodes, strict_abort, chunk).withColumn(
+        "parent",
+        F.lag(F.struct("failed", "completed", "abort")).over(in_chunk.orderBy("stage_id")),
     )
     failed, known = F.col("failed"), F.col("parent").isNotNull()
+    start = known & _starts(failed, "parent")
+    from_start = F.max(F.when(start, F.col("stage_id"))).over(in_chunk)
     root = F.struct("stage_id", "stage_name", "failure_reason", _clean("parent"))
-    return linked.groupBy("app_id", "chunk").agg(
-        F.min(F.struct("stage_id", "stage_name", "failure_reason", "failed")).alias("first"),
-        F.max(F.struct("stage_id", "stage_name", "failed", "completed", "abort")).alias("last"),
-        F.max(F.when(known & _starts(failed, "parent"), root)).alias("root"),
-        F.count_if(known & failed & ~_is("parent", "failed")).alias("candidates"),
-        F.sort_array(F.collect_list(F.when(failed, F.col("stage_id")))).alias("failed_ids"),
+    return (
+        linked.withColumn("from_start", failed & (F.col("stage_id") >= from_start))
+        .groupBy("app_id", "chunk")
+        .agg(
+            F.min(F.struct("stage_id", "stage_name", "failure_reason", "failed")).alias("first"),
+            F.max(F.struct("stage_id", "stage_name", "failed", "completed", "abort")).alias("last"),
+            F.max(F.when(start, root)).alias("root"),
+            F.count_if(known & failed & ~_is("parent", "failed")).alias("candidates"),
+            F.max(F.when(failed, F.col("stage_id"))).alias("terminal"),
+            F.count_if("failed").alias("n_failed"),
+            F.count_if("from_start").alias("n_from_start"),
+        )
     )
 
 
-def _walked_chunks(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
-    """Chunk rows with the application's root and leaf, and their part of the path."""
+def _resolved_chunks(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFrame:
+    """Chunk rows with the application's root and leaf, and how many of their stages the path
+    has."""
     by_app = Window.partitionBy("app_id")
     first = F.col("first")
     head = F.when(
@@ -112,48 +123,43 @@ def _walked_chunks(nodes: DataFrame, strict_abort: bool, chunk: int) -> DataFram
     resolved = joined.select(
         "app_id",
         "chunk",
-        "failed_ids",
         F.max(F.coalesce("root", head)).over(by_app).alias("root"),
         F.max(F.struct("last.stage_id", "last.stage_name")).over(by_app).alias("leaf"),
         (F.col("candidates") + extra_candidate.cast("int")).alias("candidates"),
+        "terminal",
         F.col("last.stage_id").alias("last_id"),
+        F.col("root").isNotNull().alias("starts_inside"),
+        "n_failed",
+        "n_from_start",
     )
-    root_id = F.col("root.stage_id")
-    leaf_only = F.when(
-        F.col("last_id") == F.col("leaf.stage_id"), F.array("leaf.stage_id")
-    ).otherwise(F.array().cast("array<int>"))
-    path = F.when(root_id.isNull(), leaf_only).otherwise(
-        F.filter("failed_ids", lambda stage: stage >= root_id)
+    root_id, root_chunk = F.col("root.stage_id"), chunk_of(F.col("root.stage_id"), chunk)
+    in_path = (
+        F.when(root_id.isNull(), (F.col("last_id") == F.col("leaf.stage_id")).cast("bigint"))
+        .when(F.col("chunk") < root_chunk, 0)
+        .when((F.col("chunk") == root_chunk) & F.col("starts_inside"), F.col("n_from_start"))
+        .otherwise(F.col("n_failed"))
     )
-    return resolved.withColumn("path", path)
+    return resolved.withColumn("in_path", in_path)
 
 
 def chain_root_causes(
-    nodes: DataFrame,
-    strict_abort: bool = False,
-    text_limit: int = PATH_TEXT_LIMIT,
-    chunk: int = CHUNK,
+    nodes: DataFrame, strict_abort: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
-    """One row per application: root cause, path and confidence.
+    """One row per application: root cause, last failed stage, path length and confidence.
 
-    `path` holds the stage ids in order; it is NULL where the path has more than
-    `text_limit` stages, whose rows `propagation_path` still gives whole.
-    Healthy applications get their leaf stage, `NO_FAILURE` and confidence 1.
+    Healthy applications get their leaf stage, `NO_FAILURE` and confidence 1. The
+    path itself is given by `propagation_path` and `path_text`.
     """
-    by_app = Window.partitionBy("app_id")
-    chunks = _walked_chunks(nodes, strict_abort, chunk).withColumn(
-        "path_length", F.sum(F.size("path")).over(by_app)
-    )
-    fits = F.col("path_length") <= text_limit
-    pieces = F.collect_list(F.when(fits, F.struct("chunk", "path")))
-    path = F.flatten(F.transform(F.sort_array(pieces), lambda piece: piece["path"]))
-    per_app = chunks.groupBy("app_id").agg(
-        F.max("leaf").alias("leaf"),
-        F.max("root").alias("root"),
-        F.max(F.array_max("failed_ids")).alias("terminal"),
-        F.sum("candidates").alias("candidates"),
-        F.max("path_length").alias("path_length"),
-        path.alias("path"),
+    per_app = (
+        _resolved_chunks(nodes, strict_abort, chunk)
+        .groupBy("app_id")
+        .agg(
+            F.max("leaf").alias("leaf"),
+            F.max("root").alias("root"),
+            F.max("terminal").alias("terminal"),
+            F.sum("candidates").alias("candidates"),
+            F.sum("in_path").alias("path_length"),
+        )
     )
     healthy = F.col("root").isNull()
     score = confidence(
@@ -168,7 +174,6 @@ def chain_root_causes(
         .alias("failure_reason"),
         F.coalesce("terminal", "leaf.stage_id").alias("terminal_stage_id"),
         "path_length",
-        F.when(F.col("path_length") <= text_limit, F.col("path")).alias("path"),
         F.when(healthy, 1.0).otherwise(score).alias("analysis_confidence"),
     )
 
@@ -176,30 +181,41 @@ def chain_root_causes(
 def propagation_path(
     nodes: DataFrame, strict_abort: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
-    """One row per path stage: (app_id, stage_id, is_victim); whole at any length."""
-    root = F.coalesce("root.stage_id", "leaf.stage_id")
+    """One row per path stage: (app_id, stage_id, is_victim)."""
+    root_id = F.coalesce("root.stage_id", "leaf.stage_id")
+    chunks = (
+        _resolved_chunks(nodes, strict_abort, chunk)
+        .filter("in_path > 0")
+        .select("app_id", "chunk", root_id.alias("root_id"), F.col("root").isNull().alias("healthy"))
+    )
+    stages = _flagged_stages(nodes, strict_abort, chunk).select(
+        "app_id", "chunk", "stage_id", "failed"
+    )
+    of_path = F.when(F.col("healthy"), F.col("stage_id") == F.col("root_id")).otherwise(
+        F.col("failed") & (F.col("stage_id") >= F.col("root_id"))
+    )
     return (
-        _walked_chunks(nodes, strict_abort, chunk)
-        .select("app_id", root.alias("root_id"), F.explode("path").alias("stage_id"))
+        stages.join(chunks, ["app_id", "chunk"])
+        .filter(of_path)
         .select("app_id", "stage_id", (F.col("stage_id") != F.col("root_id")).alias("is_victim"))
     )
 
 
-def root_cause_table(causes: DataFrame) -> DataFrame:
-    """The persisted seven-column form, path and victims as text."""
-    victims = F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))
-    return causes.select(
-        "app_id",
-        "root_cause_stage_id",
-        "root_cause_stage_name",
-        "failure_reason",
-        join_ids(F.col("path")).alias("propagation_path"),
-        join_ids(victims).alias("victim_stages"),
-        "analysis_confidence",
+def path_text(path: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Path and victim ids as text, ascending: (app_id, part, propagation_path, victim_stages).
+
+    A part holds the ids of one chunk, so a path of any length comes whole and no
+    text is longer than a chunk. `path` is (app_id, stage_id, is_victim).
+    """
+    victims = F.when(F.col("is_victim"), F.col("stage_id"))
+    return path.groupBy("app_id", chunk_of(F.col("stage_id"), chunk).alias("part")).agg(
+        join_ids(F.sort_array(F.collect_list("stage_id"))).alias("propagation_path"),
+        join_ids(F.sort_array(F.collect_list(victims))).alias("victim_stages"),
     )
 
 
 def root_cause_summary(causes: DataFrame) -> DataFrame:
-    """Applications per failure reason, by the start of the reason."""
-    start = F.substring("failure_reason", 1, REASON_PREFIX).alias("reason")
-    return causes.groupBy(start).agg(F.count("*").alias("occurrences"))
+    """Applications per failure reason, with the start of the reason for display."""
+    start = F.substring("failure_reason", 1, REASON_PREFIX)
+    counted = causes.groupBy("failure_reason").agg(F.count("*").alias("occurrences"))
+    return counted.withColumn("reason_start", start)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +38,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a local one only in local mode."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is not None:
-        return
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="faultweave-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder, so lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """`df` computed once, so that later steps don't plan and run it again.
+
+    It is written to the shared folder that the session names in
+    spark.checkpoint.dir. Without one it is cached, and a lost executor repeats
+    the steps that led to its part.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

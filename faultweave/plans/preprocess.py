@@ -1,4 +1,4 @@
-"""Event logs to diagnosis: the eight tables of the preprocessing job.
+"""Event logs to diagnosis: the nine tables of the preprocessing job.
 
 Raw logs are read once. Every later step starts from the Parquet of the step
 before it, so a lost executor repeats only its own step, and nothing but file
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faultweave.operators.features import app_features, named_ground_truth
 from faultweave.operators.graph import chain_edges, stage_nodes
-from faultweave.operators.rootcause import chain_root_causes, root_cause_table
+from faultweave.operators.rootcause import chain_root_causes, path_text, propagation_path
 from faultweave.operators.split import random_split
 from faultweave.sources.eventlog import parse_events, scan_event_logs, stage_table, task_table
 
@@ -21,6 +21,7 @@ TASK_METRICS = "task_metrics.parquet"
 STAGE_METRICS = "stage_metrics.parquet"
 DAG_EDGES = "dag_edges.parquet"
 ROOT_CAUSES = "root_causes.parquet"
+PATHS = "propagation_paths.parquet"
 FEATURES = "features.parquet"
 GROUND_TRUTH = "ground_truth.parquet"
 TRAIN = "train.parquet"
@@ -30,6 +31,7 @@ OUTPUTS = (
     STAGE_METRICS,
     DAG_EDGES,
     ROOT_CAUSES,
+    PATHS,
     FEATURES,
     GROUND_TRUTH,
     TRAIN,
@@ -66,7 +68,8 @@ def run_preprocessing(
 
     nodes = stage_nodes(stages)
     save(DAG_EDGES, chain_edges(nodes))
-    save(ROOT_CAUSES, root_cause_table(chain_root_causes(nodes, strict_abort)))
+    save(ROOT_CAUSES, chain_root_causes(nodes, strict_abort))
+    save(PATHS, path_text(propagation_path(nodes, strict_abort)))
 
     features = save(FEATURES, app_features(tasks, stages))
     save(GROUND_TRUTH, named_ground_truth(features))

@@ -20,6 +20,9 @@ _EPOCH_MS = """
     + floor(extract(SECOND FROM {0}) * 1000)
 """
 
+#: Stage ids lie this far apart, so that those of an application span several chunks.
+ID_STEP = 300
+
 _APP = "'app_' || user_id"
 _LABEL = "int(user_id % 7)"
 
@@ -37,7 +40,7 @@ def _stage_rows(spark: SparkSession, sf_dir: str, attempt: str) -> DataFrame:
     return rows.selectExpr(
         f"{_APP} AS app_id",
         f"{_LABEL} AS label",
-        "int(day) AS stage_id",
+        f"int(day * {ID_STEP}) AS stage_id",
         "int(attempt) AS stage_attempt_id",
         "'stage ' || day AS stage_name",
         "num_tasks",
@@ -55,6 +58,12 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage_rows(spark, sf_dir, "0")
 
 
+def graph_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, some of those that did not fail as skipped."""
+    skipped = "if(status = 'COMPLETED' AND (label + num_tasks) % 3 = 0, 'SKIPPED', status)"
+    return stages(spark, sf_dir).withColumn("status", F.expr(skipped))
+
+
 def stage_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two attempts per stage: its events before and after noon."""
     return _stage_rows(spark, sf_dir, "hour(ts) div 12")
@@ -72,7 +81,7 @@ def lineage_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
                   p -> element_at(_ids, p))
     """
     return (
-        stages(spark, sf_dir)
+        graph_stages(spark, sf_dir)
         .withColumns(
             {"_o": F.row_number().over(by_app), "_ids": F.collect_list("stage_id").over(all_ids)}
         )
@@ -85,7 +94,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         f"{_APP} AS app_id",
         f"{_LABEL} AS label",
-        "int(day(ts)) AS stage_id",
+        f"int(day(ts) * {ID_STEP}) AS stage_id",
         "0 AS stage_attempt_id",
         "event_id AS task_id",
         "int(event_id % 3) AS task_attempt",

@@ -22,7 +22,7 @@ def _stages(name: str, attempt: str) -> str:
     return f"""
 {name} AS (
     SELECT 'app_' || user_id AS app_id, CAST(user_id % 7 AS INTEGER) AS label,
-           CAST(day(ts) AS INTEGER) AS stage_id, CAST(attempt AS INTEGER) AS stage_attempt_id,
+           CAST(day(ts) * 300 AS INTEGER) AS stage_id, CAST(attempt AS INTEGER) AS stage_attempt_id,
            'stage ' || day(ts) AS stage_name, CAST(count(*) AS INTEGER) AS num_tasks,
            epoch_us(min(ts)) // 1000 AS submission_time,
            epoch_us(max(ts)) // 1000 AS completion_time,
@@ -33,12 +33,18 @@ def _stages(name: str, attempt: str) -> str:
 
 
 STAGES = _stages("stages", "0")
+GRAPH = f"""{_stages("all_stages", "0")},
+stages AS (
+    SELECT * REPLACE (CASE WHEN status = 'COMPLETED' AND (label + num_tasks) % 3 = 0
+                           THEN 'SKIPPED' ELSE status END AS status)
+    FROM all_stages
+)"""
 ATTEMPTS = _stages("attempts", "hour(ts) // 12")
 
 TASKS = """
 tasks AS (
     SELECT 'app_' || user_id AS app_id, CAST(user_id % 7 AS INTEGER) AS label,
-           CAST(day(ts) AS INTEGER) AS stage_id, 0 AS stage_attempt_id,
+           CAST(day(ts) * 300 AS INTEGER) AS stage_id, 0 AS stage_attempt_id,
            event_id AS task_id, CAST(event_id % 3 AS INTEGER) AS task_attempt,
            'exec_' || (event_id % 4) AS executor_id, 'host_' || (event_id % 2) AS host,
            event_type <> 'error' AS success,
@@ -82,7 +88,7 @@ def _abort(reason: str, words: tuple[str, ...]) -> str:
 def _chain(words: tuple[str, ...] = ("cancelled", "aborted")) -> str:
     """CTEs up to `causes` and `walk`: a literal walk, parent by parent."""
     return f"""
-WITH RECURSIVE {STAGES}, {LINKED},
+WITH RECURSIVE {GRAPH}, {LINKED},
 ends AS (
     SELECT app_id, max(stage_id) AS leaf,
            max(CASE WHEN status = 'FAILED' THEN stage_id END) AS terminal,
@@ -122,27 +128,30 @@ causes AS (
 
 _CAUSE_COLUMNS = "app_id, root_cause_stage_id, root_cause_stage_name, failure_reason"
 
-ORACLES["root_cause_chain"] = f"""{_chain()}
-SELECT {_CAUSE_COLUMNS}, path AS propagation_path,
-       coalesce((SELECT string_agg(CAST(w.stage_id AS VARCHAR), ',' ORDER BY w.stage_id)
-                 FROM walk w
-                 WHERE w.app_id = c.app_id AND w.stage_id <> c.root_cause_stage_id), '')
-           AS victim_stages,
-       analysis_confidence
-FROM causes c"""
-
-ORACLES["root_cause_strict"] = f"""{_chain(("cancelled",))}
+_CAUSES = f"""
 SELECT {_CAUSE_COLUMNS}, terminal_stage_id,
        CAST(len(string_split(path, ',')) AS BIGINT) AS path_length, analysis_confidence
 FROM causes"""
 
+ORACLES["root_cause_chain"] = _chain() + _CAUSES
+ORACLES["root_cause_strict"] = _chain(("cancelled",)) + _CAUSES
+
+ORACLES["root_cause_path_text"] = f"""{_chain()}
+SELECT w.app_id, w.stage_id // 4096 AS part,
+       string_agg(CAST(w.stage_id AS VARCHAR), ',' ORDER BY w.stage_id) AS propagation_path,
+       coalesce(string_agg(CASE WHEN w.stage_id <> c.root_cause_stage_id
+                                THEN CAST(w.stage_id AS VARCHAR) END, ','
+                           ORDER BY w.stage_id), '') AS victim_stages
+FROM walk w JOIN causes c USING (app_id) GROUP BY 1, 2"""
+
 ORACLES["propagation_path"] = f"""{_chain()}
 SELECT w.app_id, w.stage_id, w.stage_id <> c.root_cause_stage_id AS is_victim
 FROM walk w JOIN causes c USING (app_id)"""
 
 ORACLES["root_cause_summary"] = f"""{_chain()}
-SELECT substring(failure_reason, 1, 30) AS reason, count(*) AS occurrences
-FROM causes GROUP BY 1"""
+SELECT failure_reason, substring(failure_reason, 1, 30) AS reason_start,
+       count(*) AS occurrences
+FROM causes GROUP BY 1, 2"""
 
 # ---------------------------------------------------------------- graph
 
@@ -150,33 +159,34 @@ ORACLES["dag_nodes"] = f"""WITH {ATTEMPTS}
 SELECT app_id, stage_id, stage_name, status, failure_reason FROM attempts
 QUALIFY row_number() OVER (PARTITION BY app_id, stage_id ORDER BY stage_attempt_id DESC) = 1"""
 
-ORACLES["dag_edges"] = f"""WITH {STAGES}, {LINKED}
+ORACLES["dag_edges"] = f"""WITH {GRAPH}, {LINKED}
 SELECT app_id, stage_id, coalesce(prev_id, -1) AS parent_stage_id, stage_name, status
 FROM linked"""
 
-ORACLES["dag_edges_inner"] = f"""WITH {STAGES}, {LINKED}
+ORACLES["dag_edges_inner"] = f"""WITH {GRAPH}, {LINKED}
 SELECT app_id, prev_id AS parent_stage_id, stage_id AS child_stage_id
 FROM linked WHERE prev_id IS NOT NULL"""
 
-ORACLES["dag_shape"] = f"""WITH {STAGES}
+ORACLES["dag_shape"] = f"""WITH {GRAPH}
 SELECT app_id, count(*) AS total_stages, min(stage_id) AS root_stage_id,
        max(stage_id) AS leaf_stage_id, count(*) AS depth, true AS is_acyclic
 FROM stages GROUP BY app_id"""
 
-ORACLES["dag_neighbours"] = f"""WITH {STAGES}, {LINKED}
+ORACLES["dag_neighbours"] = f"""WITH {GRAPH}, {LINKED}
 SELECT app_id, stage_id,
-       CASE status WHEN 'COMPLETED' THEN '✓' WHEN 'FAILED' THEN '✗' ELSE '?' END AS icon, status,
+       CASE status WHEN 'COMPLETED' THEN '✓' WHEN 'FAILED' THEN '✗'
+            WHEN 'SKIPPED' THEN '○' ELSE '?' END AS icon, status,
        coalesce(CAST(prev_id AS VARCHAR), 'none') AS parents,
        coalesce(CAST(next_id AS VARCHAR), 'none') AS children,
-       substring(failure_reason, 1, 50) AS reason_start
+       failure_reason, substring(failure_reason, 1, 50) AS reason_start
 FROM linked"""
 
-ORACLES["dag_parents"] = f"""WITH {STAGES}, {LINKED}
+ORACLES["dag_parents"] = f"""WITH {GRAPH}, {LINKED}
 SELECT app_id, stage_id AS child_stage_id, prev_id AS parent_stage_id,
        prev_name AS parent_name, prev_status AS parent_status
 FROM linked WHERE prev_id IS NOT NULL"""
 
-ORACLES["dag_children"] = f"""WITH {STAGES}, {LINKED}
+ORACLES["dag_children"] = f"""WITH {GRAPH}, {LINKED}
 SELECT app_id, stage_id AS parent_stage_id, next_id AS child_stage_id,
        next_name AS child_name, next_status AS child_status
 FROM linked WHERE next_id IS NOT NULL"""
@@ -191,7 +201,7 @@ FROM stages s JOIN causes c ON s.app_id = c.app_id AND s.stage_id > c.root_cause
 
 # ---------------------------------------------------------------- lineage
 
-_LINEAGE = f"""{STAGES},
+_LINEAGE = f"""{GRAPH},
 ordered AS (
     SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY stage_id) AS o FROM stages
 ),
@@ -248,11 +258,15 @@ walk AS (
 summed AS (
     SELECT w.app_id,
            max(CASE WHEN i.status = 'FAILED' AND NOT i.cause_above THEN w.stage_id END) AS root,
-           bool_and(i.parents <= 1) AS single,
+           bool_and(i.parents <= 1) AS single
+    FROM walk w JOIN info i USING (app_id, stage_id) GROUP BY w.app_id
+),
+texts AS (
+    SELECT w.app_id, w.stage_id // 4096 AS part,
            string_agg(CAST(w.stage_id AS VARCHAR), ',' ORDER BY w.stage_id) AS path,
            string_agg(CASE WHEN i.status = 'FAILED' AND i.cause_above
                            THEN CAST(w.stage_id AS VARCHAR) END, ',' ORDER BY w.stage_id) AS victims
-    FROM walk w JOIN info i USING (app_id, stage_id) GROUP BY w.app_id
+    FROM walk w JOIN info i USING (app_id, stage_id) GROUP BY 1, 2
 )
 SELECT e.app_id, i.stage_id AS root_cause_stage_id, i.stage_name AS root_cause_stage_name,
        CASE WHEN e.terminal IS NULL THEN 'NO_FAILURE'
@@ -264,8 +278,8 @@ SELECT e.app_id, i.stage_id AS root_cause_stage_id, i.stage_name AS root_cause_s
                 + CASE WHEN s.single THEN 15 ELSE 0 END + CASE WHEN i.clean THEN 15 ELSE 0 END
                 - 10 * greatest(e.candidates - 1, 0))) / 100.0::DOUBLE
        END AS analysis_confidence,
-       s.path AS propagation_path, coalesce(s.victims, '') AS victim_stages
-FROM ends e JOIN summed s USING (app_id)
+       t.part, t.path AS propagation_path, coalesce(t.victims, '') AS victim_stages
+FROM ends e JOIN summed s USING (app_id) JOIN texts t USING (app_id)
 JOIN info i ON i.app_id = e.app_id AND i.stage_id = coalesce(s.root, e.terminal, e.leaf)"""
 
 ORACLES["dag_shape_lineage"] = f"""WITH RECURSIVE {_LINEAGE},

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from faultweave.functions import scalars
 from faultweave.functions.labels import scenario_name, scenarios_by_label, scenarios_by_name
 from faultweave.operators import evaluation, features, graph, lineage, models, rootcause, split
-from faultweave.operators.sizing import cut_lineage
 from faultweave.plans import workload
 from faultweave.registry import adapters
 from faultweave.sources import eventlog, lake, manifest
@@ -39,7 +38,7 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.stage_nodes(adapters.stages(spark, sf_dir))
+    return graph.stage_nodes(adapters.graph_stages(spark, sf_dir))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +50,17 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def root_cause_chain(spark, sf_dir):
-    return rootcause.root_cause_table(rootcause.chain_root_causes(_nodes(spark, sf_dir)))
+    return rootcause.chain_root_causes(_nodes(spark, sf_dir))
+
+
+@query
+def root_cause_path_text(spark, sf_dir):
+    return rootcause.path_text(rootcause.propagation_path(_nodes(spark, sf_dir)))
 
 
 @query
 def root_cause_strict(spark, sf_dir):
-    causes = rootcause.chain_root_causes(_nodes(spark, sf_dir), strict_abort=True)
-    return causes.drop("path")
+    return rootcause.chain_root_causes(_nodes(spark, sf_dir), strict_abort=True)
 
 
 @query
@@ -75,8 +78,7 @@ def root_cause_summary(spark, sf_dir):
 def root_cause_lineage(spark, sf_dir):
     nodes = graph.stage_nodes(adapters.lineage_stages(spark, sf_dir))
     causes, path = lineage.lineage_root_causes(nodes)
-    text = lineage.lineage_path_text(path, rootcause.PATH_TEXT_LIMIT)
-    return causes.join(text, "app_id", "left")
+    return causes.join(rootcause.path_text(path), "app_id", "left")
 
 
 # ---------------------------------------------------------------- graph
@@ -574,7 +576,7 @@ def scaled_features(spark, sf_dir):
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = cut_lineage(models.fill_features(split.stratified_split(_features(spark, sf_dir))))
+    rows = models.fill_features(split.stratified_split(_features(spark, sf_dir))).cache()
     kept = F.col("is_train")
     return rows.filter(kept).drop("is_train"), rows.filter(~kept).drop("is_train")
 
@@ -616,7 +618,7 @@ def ml_model_comparison(spark, sf_dir):
 
 @query
 def ml_cross_validation(spark, sf_dir):
-    rows = cut_lineage(models.fill_features(_features(spark, sf_dir)))
+    rows = models.fill_features(_features(spark, sf_dir)).cache()
     mean_f1 = models.cross_validate(rows)
     return rows.agg(F.count("*").alias("rows")).withColumn("mean_f1", F.lit(mean_f1))
 

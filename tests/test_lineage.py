@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from faultweave.operators import graph, lineage
+from faultweave.operators import graph, lineage, rootcause
 
 SCHEMA = """app_id string, stage_id int, stage_attempt_id int, completion_time bigint,
     stage_name string, status string, failure_reason string, parent_ids array<int>"""
@@ -56,7 +56,7 @@ def closure(start, step):
 def test_root_causes(nodes, graphs):
     causes, path = lineage.lineage_root_causes(nodes)
     got = {r.app_id: r for r in causes.collect()}
-    text = {r.app_id: r for r in lineage.lineage_path_text(path, 1000).collect()}
+    text = {r.app_id: r for r in rootcause.path_text(path).collect()}
     assert set(got) == set(graphs)
     for app, rows in graphs.items():
         info, up = {r[1]: r for r in rows}, links(rows)
@@ -139,3 +139,28 @@ def test_cycles(spark):
     causes, _ = lineage.lineage_root_causes(nodes)
     roots = {r.app_id: r.root_cause_stage_id for r in causes.collect()}
     assert roots["loop"] == 3  # no stage ends the walk, so it stays where it began
+
+
+def chain_nodes(spark, depth):
+    rows = spark.range(depth).selectExpr(
+        "'deep' AS app_id", "int(id) AS stage_id", "0 AS stage_attempt_id",
+        "0L AS completion_time", "'s' AS stage_name", "'FAILED' AS status",
+        "'OOM' AS failure_reason", "if(id = 0, array(), array(int(id - 1))) AS parent_ids",
+    )
+    return graph.stage_nodes(rows)
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
+    kept = []
+    cut = lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: kept.append(1) or cut(df))
+    rounds = {}
+    for depth in (64, 256, 1024):
+        kept.clear()
+        shape = lineage.lineage_shape(chain_nodes(spark, depth)).first()
+        assert (shape.depth, shape.is_acyclic) == (depth, True)
+        rounds[depth] = len(kept)
+    assert rounds[1024] - rounds[256] == rounds[256] - rounds[64] <= 8
+    seeds = spark.createDataFrame([("deep", 1023)], "app_id string, seed_stage_id int")
+    edges = lineage.lineage_edges(chain_nodes(spark, 1024))
+    assert lineage.lineage_ancestors(edges, seeds).count() == 1023

@@ -23,7 +23,7 @@ def plan_of(df):
 
 def test_root_cause_takes_three_shuffles_and_no_join(logs):
     causes = rootcause.chain_root_causes(graph.stage_nodes(logs[1]))
-    plan = plan_of(rootcause.root_cause_table(causes))
+    plan = plan_of(causes)
     assert plan.count("Exchange hashpartitioning") == 3
     assert "Join" not in plan and "Exchange SinglePartition" not in plan
 
@@ -40,15 +40,15 @@ def test_only_needed_columns_are_read(logs):
     assert "ReadSchema: struct<app_id:string,label:int>" in plan
 
 
-class Session:
-    """Just enough of a session to choose a checkpoint folder."""
+class Frame:
+    """Just enough of a frame and its session to see where its lineage is cut."""
 
-    def __init__(self, master, configured=None):
-        self.master, self.configured, self.chosen = master, configured, None
-        self.sparkContext = self.conf = self
+    def __init__(self, folder=None):
+        self.folder, self.chosen, self.cut = folder, None, None
+        self.sparkSession = self.sparkContext = self.conf = self
 
     def get(self, key, default):
-        return self.configured or default
+        return self.folder or default
 
     def getCheckpointDir(self):
         return self.chosen
@@ -56,19 +56,20 @@ class Session:
     def setCheckpointDir(self, path):
         self.chosen = path
 
+    def checkpoint(self, eager):
+        return "written"
 
-def test_checkpoints_go_where_the_session_says():
-    session = Session("yarn", "hdfs:///checkpoints")
-    sizing.ensure_checkpoint_dir(session)
-    assert session.chosen == "hdfs:///checkpoints"
+    def persist(self):
+        return "cached"
 
 
-def test_no_local_checkpoints_on_a_cluster():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        sizing.ensure_checkpoint_dir(Session("yarn"))
+def test_lineage_is_cut_where_the_session_says():
+    frame = Frame("hdfs:///checkpoints")
+    assert sizing.cut_lineage(frame) == "written"
+    assert frame.chosen == "hdfs:///checkpoints"
 
 
-def test_local_checkpoints_in_local_mode():
-    session = Session("local[2]")
-    sizing.ensure_checkpoint_dir(session)
-    assert session.chosen is not None
+def test_lineage_is_cached_without_a_shared_folder():
+    frame = Frame()
+    assert sizing.cut_lineage(frame) == "cached"
+    assert frame.chosen is None

@@ -69,16 +69,13 @@ def test_against_literal_walk(nodes, chains, chunk, strict):
     words = ("cancelled",) if strict else ("cancelled", "aborted")
     causes = rootcause.chain_root_causes(nodes, strict, chunk=chunk)
     got = {r.app_id: r for r in causes.collect()}
-    table = {r.app_id: r for r in rootcause.root_cause_table(causes).collect()}
     for app, rows in chains.items():
-        root, reason, path, victims, score = literal_walk(rows, words)
-        r, t = got[app], table[app]
-        assert (r.root_cause_stage_id, r.failure_reason, r.path) == (root, reason, path), app
+        root, reason, path, _, score = literal_walk(rows, words)
+        r = got[app]
+        assert (r.root_cause_stage_id, r.failure_reason) == (root, reason), app
         assert r.root_cause_stage_name == f"s{root}"
         assert (r.path_length, r.terminal_stage_id) == (len(path), path[-1])
         assert r.analysis_confidence == score
-        assert t.propagation_path == ",".join(map(str, path))
-        assert t.victim_stages == ",".join(map(str, victims))
 
 
 @pytest.mark.parametrize("chunk", [2, 4096])
@@ -91,19 +88,38 @@ def test_path_rows(nodes, chains, chunk):
         assert sorted(r.stage_id for r in mine if r.is_victim) == victims
 
 
-def test_long_paths_stay_whole_as_rows(spark):
-    rows = [("big", i, 0, 0, "s", "FAILED", "OOM") for i in range(500)]
-    rows += [("small", i, 0, 0, "s", "FAILED", "OOM") for i in range(5)]
-    nodes = graph.stage_nodes(spark.createDataFrame(rows, SCHEMA))
-    causes = rootcause.chain_root_causes(nodes, text_limit=100, chunk=16)
-    got = {r.app_id: r for r in causes.collect()}
-    assert (got["big"].path, got["big"].path_length) == (None, 500)
-    assert got["small"].path == [0, 1, 2, 3, 4]
-    assert rootcause.propagation_path(nodes, chunk=16).count() == 505
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_path_text_in_parts(nodes, chains, chunk):
+    parts = rootcause.path_text(rootcause.propagation_path(nodes), chunk)
+    rows = parts.orderBy("app_id", "part").collect()
+    for app, chain in chains.items():
+        _, _, path, victims, _ = literal_walk(chain)
+        mine = [r for r in rows if r.app_id == app]
+        for column, ids in (("propagation_path", path), ("victim_stages", victims)):
+            texts = [r[column] for r in mine if r[column]]
+            assert ",".join(texts) == ",".join(map(str, ids))
+
+
+def test_long_paths_come_whole(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr(
+        "'big' AS app_id", "int(id) AS stage_id", "0 AS stage_attempt_id",
+        "0L AS completion_time", "'s' AS stage_name", "'FAILED' AS status",
+        "'OOM' AS failure_reason",
+    )
+    nodes = graph.stage_nodes(rows)
+    causes = rootcause.chain_root_causes(nodes).first()
+    assert (causes.root_cause_stage_id, causes.path_length) == (0, n)
+    path = rootcause.propagation_path(nodes)
+    assert path.filter("is_victim").count() == n - 1
+    texts = rootcause.path_text(path).orderBy("part").collect()
+    assert ",".join(r.propagation_path for r in texts) == ",".join(map(str, range(n)))
 
 
 def test_summary(spark):
     rows = [("a", "x" * 40), ("b", "x" * 35), ("c", "NO_FAILURE")]
     causes = spark.createDataFrame(rows, "app_id string, failure_reason string")
-    got = {r.reason: r.occurrences for r in rootcause.root_cause_summary(causes).collect()}
-    assert got == {"x" * 30: 2, "NO_FAILURE": 1}
+    got = {tuple(r) for r in rootcause.root_cause_summary(causes).collect()}
+    assert got == {
+        ("x" * 40, 1, "x" * 30), ("x" * 35, 1, "x" * 30), ("NO_FAILURE", 1, "NO_FAILURE")
+    }
