@@ -1,4 +1,4 @@
-"""Event logs to diagnosis: the nine tables of the preprocessing job.
+"""Event logs to diagnosis: the ten tables of the preprocessing job.
 
 Raw logs are read once. Every later step starts from the Parquet of the step
 before it, so a lost executor repeats only its own step, and nothing but file
@@ -14,9 +14,17 @@ from faultweave.operators.features import app_features, named_ground_truth
 from faultweave.operators.graph import chain_edges, stage_nodes
 from faultweave.operators.rootcause import chain_root_causes, path_text, propagation_path
 from faultweave.operators.split import random_split
-from faultweave.sources.eventlog import parse_events, scan_event_logs, stage_table, task_table
+from faultweave.sources.eventlog import (
+    UNREADABLE,
+    parse_events,
+    scan_event_logs,
+    scan_readable_logs,
+    stage_table,
+    task_table,
+)
 
 # Names of the output tables.
+LOG_FILES = "log_files.parquet"
 TASK_METRICS = "task_metrics.parquet"
 STAGE_METRICS = "stage_metrics.parquet"
 DAG_EDGES = "dag_edges.parquet"
@@ -27,6 +35,7 @@ GROUND_TRUTH = "ground_truth.parquet"
 TRAIN = "train.parquet"
 TEST = "test.parquet"
 OUTPUTS = (
+    LOG_FILES,
     TASK_METRICS,
     STAGE_METRICS,
     DAG_EDGES,
@@ -47,9 +56,13 @@ def run_preprocessing(
     out_dir: str,
     strict_abort: bool = False,
     duration_from_times: bool = False,
-    skip_unreadable: bool = True,
+    skip_unreadable: bool = False,
 ) -> dict[str, DataFrame]:
-    """Run all steps and return the written tables by file name. Writes."""
+    """Run all steps and return the written tables by file name. Writes.
+
+    A log that breaks off fails the run; with `skip_unreadable` it is left out whole.
+    Either way the state of each file is written as `log_files.parquet`.
+    """
     tables: dict[str, DataFrame] = {}
 
     def save(name: str, df: DataFrame) -> DataFrame:
@@ -57,7 +70,13 @@ def run_preprocessing(
         tables[name] = spark.read.parquet(f"{out_dir}/{name}")
         return tables[name]
 
-    lines = scan_event_logs(spark, log_dir, skip_unreadable)
+    readable, outcome = scan_readable_logs(spark, log_dir)
+    outcome = save(LOG_FILES, outcome)
+    if skip_unreadable:
+        lines = readable
+    else:
+        _fail_on(outcome)
+        lines = scan_event_logs(spark, log_dir)
     events_path = f"{out_dir}/{PARSED}"
     parse_events(lines, duration_from_times).write.mode("overwrite").partitionBy("kind").parquet(
         events_path
@@ -79,6 +98,12 @@ def run_preprocessing(
     return tables
 
 
+def _fail_on(outcome: DataFrame) -> None:
+    broken = outcome.filter(F.col("state") == UNREADABLE).select("log_path").limit(1).collect()
+    if broken:
+        raise ValueError(f"a log breaks off: {broken[0][0]}; skip_unreadable leaves such logs out")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per written table."""
     counts = None

@@ -2,16 +2,22 @@
 
 One text scan covers all class folders, so the plan does not grow with the
 number of files, and plain, `.zstd`, `.zst` and `.gz` files decode in the tasks.
+Spark's own `.lz4` logs have a framing that no Hadoop codec reads; they are left
+out of the scan and reported.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import zlib
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultweave.functions.labels import FOLDER_LABELS, lookup
+from faultweave.functions.labels import FOLDER_LABELS
 from faultweave.sources.schemas import STAGE_METRICS, TASK_METRICS, columns
 
 # The two event kinds that are read, and the success marker.
@@ -67,7 +73,13 @@ def folder_from_path(path: Column) -> Column:
 
 def label_from_path(path: Column) -> Column:
     """Class id of a log file, NULL outside the seven class folders."""
-    return lookup(folder_from_path(path), FOLDER_LABELS, F.lit(None).cast("int"))
+    labels = F.create_map(*(F.lit(x) for pair in FOLDER_LABELS.items() for x in pair))
+    return F.try_element_at(labels, folder_from_path(path))
+
+
+def plain_path(path: Column) -> Column:
+    """A file path as it was given, without URL escapes."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def with_path_labels(df: DataFrame, path_col: str) -> DataFrame:
@@ -81,29 +93,123 @@ def with_path_labels(df: DataFrame, path_col: str) -> DataFrame:
 # ---------------------------------------------------------------- scan
 
 
-def scan_event_logs(
-    spark: SparkSession, base_dir: str, skip_unreadable: bool = True
-) -> DataFrame:
-    """Lines of every log below `base_dir/<class folder>/` as (app_id, label, value).
+#: Name ends of files that Spark writes but cannot read as text, and of those it decodes.
+UNSUPPORTED = ".lz4"
+DECODED = (".gz", ".zstd", ".zst")
+
+# States of log files.
+READ, UNREADABLE, NOT_SUPPORTED = "read", "unreadable", "not supported"
+
+
+def _log_glob(base_dir: str) -> str:
+    """The logs right below the class folders, and the parts of rolled logs there."""
+    folders = ",".join(FOLDER_LABELS)
+    return f"{base_dir.rstrip('/')}/{{{folders}}}/{{application_*,{_APP_DIR}*/events_*}}"
+
+
+def _supported(path: Column) -> Column:
+    return ~path.endswith(UNSUPPORTED)
+
+
+def _labelled_lines(spark: SparkSession, base_dir: str, whole: bool) -> DataFrame:
+    """(file, app_id, label, value); the filter on the path leaves whole files unopened.
+
+    A file that breaks off fails the job if `whole`, else ends there.
+    """
+    file = F.col("_metadata.file_path")
+    reader = spark.read.option("ignoreCorruptFiles", not whole)
+    lines = reader.text(_log_glob(base_dir)).filter(_supported(file))
+    named = lines.select(file.alias("file"), plain_path(file).alias("log_path"), "value")
+    return with_path_labels(named, "log_path").select("file", "app_id", "label", "value")
+
+
+def scan_event_logs(spark: SparkSession, base_dir: str) -> DataFrame:
+    """Lines of every log in `base_dir/<class folder>/` as (app_id, label, value).
+
+    Missing class folders are simply absent, and folders further down are not
+    searched. A file that cannot be decoded to its end fails the job.
+    """
+    return _labelled_lines(spark, base_dir, whole=True).drop("file")
 
-    Missing class folders are simply absent. The file name filter runs during
-    listing and the folder filter prunes whole files, so nothing else is opened.
-    With `skip_unreadable`, a file that cannot be decoded ends there instead of
-    failing the job.
+
+def scan_readable_logs(spark: SparkSession, base_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of all logs that can be read to their end, and the outcome by file.
+
+    The outcome is (log_path, app_id, label, state): read, unreadable or not
+    supported. An unreadable log is left out whole. Compressed files are read twice:
+    they are decoded once before, each as a stream in its task, to find those that
+    break off.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "{application_*,events_*}")
-        .option("ignoreCorruptFiles", skip_unreadable)
-        .text(base_dir)
-        .select(F.col("_metadata.file_path").alias("log_path"), "value")
+    outcome = _outcome(spark, base_dir)
+    broken = outcome.filter(F.col("state") == UNREADABLE).select("file")
+    lines = _labelled_lines(spark, base_dir, whole=False).join(broken, "file", "left_anti")
+    return lines.drop("file"), outcome.drop("file")
+
+
+def _outcome(spark: SparkSession, base_dir: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(_log_glob(base_dir))
+    file = F.col("_metadata.file_path")
+    compressed = file.endswith(DECODED[0])
+    for end in DECODED[1:]:
+        compressed = compressed | file.endswith(end)
+    checked = (
+        files.filter(compressed)
+        .select(file.alias("file"), "content")
+        .mapInArrow(_decodable, "file string, state string")
+    )
+    state = F.when(_supported(file), READ).otherwise(NOT_SUPPORTED)
+    others = files.filter(~compressed).select(file.alias("file"), state.alias("state"))
+    named = checked.unionByName(others).withColumn("log_path", plain_path(F.col("file")))
+    return with_path_labels(named, "log_path").select(
+        "file", "log_path", "app_id", "label", "state"
     )
-    return with_path_labels(lines, "log_path").select("app_id", "label", "value")
+
+
+def _decodable(batches):
+    """(file, state) of compressed files, decoded in pieces that are not kept."""
+    for batch in batches:
+        states = [
+            READ if _ends_well(file, content.as_buffer()) else UNREADABLE
+            for file, content in zip(batch["file"].to_pylist(), batch["content"], strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch["file"], pa.array(states)], ["file", "state"])
+
+
+def _ends_well(file: str, content: pa.Buffer) -> bool:
+    source = io.BytesIO(content)
+    try:
+        if file.endswith(".gz"):
+            return _gzip_ends_well(source)
+        frame = zstandard.ZstdDecompressor().decompressobj(read_across_frames=False)
+        fed = False
+        while piece := source.read(1 << 20):
+            fed = True
+            frame.decompress(piece)
+            while frame.eof and frame.unused_data:
+                rest = frame.unused_data
+                frame = zstandard.ZstdDecompressor().decompressobj(read_across_frames=False)
+                frame.decompress(rest)
+        return not fed or frame.eof
+    except (zlib.error, zstandard.ZstdError):
+        return False
+
+
+def _gzip_ends_well(source: io.BytesIO) -> bool:
+    member, fed = zlib.decompressobj(31), False
+    while piece := source.read(1 << 20):
+        while piece:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            fed = True
+            member.decompress(piece)
+            piece = member.unused_data
+    return not fed or member.eof
 
 
 def read_event_log(spark: SparkSession, path: str, label: int) -> DataFrame:
     """Lines of one log file or rolled-log folder with a given label."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("log_path"), "value")
+    file = plain_path(F.col("_metadata.file_path"))
+    lines = spark.read.text(path).select(file.alias("log_path"), "value")
     named = F.element_at(F.split("log_path", "/"), -1).startswith("appstatus_")
     return lines.filter(~named).select(
         app_id_from_path(F.col("log_path")).alias("app_id"),

@@ -215,12 +215,52 @@ def test_single_log(spark, log_dir):
     assert eventlog.parse_task_events(lines).count() == 2
 
 
-def test_unreadable_file_is_skipped(spark, tmp_path):
-    (tmp_path / "oom").mkdir()
-    (tmp_path / "oom" / "application_1.zstd").write_bytes(b"this is not zstd at all")
-    (tmp_path / "oom" / "application_2").write_text(task())
-    lines = eventlog.scan_event_logs(spark, str(tmp_path))
-    assert [r.app_id for r in lines.collect()] == ["application_2"]
+@pytest.fixture
+def mixed_logs(tmp_path):
+    """Whole logs beside ones that break off, one of an unknown codec and one out of place."""
+    lines = "\n".join(task(i, i) for i in range(3000)).encode()
+    for path, data in {
+        "oom/application_1 a+b%c": lines,
+        "oom/application_2.gz": gzip.compress(lines) + gzip.compress(b"\n" + lines),
+        "oom/application_3.gz": gzip.compress(lines)[:-3000],
+        "skew/application_4.zstd": zstandard.ZstdCompressor().compress(lines)[:-500],
+        "skew/application_5.zstd": b"this is not zstd at all",
+        "skew/application_6.lz4": b"LZ4Block" + bytes(range(256)) * 40,
+        "disk/eventlog_v2_app 7/events_1_app.zst": zstandard.ZstdCompressor().compress(lines),
+        "archive/old/oom/application_8": lines,
+        "oom/old/application_9": lines,
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(data)
+    return str(tmp_path)
+
+
+def test_broken_logs_are_left_out_whole_and_named(spark, mixed_logs):
+    lines, outcome = eventlog.scan_readable_logs(spark, mixed_logs)
+    counts = {r.app_id: r["count"] for r in lines.groupBy("app_id").count().collect()}
+    assert counts == {"application_1 a+b%c": 3000, "application_2": 6000, "app 7": 3000}
+    states = {r.app_id: (r.label, r.state) for r in outcome.collect()}
+    assert states == {
+        "application_1 a+b%c": (1, "read"),
+        "application_2": (1, "read"),
+        "application_3": (1, "unreadable"),
+        "application_4": (2, "unreadable"),
+        "application_5": (2, "unreadable"),
+        "application_6": (2, "not supported"),
+        "app 7": (5, "read"),
+    }
+
+
+def test_broken_logs_fail_unless_skipped(spark, mixed_logs, tmp_path):
+    with pytest.raises(Exception, match="(?i)unexpected end|corrupt|zstd|truncated|unknown frame"):
+        eventlog.scan_event_logs(spark, mixed_logs).count()
+    with pytest.raises(ValueError, match="breaks off"):
+        preprocess.run_preprocessing(spark, mixed_logs, str(tmp_path / "out"))
+    tables = preprocess.run_preprocessing(
+        spark, mixed_logs, str(tmp_path / "out"), skip_unreadable=True
+    )
+    assert tables[preprocess.TASK_METRICS].count() == 12_000
+    assert tables[preprocess.LOG_FILES].count() == 7
 
 
 def test_preprocessing(spark, log_dir, tmp_path):
