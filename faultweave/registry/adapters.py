@@ -114,6 +114,12 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app_id, label) of the applications of even users, one class on from their tasks'."""
+    users = table(spark, sf_dir, "events").filter("user_id % 2 = 0").select("user_id").distinct()
+    return users.selectExpr(f"{_APP} AS app_id", "int((user_id + 1) % 7) AS label")
+
+
 # ---------------------------------------------------------------- log lines
 
 

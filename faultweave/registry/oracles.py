@@ -385,6 +385,14 @@ def _round(expr: str, name: str, digits: int = 6) -> str:
 ORACLES["app_features"] = f"""WITH {_FEATURES}
 SELECT app_id, label, {", ".join(_round(c, c) for c in _FEATURE_NAMES)} FROM features"""
 
+ORACLES["app_features_joined_labels"] = f"""WITH {_FEATURES},
+known AS (
+    SELECT DISTINCT 'app_' || user_id AS app_id, CAST((user_id + 1) % 7 AS INTEGER) AS label
+    FROM events WHERE user_id % 2 = 0
+)
+SELECT app_id, known.label, {", ".join(_round(c, c) for c in _FEATURE_NAMES)}
+FROM features JOIN known USING (app_id)"""
+
 ORACLES["feature_stats"] = f"WITH {_FEATURES} " + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, count({c}) AS count, {_round(f"avg({c})", "mean", 3)},
         {_round(f"stddev_samp({c})", "stddev", 3)}, {_round(f"min({c})", "min", 3)},
@@ -745,3 +753,15 @@ SELECT app_id, label,
        row_number() OVER (PARTITION BY label ORDER BY md5(app_id))
            <= ceil(0.8 * count(*) OVER (PARTITION BY label)) AS is_train
 FROM apps"""
+
+# What any fitted models must give: each test row scored by each model, with
+# probabilities that sum to 1, and importances of all features that sum to 1.
+ORACLES["ml_scored_rows"] = f"""WITH split AS ({ORACLES["stratified_split"]}),
+models (model) AS (VALUES ('Random Forest'), ('Decision Tree'), ('Logistic Regression'))
+SELECT model, label, count(*) AS rows, CAST(count(*) AS DOUBLE) AS probability_sum
+FROM split, models WHERE NOT is_train GROUP BY model, label"""
+
+ORACLES["ml_importance_total"] = f"""WITH {_FEATURES}
+SELECT count(DISTINCT name) AS features, count(DISTINCT name) / 25.0::DOUBLE AS importance
+FROM (SELECT unnest([{", ".join(f"'{c}'" for c in _FEATURE_NAMES)}]) AS name
+      FROM (SELECT * FROM features LIMIT 1))"""

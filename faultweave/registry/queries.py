@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,6 +170,14 @@ def app_features(spark, sf_dir):
     return _round_all(_features(spark, sf_dir))
 
 
+@query
+def app_features_joined_labels(spark, sf_dir):
+    """Labels from a table of their own, which knows half of the applications."""
+    tasks, stages = adapters.tasks(spark, sf_dir), adapters.stages(spark, sf_dir)
+    truth = adapters.known_labels(spark, sf_dir)
+    return _round_all(features.app_features(tasks, stages, ground_truth=truth))
+
+
 @query
 def feature_stats(spark, sf_dir):
     return _round_all(features.feature_stats(_features(spark, sf_dir)), 3)
@@ -616,6 +625,32 @@ def ml_model_comparison(spark, sf_dir):
     return models.compare({name: models.measure(m, test) for name, m in fitted.items()})
 
 
+@query
+def ml_scored_rows(spark, sf_dir):
+    """Test rows that each fitted model scores, by class, and the sum of their probabilities."""
+    train, test = _split_features(spark, sf_dir)
+    scored = None
+    for name, classifier in models.classifiers().items():
+        rows = models.score(models.fit(train, classifier), test).select(
+            F.lit(name).alias("model"), "label", vector_to_array("probability").alias("p")
+        )
+        scored = rows if scored is None else scored.unionByName(rows)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return scored.groupBy("model", "label").agg(
+        F.count("*").alias("rows"), rounded(F.sum(total)).alias("probability_sum")
+    )
+
+
+@query
+def ml_importance_total(spark, sf_dir):
+    """Features that the fitted forest names, and the sum of their importances."""
+    importance = ml_feature_importance(spark, sf_dir)
+    return importance.agg(
+        F.count_distinct("feature").alias("features"),
+        rounded(F.sum("importance")).alias("importance"),
+    )
+
+
 @query
 def ml_cross_validation(spark, sf_dir):
     rows = models.fill_features(_features(spark, sf_dir)).cache()
@@ -625,8 +660,9 @@ def ml_cross_validation(spark, sf_dir):
 
 @query
 def ml_holdout_report(spark, sf_dir):
-    """Train on one half of the training rows; the other half plays the unseen set."""
-    train, test = _split_features(spark, sf_dir)
-    seen, unseen = train.randomSplit([0.5, 0.5], seed=models.SEED)
-    model = models.fit(seen, models.classifiers()[models.RANDOM_FOREST])
-    return models.holdout_report(models.measure(model, test), models.measure(model, unseen))
+    """Train on all training rows; half of the others are the test, half the unseen set."""
+    train, others = _split_features(spark, sf_dir)
+    unseen = F.pmod(F.xxhash64("app_id"), F.lit(2)) == 0
+    model = models.fit(train, models.classifiers()[models.RANDOM_FOREST])
+    sides = (models.measure(model, others.filter(side)) for side in (~unseen, unseen))
+    return models.holdout_report(*sides)
