@@ -375,3 +375,37 @@ def _sketched(bodies: DataFrame, k: int) -> DataFrame:
             yield table(schema, batch["node"], sketch, excess)
 
     return bodies.mapInArrow(run, "node long, sketch binary, excess long")
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t
+), four AS (
+  SELECT doc_id, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o,
+    lead(word, 3) OVER o) AS s, lead(word, 3) OVER o AS l
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM four WHERE l IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM t WHERE len(ws) BETWEEN 1 AND 3
+), size AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM pair JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y
+  WHERE 100 * k >= 85 * (a.n + b.n - k)
+), both_ways AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT x, y FROM both_ways
+  UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y
+)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
+FROM t LEFT JOIN size USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY 1) USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultweave.llm import op01_quality_rules
+from faultweave.llm import op01_quality_rules, op10_ngram_join
 from faultweave.llm.op01_quality_rules import quality_rules
 from faultweave.llm.op02_token_counts import token_counts
 from faultweave.llm.op03_pii import pii_spans
@@ -76,4 +76,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES = {"op1_quality_rules": op01_quality_rules.ORACLE}
+ORACLES = {
+    "op1_quality_rules": op01_quality_rules.ORACLE,
+    "op10_ngram_jaccard_join": op10_ngram_join.ORACLE,
+}
