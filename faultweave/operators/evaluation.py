@@ -85,4 +85,4 @@ def prediction_table(predictions: DataFrame) -> DataFrame:
         label_name(label, CLASS_NAMES).alias("label_name"),
         label_name(predicted, CLASS_NAMES).alias("predicted_name"),
         correctness_mark(label, predicted).alias("correct"),
-    ).orderBy("label", "app_id")
+    )

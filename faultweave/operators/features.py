@@ -135,10 +135,10 @@ def ground_truth(tasks: DataFrame) -> DataFrame:
 
 
 def named_ground_truth(features: DataFrame) -> DataFrame:
-    """(app_id, label, label_name), ordered by label and application."""
+    """(app_id, label, label_name)."""
     return features.select(
         "app_id", "label", label_name(F.col("label"), GROUND_TRUTH_NAMES).alias("label_name")
-    ).orderBy("label", "app_id")
+    )
 
 
 def label_distribution(df: DataFrame, names=GROUND_TRUTH_NAMES) -> DataFrame:

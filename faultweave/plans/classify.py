@@ -30,12 +30,16 @@ class Comparison(NamedTuple):
 
 
 def train_and_compare(features: DataFrame) -> Comparison:
-    """Train the three classifiers on 80% and measure them on the rest. Runs jobs."""
+    """Train the three classifiers on 80% and measure them on the rest. Runs jobs.
+
+    The split repeats on features that read the same again, as a stored table does.
+    """
     train, test = random_split(fill_features(features))
     train, test = train.cache(), test.cache()
     models = {name: fit(train, classifier) for name, classifier in classifiers().items()}
     metrics = {name: measure(model, test) for name, model in models.items()}
     train.unpersist()
+    test.unpersist()
     return Comparison(models, metrics, compare(metrics), test)
 
 

@@ -6,6 +6,9 @@ quantities per order), the SQL takes the literal route instead.
 
 from __future__ import annotations
 
+from faultweave.functions.labels import SCENARIOS
+from faultweave.operators.features import FEATURE_COLUMNS
+
 ORACLES: dict[str, str] = {}
 
 # ---------------------------------------------------------------- derived tables
@@ -368,14 +371,7 @@ features AS (
     FROM t LEFT JOIN s USING (app_id)
 )"""
 
-_FEATURE_NAMES = """
-mean_task_duration std_task_duration max_task_duration total_memory_spilled
-total_disk_spilled total_shuffle_read total_shuffle_write total_gc_time total_stages
-failed_stages max_stage_parallelism stage_depth_of_failure completed_stage_ratio
-failed_stage_ratio spill_per_stage gc_per_stage skew_index duration_variance
-max_min_duration_ratio spill_ratio disk_spill_ratio peak_memory_ratio gc_time_ratio
-task_failure_rate retry_count
-""".split()
+_FEATURE_NAMES = FEATURE_COLUMNS
 
 
 def _round(expr: str, name: str, digits: int = 6) -> str:
@@ -641,20 +637,12 @@ SELECT o_orderpriority AS failure_type, count(*) AS total_runs,
        count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 <> 0) AS errors
 FROM orders GROUP BY o_orderpriority"""
 
-_SCENARIOS = """
-scenarios (label, asked_name, name, tpch_query, injection_method) AS (VALUES
-    (0, 'Baseline', 'BASELINE', 'Q21', 'None'),
-    (1, 'Out_of_memory', 'OUT_OF_MEMORY', 'Q9',
-        'Forced BROADCAST hint on lineitem (largest table)'),
-    (2, 'Data_skew', 'DATA_SKEW', 'Q18', 'Salt join key to create 99% skew'),
-    (3, 'Serialization_failure', 'SERIALIZATION_FAILURE', 'Q2',
-        'UDF with non-serializable Socket in closure'),
-    (4, 'Network_timeout', 'NETWORK_TIMEOUT', 'Q1', 'UDF with sleep exceeding heartbeat timeout'),
-    (5, 'Disk_space_failure', 'DISK_SPACE_FAILURE', 'Cartesian Product',
-        'crossJoin causing massive shuffle spill to /tmp/hadoop-yarn'),
-    (6, 'Metadata_failure', 'METADATA_FAILURE', 'Iterative Join',
-        'External thread drops/renames HDFS path before execution')
-)"""
+_SCENARIOS = "scenarios (label, asked_name, name, tpch_query, injection_method) AS (VALUES "
+_SCENARIOS += ", ".join(
+    f"({x.label}, '{x.name.capitalize()}', '{x.name}', '{x.tpch_query}', '{x.injection_method}')"
+    for x in SCENARIOS
+)
+_SCENARIOS += ")"
 
 ORACLES["scenario_lookup"] = f"""WITH {APPS}, {_SCENARIOS}
 SELECT app_id, CAST(label AS INTEGER) AS label, asked_name, name, tpch_query, injection_method

@@ -35,11 +35,11 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
-def lay_out(df: DataFrame, name: str, partitions: int = LARGE_PARTITIONS) -> DataFrame:
-    """File layout: large tables rebalanced to `partitions`, others to ten at most."""
+def lay_out(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """File layout: large tables rebalanced to `partitions`, others merged down to them."""
     if name in LARGE_TABLES:
-        return df.repartition(partitions)
-    return df.coalesce(min(partitions, SMALL_PARTITIONS))
+        return df.repartition(partitions or LARGE_PARTITIONS)
+    return df.coalesce(partitions or SMALL_PARTITIONS)
 
 
 def lay_out_by_size(df: DataFrame, name: str, raw_bytes: int) -> DataFrame:

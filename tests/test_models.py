@@ -141,7 +141,7 @@ def test_prediction_table(spark):
     df = spark.createDataFrame(
         [("b", 1, 1.0), ("a", 1, 5.0)], "app_id string, label int, prediction double"
     )
-    got = [tuple(r) for r in evaluation.prediction_table(df).collect()]
+    got = sorted(tuple(r) for r in evaluation.prediction_table(df).collect())
     assert got == [
         ("a", 1, 5, "OOM", "Disk Space Failure", "✗"),
         ("b", 1, 1, "OOM", "OOM", "✓"),
