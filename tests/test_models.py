@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
@@ -146,3 +147,16 @@ def test_prediction_table(spark):
         ("a", 1, 5, "OOM", "Disk Space Failure", "✗"),
         ("b", 1, 1, "OOM", "OOM", "✓"),
     ]
+
+
+def test_the_logistic_fit_has_a_flat_slope(features):
+    model = models.fit(features, models.classifiers()[models.LOGISTIC_REGRESSION])
+    rows = model.transform(features).select("features", "label", "probability").collect()
+    x = np.array([r.features.toArray() for r in rows])
+    p = np.array([r.probability.toArray() for r in rows])
+    p[np.arange(len(rows)), [r.label for r in rows]] -= 1
+    fitted = model.stages[-1]
+    weights = fitted.coefficientMatrix.toArray()
+    slope = p.T @ x / len(rows) + models.REGULARISATION * weights
+    assert np.abs(slope).max() < 1e-3
+    assert np.abs(p.mean(axis=0)).max() < 1e-3
