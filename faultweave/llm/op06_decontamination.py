@@ -5,8 +5,9 @@ divided by the item's own sum, so a score is the share of an item's weight whose
 the passage, and one threshold serves all items. Passages are spans of 2 * step words at every
 step words, where step is at least the longest item, so any place of an item lies in one whole.
 
-A passage whose terms' greatest impacts cannot reach the threshold is passed over, which array
-operations decide for all passages at once. The rest walk the lists by WAND: lists stand at item
+The items are cut into ranges with the greatest impact of each term in each. A passage whose
+terms cannot reach the threshold in any range is passed over, which array operations decide for
+all passages at once. The rest walk the lists by WAND: lists stand at item
 numbers in order, the pivot is where the sum of upper bounds first reaches the threshold, and
 the maxima of the blocks around the pivot decide whether it is scored or jumped over. Nothing
 above the threshold is missed.
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from faultweave.llm.shared import LETTER_OR_DIGIT, Words, chunks, id_and_text, table, word_hash
 
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 5_000
 POSTINGS_A_BLOCK = 32
+#: Ranges of items, at most, for which passages are bounded before they are searched.
+RANGES = 64
 #: The usual parameters of BM25.
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -130,7 +133,11 @@ class Index:
             ]
             for own, v in zip(self.item, self.impact, strict=True)
         ]
-        self.most = np.array([max(v) for v in self.impact])
+        # The greatest impact of each term in each range of items.
+        self.wide = wide = max(1, -(-len(items) // RANGES))
+        self.by_range = np.zeros((len(terms), -(-len(items) // wide)), np.float32)
+        for t, (own, v) in enumerate(zip(self.item, self.impact, strict=True)):
+            np.maximum.at(self.by_range[t], np.array(own) // wide, np.array(v, np.float32))
         self.parts = {}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -140,16 +147,22 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item, score) of all items of the threshold or more, by block-max WAND."""
+    def search(self, terms: np.ndarray, part: int) -> list[tuple[int, float]]:
+        """(item, score) of all items of a range of the threshold or more, by block-max WAND."""
         need = self.threshold - 1e-9
-        lists = [[self.item[t][0], 0, t] for t in terms]  # item at hand, its place, term
+        most = self.by_range[terms, part]
+        first, after = part * self.wide, (part + 1) * self.wide
+        upper, lists = {}, []  # item at hand, its place, term
+        for t, bound in zip(terms[most > 0].tolist(), most[most > 0].tolist(), strict=True):
+            place = bisect_left(self.item[t], first)
+            upper[t] = bound * (1 + 1e-6)  # rounded to single precision
+            lists.append([self.item[t][place], place, t])
         out = []
         while lists:
             lists.sort()
             bound, pivot = 0.0, None
             for k, (_, _, t) in enumerate(lists):
-                bound += self.most[t]
+                bound += upper[t]
                 if bound >= need:
                     pivot = k
                     break
@@ -187,7 +200,7 @@ class Index:
                     place = bisect_left(self.item[t], goal, place) if goal < math.inf else len(
                         self.item[t]
                     )
-                    if place == len(self.item[t]):
+                    if place == len(self.item[t]) or self.item[t][place] >= after:
                         continue
                     at = self.item[t][place]
                 kept.append([at, place, t])
@@ -259,14 +272,21 @@ def _passages(words: Words, index: Index, step: int, overlap: float):
     hit = number >= 0
     pair = np.unique(span[hit] * len(index.hashes) + number[hit])
     in_span, term = np.divmod(pair, len(index.hashes))
-    bound = np.bincount(in_span, index.most[term], minlength=first[-1] + 1)
-    last = np.zeros(first[-1] + 1, bool)
+    if not len(term):
+        return
+    # The bound of each passage in each range of items: its own span's and the next one's.
+    begin = np.flatnonzero(np.concatenate([[True], in_span[1:] != in_span[:-1]]))
+    bound = np.zeros((first[-1] + 1, index.by_range.shape[1]), np.float32)
+    bound[in_span[begin]] = np.add.reduceat(index.by_range[term], begin, axis=0)
+    last = np.zeros(first[-1], bool)
     last[first[1:][spans > 0] - 1] = True
-    bound[:-1] += np.where(last[:-1], 0, bound[1:])
+    bound[:-1][~last] += bound[1:][~last]
     found = defaultdict(dict)
-    for s in np.flatnonzero(bound[:-1] >= index.threshold - 1e-9).tolist():
+    for s in np.flatnonzero(bound[:-1].max(axis=1) >= index.threshold - 1e-4).tolist():
         low, high = np.searchsorted(in_span, [s, s + 1 + (not last[s])])
-        retrieved = index.search(np.unique(term[low:high]).tolist())
+        terms = np.unique(term[low:high])
+        near = np.flatnonzero(bound[s] >= index.threshold - 1e-4).tolist()
+        retrieved = [hit for part in near for hit in index.search(terms, part)]
         if not retrieved:
             continue
         text = int(np.searchsorted(first, s, "right")) - 1

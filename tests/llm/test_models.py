@@ -86,7 +86,12 @@ def test_search_finds_all_above_the_threshold():
                 for i, v in zip(index.item[t], index.impact[t], strict=True):
                     score[i] += v
             want = {i: round(v, 9) for i, v in score.items() if v >= threshold - 1e-9}
-            assert {i: round(v, 9) for i, v in index.search(terms)} == want
+            found = [
+                hit
+                for part in range(index.by_range.shape[1])
+                for hit in index.search(np.array(terms), part)
+            ]
+            assert {i: round(v, 9) for i, v in found} == want
 
 
 def test_contamination_against_all_pairs(spark, odd, monkeypatch):
