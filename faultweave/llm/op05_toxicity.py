@@ -4,6 +4,9 @@ The categories are predicted one after the other, and each linear model takes th
 of the categories before it as further inputs. In training these come from models of the other
 folds, so that a later model sees them as unsure as they will be on new text.
 
+Inputs are words and beginnings of words, each as found once, twice, or three times and more; those
+that tell toxic from clean most surely are kept, in whatever language.
+
 Labels tell toxic from clean. The categories before `toxic` are labelled through it: a toxic
 document with a word of the category's seeds belongs to the category. The chain is fitted in
 numpy on the driver, on a bounded sample of labelled documents; each document is then scored where
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 
 from faultweave.llm.shared import (
     LETTER_OR_DIGIT,
+    Texts,
+    U64,
     Words,
     chunks,
     id_and_text,
+    mixed,
     per_text,
     table,
     word_hash,
@@ -34,12 +40,15 @@ SEEDS = {
 }
 CATEGORIES = (*SEEDS, "toxic")
 #: Labelled documents to learn from, about, at most.
-SAMPLE = 10_000
-#: Words taken as inputs, those that tell toxic from clean best.
-INPUTS = 256
+SAMPLE = 6_000
+#: Inputs that are kept at most, those that tell toxic from clean best.
+INPUTS = 384
+#: Lengths in bytes of the beginnings of words, and the counts that are told apart.
+PREFIXES = (4, 6)
+LEVELS = 3
 FOLDS = 5
 LEAST_DOCS = 5
-#: Standard errors by which the shares of a word must differ at least.
+#: Standard errors by which the shares of an input must differ at least.
 LEAST_Z = 4.0
 
 
@@ -66,8 +75,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
                 if chain is None:
                     p = np.zeros((len(texts), len(CATEGORIES)))
                 else:
-                    words = Words(texts, LETTER_OR_DIGIT)
-                    p = chain.predict(*chain.inputs(words.hash, words.text), len(texts))
+                    p = chain.predict(*chain.inputs(*_found(texts)), len(texts))
                 yield table(schema, ids, *p.T.copy(), p[:, -1] >= 0.5)
 
     return id_and_text(docs).mapInArrow(
@@ -89,13 +97,14 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int):
         for batch in batches:
             for texts in chunks(batch["text"]):
                 part = slice(texts.first_row, texts.first_row + len(texts))
-                words = Words(texts, LETTER_OR_DIGIT)
-                own = per_text(words.hash, words.text, len(texts))
+                found, text = _found(texts)
+                order = np.argsort(text, kind="stable")
+                own = per_text(found[order], text[order], len(texts))
                 yield table(
                     schema,
                     batch["doc_id"][part],
                     batch["label"][part],
-                    [np.unique(h).tobytes() for h in own],
+                    [np.concatenate(_levels(*np.unique(h, return_counts=True))).tobytes() for h in own],
                 )
 
     rows = (
@@ -113,8 +122,24 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int):
     return Chain(words, label, fold)
 
 
+def _found(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and beginnings of words, and the text of each."""
+    words = Words(texts, LETTER_OR_DIGIT)
+    parts = [(words.hash, words.text), *(words.prefixes(size) for size in PREFIXES)]
+    return tuple(np.concatenate([p[c] for p in parts]) for c in (0, 1))
+
+
+def _levels(found: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The inputs of what was found so often: itself, and one more for each further level."""
+    return [_level(found[count >= level], level) for level in range(1, LEVELS + 1)]
+
+
+def _level(found: np.ndarray, level: int) -> np.ndarray:
+    return found if level == 1 else mixed(found + U64(level))
+
+
 class Chain:
-    """Linear models in order, over the presence of words and the earlier probabilities."""
+    """Linear models in order, over the presence of inputs and the earlier probabilities."""
 
     def __init__(self, words: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray):
         targets = []
@@ -124,9 +149,12 @@ class Chain:
             targets.append((toxic == 1) & has)
         targets.append(toxic == 1)
         self.vocabulary = _telling(words, toxic == 1)
-        hashes = np.concatenate(words)
+        every = np.concatenate(words)
         text = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        doc, column = self.inputs(hashes, text)
+        # What the inputs are levels of.
+        leveled = np.array([_level(every, k) for k in range(1, LEVELS + 1)])
+        self.base = np.unique(every[np.isin(leveled, self.vocabulary).any(axis=0)])
+        doc, column = self._columns(every, text)
         x = np.zeros((len(words), len(self.vocabulary) + len(targets)), np.float32)
         x[doc, column] = 1
         n = len(self.vocabulary)
@@ -141,14 +169,17 @@ class Chain:
             self.weights.append(fitted(held, target))
             x[:, n + k] = out_of_fold
 
-    def inputs(self, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of text and input word, each once."""
-        if not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == hashes
-        pair = np.unique(text[hit] * len(self.vocabulary) + at[hit])
-        return np.divmod(pair, len(self.vocabulary))
+    def inputs(self, found: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of text and input, each once, of all that was found in the texts."""
+        hit, at = _place(self.base, found)
+        pair, count = np.unique(text[hit] * len(self.base) + at[hit], return_counts=True)
+        text, at = np.divmod(pair, max(1, len(self.base)))
+        text = np.concatenate([text[count >= level] for level in range(1, LEVELS + 1)])
+        return self._columns(np.concatenate(_levels(self.base[at], count)), text)
+
+    def _columns(self, inputs: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit, at = _place(self.vocabulary, inputs)
+        return text[hit], at[hit]
 
     def predict(self, doc: np.ndarray, column: np.ndarray, texts: int) -> np.ndarray:
         """Probabilities by text and category; the last is of `toxic`."""
@@ -160,8 +191,16 @@ class Chain:
         return p
 
 
+def _place(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the ordered ones, and where."""
+    if not len(ordered):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[at] == values, at
+
+
 def _telling(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the words whose shares among toxic and clean documents differ most surely."""
+    """Hashes of the inputs whose shares among toxic and clean documents differ most surely."""
     every = np.concatenate(words)
     of = np.repeat(toxic, [len(w) for w in words])
     hashes, code = np.unique(every, return_inverse=True)

@@ -31,7 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="llm-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -172,6 +173,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.begin)
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first bytes of the words that are longer, and the text of each."""
+        longer = self.end - self.begin > size
+        begin = self.begin[longer]
+        kept = np.zeros(len(self.data), bool)
+        for j in range(size):
+            kept[begin + j] = True
+        return _hashed(self.data, kept, begin, begin + size) ^ U64(size), self.text[longer]
+
 
 def _hashed(
     data: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray
