@@ -82,7 +82,7 @@ def test_stats_equal_describe(spark):
 
 def test_names(spark):
     df = spark.createDataFrame([("b", 4), ("a", 4), ("c", 9)], "app_id string, label int")
-    got = [tuple(r) for r in features.named_ground_truth(df).collect()]
+    got = sorted(tuple(r) for r in features.named_ground_truth(df).collect())
     assert got == [("a", 4, "Network Failure"), ("b", 4, "Network Failure"), ("c", 9, "Unknown")]
     counts = [tuple(r) for r in features.label_distribution(df).collect()]
     assert counts == [(4, "Network Failure", 2), (9, "Unknown", 1)]
