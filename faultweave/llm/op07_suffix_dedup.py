@@ -19,7 +19,7 @@ found is brought back to the documents:
    GROUP segments is dealt again, by string.
 4. **Documents** get the marks of their segments, and their bytes are cut.
 
-Texts move compressed, twice. Tasks hold a batch of rows and one group, never a whole key.
+Texts move compressed, twice. Tasks hold a batch of rows and one group of bounded size.
 """
 
 from __future__ import annotations
@@ -72,9 +72,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     marks = saved(_marks(_segments(named, length)))
     unlike = marks.where("anchor is not null")
     texts = saved(_texts(named, unlike, length))
-    found = saved(_sorted_groups(texts, length))
-    late = _dealt_again(found.where("string is not null"))
-    part = found.where("string is null").select("doc_id", "segment", "low", "high").union(late)
+    groups = _sorted_groups(texts.where("bytes is not null").drop("string", "low"), length)
+    part = groups.union(_single_strings(texts.where("bytes is null")))
     whole = marks.where("anchor is null").select(
         "doc_id", "segment", F.lit(0).alias("low"), F.lit(-1).alias("high")
     )
@@ -265,62 +264,69 @@ def _scanned(anchor, segment, doc, state, done: list) -> tuple[tuple, list]:
 
 
 def _texts(docs: DataFrame, unlike: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc_id, segment, bytes) of the segments that need their text."""
-    wanted = unlike.groupBy("doc_id").agg(F.collect_set("segment").alias("wanted"))
+    """(anchor, doc_id, segment, bytes, string, low) of the segments that need their text; those
+    of large groups as strings instead: the hash and the place of each, without bytes."""
+    large = unlike.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    large = saved(large.select("anchor", F.lit(True).alias("large")))
+    wanted = unlike.join(large, "anchor", "left").groupBy("doc_id")
+    few, many = F.col("large").isNull(), F.col("large")
+    wanted = wanted.agg(
+        F.collect_set(F.when(few, F.col("segment"))).alias("few"),
+        F.collect_set(F.when(many, F.col("segment"))).alias("many"),
+    )
     schema = pa.schema(
-        [(c, pa.int64()) for c in ("anchor", "doc_id", "segment")] + [("bytes", pa.binary())]
+        [(c, pa.int64()) for c in ("anchor", "doc_id", "segment")]
+        + [("bytes", pa.binary()), ("string", pa.int64()), ("low", pa.int64())]
     )
 
     def run(batches):
         for batch in batches:
-            rows = [[], [], [], []]
             for i, text in enumerate(unpacked(batch["body"])):
                 raw = np.frombuffer(text, np.uint8)
                 anchor, segment, first, last = segmented(raw, length)
-                want = batch["wanted"][i].values.to_numpy()
-                here, at = np.unique(signed(segment), return_index=True)
-                at = at[np.isin(here, want)]
-                rows[0].append(signed(anchor[at]))
-                rows[1].append(np.full(len(at), batch["doc_id"][i].as_py()))
-                rows[2].append(signed(segment[at]))
-                rows[3] += [text[first[j] : last[j] + length] for j in at.tolist()]
-            if rows[0]:
-                yield table(schema, *map(np.concatenate, rows[:3]), rows[3])
+                names, at = np.unique(signed(segment), return_index=True)
+                doc = batch["doc_id"][i].as_py()
+                own = at[np.isin(names, batch["few"][i].values.to_numpy())]
+                if len(own):
+                    cut = [text[first[j] : last[j] + length] for j in own.tolist()]
+                    none = pa.nulls(len(own), pa.int64())
+                    head = signed(anchor[own]), np.full(len(own), doc), signed(segment[own])
+                    yield table(schema, *head, cut, none, none)
+                own = at[np.isin(names, batch["many"][i].values.to_numpy())]
+                if len(own):
+                    count = last[own] - first[own] + 1
+                    which = np.repeat(own, count)
+                    low = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                    name = signed(strings(raw, length)[first[which] + low])
+                    head = signed(anchor[which]), np.full(len(which), doc), signed(segment[which])
+                    yield table(schema, *head, pa.nulls(len(which), pa.binary()), name, low)
 
     return (
         packed(docs)
         .join(wanted, "doc_id")
-        .mapInArrow(run, "anchor long, doc_id long, segment long, bytes binary")
+        .mapInArrow(
+            run, "anchor long, doc_id long, segment long, bytes binary, string long, low long"
+        )
     )
 
 
 def _sorted_groups(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, segment, low, high, string): runs of strings to remove, counted from the
-    segment's start; of groups too large, each string by its hash."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "segment", "low", "high", "string")])
+    """(doc_id, segment, low, high): runs of strings to remove, counted from the segment's
+    start."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "segment", "low", "high")])
 
     def run(batches):
-        held, large = None, None
+        held = None
         for batch in batches:
             part = pa.Table.from_batches([batch])
             if held is not None:
                 part = pa.concat_tables([held, part]).combine_chunks()
             anchor = part["anchor"].to_numpy()
             edge = int(np.searchsorted(anchor, anchor[-1]))
-            whole, held = part.slice(0, edge), part.slice(edge)
-            if large is not None:
-                of_large = int(np.searchsorted(anchor, large, "right"))
-                yield from _each_string(part.slice(0, of_large), length, schema)
-                whole = part.slice(of_large, max(0, edge - of_large))
-                if anchor[-1] == large:
-                    held = None
-            if len(whole):
-                yield from _resolved(whole, length, schema)
-            if held is not None and len(held) > GROUP:
-                large = int(anchor[-1])
-                yield from _each_string(held, length, schema)
-                held = None
-        if held is not None and len(held):
+            if edge:
+                yield from _resolved(part.slice(0, edge), length, schema)
+            held = part.slice(edge)
+        if held is not None:
             yield from _resolved(held, length, schema)
 
     return (
@@ -349,14 +355,6 @@ class _Group:
         self.hash = strings(np.frombuffer(self.data, np.uint8), length)[self.at]
 
 
-def _each_string(part: pa.Table, length: int, schema: pa.Schema):
-    if len(part):
-        g = _Group(part, length)
-        yield table(
-            schema, g.doc[g.row], g.segment[g.row], g.offset, g.offset, signed(g.hash)
-        )
-
-
 def _resolved(part: pa.Table, length: int, schema: pa.Schema):
     g = _Group(part, length)
     # Strings that one row alone has cannot be repeats.
@@ -400,7 +398,7 @@ def _resolved(part: pa.Table, length: int, schema: pa.Schema):
                 out[2].append(offset + first)
                 out[3].append(offset + after - 1)
     if out[0]:
-        yield table(schema, *out, pa.nulls(len(out[0]), pa.int64()))
+        yield table(schema, *out)
 
 
 def _order(block: list, places: dict, doc: np.ndarray, low: dict, length: int) -> None:
@@ -427,7 +425,7 @@ def _order(block: list, places: dict, doc: np.ndarray, low: dict, length: int) -
         low[name] = values
 
 
-def _dealt_again(rows: DataFrame) -> DataFrame:
+def _single_strings(rows: DataFrame) -> DataFrame:
     """Strings of large groups: (doc_id, segment, low, high) of those a smaller document has."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "segment", "low", "high")])
 
@@ -439,12 +437,13 @@ def _dealt_again(rows: DataFrame) -> DataFrame:
             begin = np.maximum.accumulate(np.where(new, np.arange(len(here)), -1))
             low = np.where(begin >= 0, doc[np.maximum(begin, 0)], smallest or 0)
             gone = doc > low
-            part = (batch[c].to_numpy()[gone] for c in ("doc_id", "segment", "low", "high"))
+            part = (batch[c].to_numpy()[gone] for c in ("doc_id", "segment", "low", "low"))
             yield table(schema, *part)
             string, smallest = here[-1], low[-1]
 
     return (
-        rows.repartition("string")
+        rows.select("string", "doc_id", "segment", "low")
+        .repartition("string")
         .sortWithinPartitions("string", "doc_id")
         .mapInArrow(run, "doc_id long, segment long, low long, high long")
     )
