@@ -40,7 +40,7 @@ SEEDS = {
 }
 CATEGORIES = (*SEEDS, "toxic")
 #: Labelled documents to learn from, about, at most.
-SAMPLE = 6_000
+SAMPLE = 3_000
 #: Inputs that are kept at most, those that tell toxic from clean best.
 INPUTS = 384
 #: Lengths in bytes of the beginnings of words, and the counts that are told apart.
@@ -113,12 +113,13 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int):
         .mapInArrow(run, "doc_id long, label int, words binary")
         .collect()
     )
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
+    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
     label = np.array([r["label"] for r in rows], np.int64)
     if not len(rows) or label.min() == label.max():
         return None
-    words = [np.frombuffer(bytes(r["words"]), np.uint64) for r in rows]
+    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
     fold = np.array([r["doc_id"] for r in rows]) % FOLDS
+    del rows
     return Chain(words, label, fold)
 
 
@@ -148,12 +149,9 @@ class Chain:
             has = np.array([np.isin(seed, own).any() for own in words])
             targets.append((toxic == 1) & has)
         targets.append(toxic == 1)
-        self.vocabulary = _telling(words, toxic == 1)
         every = np.concatenate(words)
-        text = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        # What the inputs are levels of.
-        leveled = np.array([_level(every, k) for k in range(1, LEVELS + 1)])
-        self.base = np.unique(every[np.isin(leveled, self.vocabulary).any(axis=0)])
+        text = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+        self.vocabulary, self.base = _telling(every, text, toxic == 1)
         doc, column = self._columns(every, text)
         x = np.zeros((len(words), len(self.vocabulary) + len(targets)), np.float32)
         x[doc, column] = 1
@@ -199,19 +197,25 @@ def _place(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ordered[at] == values, at
 
 
-def _telling(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the inputs whose shares among toxic and clean documents differ most surely."""
-    every = np.concatenate(words)
-    of = np.repeat(toxic, [len(w) for w in words])
-    hashes, code = np.unique(every, return_inverse=True)
-    yes, no = np.bincount(code, of), np.bincount(code, ~of)
+def _telling(
+    every: np.ndarray, text: np.ndarray, toxic: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the inputs whose shares among toxic and clean documents differ most surely, and
+    of what they are levels of."""
+    hashes = np.unique(every)
+    yes, no = (
+        np.bincount(np.searchsorted(hashes, every[toxic[text] == side]), minlength=len(hashes))
+        for side in (True, False)
+    )
     n_yes, n_no = toxic.sum(), (~toxic).sum()
     p = (yes + no) / (n_yes + n_no)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_yes + 1 / n_no))
     z = np.abs(yes / n_yes - no / n_no) / spread
     z[yes + no < LEAST_DOCS] = 0
-    order = np.lexsort((hashes, -z))[:INPUTS]
-    return np.sort(hashes[order[z[order] >= LEAST_Z]])
+    sure = np.flatnonzero(z >= LEAST_Z)
+    best = hashes[sure[np.lexsort((hashes[sure], -z[sure]))[:INPUTS]]]
+    base = [hashes[np.isin(_level(hashes, k), best)] for k in range(1, LEVELS + 1)]
+    return np.sort(best), np.unique(np.concatenate(base))
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 8, ridge: float = 1.0) -> np.ndarray:
