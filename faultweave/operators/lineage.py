@@ -99,7 +99,7 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
 
     `depth` counts the stages of the longest walk, found by trying the longest
     jumps first from wherever the walk has come. It is NULL for a cyclic graph,
-    where walks have more steps than there are stages.
+    where walks have more steps than there are stages to leave.
     """
     keys = ["app_id", "stage_id"]
     stages = cut_lineage(nodes.select(*keys, "parent_ids"))
@@ -121,13 +121,17 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
         here = cut_lineage(moved.unionByName(here.join(apps, "app_id", "left_anti")))
     walks = reduce(DataFrame.unionByName, steps).groupBy("app_id").agg(F.sum("steps").alias("steps"))
 
+    # Each step of an acyclic walk leaves another source; on a cycle the jumps together have more
+    # steps than any application has sources.
+    sources = arcs.groupBy("app_id").agg(F.count_distinct("source").alias("sources"))
     walked = F.coalesce("steps", F.lit(0))
-    acyclic = walked < F.col("total_stages")
+    acyclic = walked <= F.coalesce("sources", F.lit(0))
     return (
         _per_app(stages, "total_stages")
         .join(_per_app(roots, "root_stages"), "app_id", "left")
         .join(_per_app(leaves, "leaf_stages"), "app_id", "left")
         .join(walks, "app_id", "left")
+        .join(sources, "app_id", "left")
         .select(
             "app_id",
             "total_stages",

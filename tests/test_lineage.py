@@ -141,6 +141,28 @@ def test_cycles(spark):
     assert roots["loop"] == 3  # no stage ends the walk, so it stays where it began
 
 
+def test_cycles_beside_stages_that_no_walk_leaves(spark):
+    def stages(app, parents):
+        return [(app, i, 0, 0, "s", "FAILED", "OOM", p) for i, p in parents.items()]
+
+    two = {1: [2], 2: [1]}
+    rows = stages("isolated", two | {i: [] for i in range(3, 13)})
+    rows += stages("leaves", two | {i: [1] for i in range(3, 13)})
+    rows += stages("self", {1: [1]} | {i: [] for i in range(2, 9)})
+    rows += stages("fan", {1: []} | {i: [1] for i in range(2, 13)})
+    rows += stages("chain", {1: []} | {i: [i - 1] for i in range(2, 13)})
+    rows += stages("apart", {i: [] for i in range(1, 13)})
+    nodes = graph.stage_nodes(spark.createDataFrame(rows, SCHEMA))
+    shape = lineage.lineage_shape(nodes).collect()
+    # Alone, the two-cycle sets the bound on steps itself; beside the chain the bound is larger.
+    alone = nodes.where("app_id in ('isolated', 'leaves', 'self', 'fan')")
+    got = {r.app_id: (r.is_acyclic, r.depth) for r in shape}
+    cyclic = dict.fromkeys(("isolated", "leaves", "self"), (False, None))
+    assert got == cyclic | {"fan": (True, 2), "chain": (True, 12), "apart": (True, 1)}
+    got = {r.app_id: (r.is_acyclic, r.depth) for r in lineage.lineage_shape(alone).collect()}
+    assert got == cyclic | {"fan": (True, 2)}
+
+
 def chain_nodes(spark, depth):
     rows = spark.range(depth).selectExpr(
         "'deep' AS app_id", "int(id) AS stage_id", "0 AS stage_attempt_id",
