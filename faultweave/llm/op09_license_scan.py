@@ -1,15 +1,17 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a license statement; both are sets of words. A block
-matches where it holds at least c = ceil(containment * |T|) of the words of template T.
+A template is a license statement, a set of words T. A block is a run of at most |T| + FILL words
+of a document. It matches where it holds at least c = ceil(containment * |T|) words of T: within a
+line in any order, over the ends of lines, as statements are wrapped, in the order of the template.
 
 The words of the templates are put in one global order, rarest in the documents first; the
 counts cover all documents. A matching block holds one of the first |T| - c + 1 words of T
-(prefix filter), has c different words (length filter), and from its first such word on still
-has c template words, itself included (positional filter). Blocks that pass are verified whole,
-so every match is found and no other. Only the templates are sent to tasks; their size is fixed
-and does not depend on the documents. Each document is read in one task and nothing is shuffled
-but the word counts, one row for each template word and task.
+(prefix filter), has c words (length filter), and after each word of T in that order the words
+found and those still to come are c (positional filter). Blocks begin at words of T, as others only
+shorten them. Blocks that pass are verified whole, so every match is found and no other. Only the
+templates are sent to tasks; their size is fixed and does not depend on the documents. Each
+document is read in one task and nothing is shuffled but the word counts, one row for each template
+word and task.
 
 Beside this, `phrases` are sought as runs of words, wherever they stand.
 """
@@ -55,6 +57,9 @@ TEMPLATES = {
     "rights-reserved": "Copyright. All rights reserved",
 }
 
+#: Words that a block may hold beside those of a template: names, years, marks of comments.
+FILL = 16
+
 
 def _word_list(text: str) -> list[str]:
     raw = text.encode()
@@ -64,15 +69,15 @@ def _word_list(text: str) -> list[str]:
 
 
 class Templates:
-    """Word sets of the templates, in the global order once it is known."""
+    """Words of the templates, each once, in the global order once it is known."""
 
     def __init__(self, texts: dict[str, str], containment: float):
-        self.sets = {label: set(_word_list(text)) for label, text in texts.items()}
+        self.texts = {label: list(dict.fromkeys(_word_list(text))) for label, text in texts.items()}
         self.least = {
             label: max(1, int(np.ceil(containment * len(own) - 1e-9)))
-            for label, own in self.sets.items()
+            for label, own in self.texts.items()
         }
-        self.words = sorted(set().union(*self.sets.values()))
+        self.words = sorted(set().union(*self.texts.values()))
         hashes = np.array([word_hash(w) for w in self.words], np.uint64)
         self.by_hash = np.argsort(hashes)
         self.hashes = hashes[self.by_hash]
@@ -83,19 +88,22 @@ class Templates:
         return np.where(self.hashes[at] == hashes, self.by_hash[at], -1)
 
     def order(self, frequency: dict[int, int]) -> None:
-        """Rank words rarest first, ties by the word; index each template under its prefix."""
+        """Rank words rarest first, ties by the word; give each template's words by rank and as
+        written, and the ranks of all of them and of its prefix as tables."""
         ranked = sorted(range(len(self.words)), key=lambda i: (frequency.get(i, 0), self.words[i]))
         self.rank = np.empty(len(ranked), np.int64)
         self.rank[ranked] = np.arange(len(ranked))
         number = {w: i for i, w in enumerate(self.words)}
-        self.ranks, self.index = {}, defaultdict(list)
-        for label, own in self.sets.items():
-            ranks = sorted(int(self.rank[number[w]]) for w in own)
-            self.ranks[label] = frozenset(ranks)
-            for rank in ranks[: len(ranks) - self.least[label] + 1]:
-                self.index[rank].append(label)
-        self.is_prefix = np.zeros(len(ranked) + 1, bool)
-        self.is_prefix[list(self.index)] = True
+        self.ranks, self.written, self.is_own, self.is_prefix = {}, {}, {}, {}
+        for label, own in self.texts.items():
+            self.written[label] = [int(self.rank[number[w]]) for w in own]
+            self.ranks[label] = sorted(self.written[label])
+            for is_in, upto in (
+                (self.is_own, len(own)),
+                (self.is_prefix, len(own) - self.least[label] + 1),
+            ):
+                is_in[label] = np.zeros(len(ranked), bool)
+                is_in[label][self.ranks[label][:upto]] = True
 
 
 def license_scan(
@@ -106,7 +114,8 @@ def license_scan(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base (places of a phrase), first_word and
     last_word (their smallest and largest start, words from 0; null if none), base_labels,
-    labels (base and method), score and blocks (matching blocks of the method).
+    labels (base and method), score and blocks (matching blocks of the method that do not overlap,
+    by template).
 
     Words are runs outside `[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`, A-Z lower-cased. score is 1 where
     a phrase stands, else the greatest containment of a matching block, else 0. A null or empty
@@ -192,49 +201,94 @@ def _places(words: Words, runs: dict[str, np.ndarray]) -> dict:
 
 
 def _matches(words: Words, known: Templates) -> dict:
-    """By text, the (containment, label) of each matching block."""
+    """By text, the (containment, label, counts) of each matching block: the first of blocks that
+    overlap counts, but all are given."""
     out = defaultdict(list)
     if not len(words):
         return out
     number = known.numbers(words.hash)
-    rank = np.where(number >= 0, known.rank[number], len(known.words))
-    triggers = np.flatnonzero(known.is_prefix[rank])
-    if not len(triggers):
-        return out
-    newline = np.cumsum(words.data == 10)
-    # A block is a text and a line of it; ids rise with the words.
-    block = newline[words.begin] + words.text
-    for b in np.unique(block[triggers]).tolist():
-        low, high = np.searchsorted(block, [b, b + 1])
-        different = len(np.unique(words.hash[low:high]))
-        own = np.unique(rank[low:high])
-        own = own[own < len(known.words)].tolist()
-        tried = set()
-        for place, r in enumerate(own):
-            for label in known.index.get(r, ()):
-                least = known.least[label]
-                if label in tried or different < least:
-                    continue
-                tried.add(label)
-                if len(own) - place < least:
-                    continue
-                both = len(known.ranks[label].intersection(own))
-                if both >= least:
-                    out[int(words.text[low])].append((both / len(known.ranks[label]), label))
+    rank = np.where(number >= 0, known.rank[number], -1)
+    hits = np.flatnonzero(rank >= 0)
+    # Ids of lines rise with the words.
+    line = np.cumsum(words.data == 10)[words.begin] + words.text
+    for label, ranks in known.ranks.items():
+        triggers = hits[known.is_prefix[label][rank[hits]]]
+        if not len(triggers):
+            continue
+        own = hits[known.is_own[label][rank[hits]]]
+        trigger = np.append(triggers, len(words))[np.searchsorted(triggers, own)]
+        end = np.minimum(own + len(ranks) + FILL, words.high[words.text[own]])
+        near = trigger < end
+        begin, end = own[near], end[near]
+        line_end = np.minimum(np.searchsorted(line, line[begin], "right"), end)
+        places = {r: own[rank[own] == r] for r in ranks}
+        least = known.least[label]
+        found = {}
+        for at, upto, both in _holding(begin, line_end, places, least):
+            found[at] = (both, upto)
+        wrapped = line_end < end
+        for at, upto, _ in _holding(begin[wrapped], end[wrapped], places, least):
+            last = int(end[np.searchsorted(begin, at)])
+            held = own[np.searchsorted(own, at) : np.searchsorted(own, last)]
+            both, upto = _in_order(known.written[label], held.tolist(), rank[held].tolist())
+            if both >= least:
+                found[at] = max(found.get(at, (0, 0)), (both, upto))
+        free = 0
+        for at in sorted(found):
+            both, upto = found[at]
+            out[int(words.text[at])].append((both / len(ranks), label, at >= free))
+            free = upto if at >= free else free
     return out
 
 
+def _holding(begin: np.ndarray, end: np.ndarray, places: dict[int, np.ndarray], least: int):
+    """(begin, end, words) of the blocks that hold at least so many of the words at these places;
+    end is after the last word needed."""
+    length = end - begin >= least
+    begin, end = begin[length], end[length]
+    both, upto = np.zeros(len(begin), np.int64), begin.copy()
+    left = len(places)
+    for at in places.values():  # rarest first
+        left -= 1
+        first = np.append(at, np.iinfo(np.int64).max)[np.searchsorted(at, begin)]
+        inside = first < end
+        both += inside
+        upto = np.where(inside, np.maximum(upto, first + 1), upto)
+        kept = both + left >= least
+        begin, end, both, upto = begin[kept], end[kept], both[kept], upto[kept]
+        if not len(begin):
+            break
+    return zip(begin.tolist(), upto.tolist(), both.tolist(), strict=True)
+
+
+def _in_order(written: list[int], at: list[int], held: list[int]) -> tuple[int, int]:
+    """The most words of a template that a block holds in its order, and the end of the last."""
+    best = [0] * (len(written) + 1)
+    place = {r: i for i, r in enumerate(written)}
+    upto = at[0]
+    for p, r in zip(at, held, strict=True):
+        i = place[r]
+        longest = best[i] + 1
+        if longest > best[-1]:
+            upto = p + 1
+        for j in range(i + 1, len(best)):
+            if best[j] >= longest:
+                break
+            best[j] = longest
+    return best[-1], upto
+
+
 def _row(n_words: int, places: list, matches: list) -> tuple:
     starts = [p for p, _ in places]
     base = {label for _, label in places}
-    score = 1.0 if places else max((c for c, _ in matches), default=0.0)
+    score = 1.0 if places else max((c for c, _, _ in matches), default=0.0)
     return (
         n_words,
         len(places),
         min(starts, default=None),
         max(starts, default=None),
         ",".join(sorted(base)),
-        ",".join(sorted(base | {label for _, label in matches})),
+        ",".join(sorted(base | {label for _, label, _ in matches})),
         score,
-        len(matches),
+        sum(counts for _, _, counts in matches),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from faultweave.llm import op03_pii, op07_suffix_dedup, op10_ngram_join
+from faultweave.llm import op03_pii, op07_suffix_dedup, op09_license_scan, op10_ngram_join
 from faultweave.llm.op01_quality_rules import quality_filter, quality_rules
 from faultweave.llm.op02_token_counts import token_counts
 from faultweave.llm.op04_packing import assign, pack
@@ -327,6 +328,97 @@ def test_license_scan(spark, odd):
     assert rows_of(license_scan(docs), *columns) == want
 
 
+WRAPPED = {
+    "mit-permission": """Copyright (c) 2015 Some Body and others
+
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction""",
+    "bsd-conditions": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "mpl-2.0-notice": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "apache-2.0-notice": "Licensed under the\r\nApache License,\r\nVersion 2.0 (the License)",
+    "rights-reserved": "Copyright (c) 2008-2011, Some Names of Ours Inc.\nAll rights reserved.",
+}
+
+
+def test_license_texts_are_found_as_they_are_wrapped(spark):
+    rows = [(i, f"a the of\n{t}\nthe end") for i, t in enumerate(WRAPPED.values())]
+    rows += [(10 + i, " ".join(t.split())) for i, t in enumerate(WRAPPED.values())]
+    far = "released " + "x " * 40 + "under " + "y " * 40 + "the mit " + "z " * 40 + "license"
+    rows += [(20, far), (21, "license the mit under released"), (22, "license the\nmit under\nreleased")]
+    rows += [(23, f"{WRAPPED['bsd-conditions']}\n\n{WRAPPED['bsd-conditions']}")]
+    # A statement does not run on into the next text.
+    rows += [(24, "Copyright Some Body\nAll"), (25, "rights reserved")]
+    out = license_scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, label in enumerate(WRAPPED):
+        for k in (i, 10 + i):
+            assert label in got[k]["labels"].split(","), (k, label)
+            assert (got[k]["score"], got[k]["blocks"]) == (1.0, 1), (k, label)
+    assert [got[k]["labels"] for k in (20, 21, 22, 24, 25)] == ["", "mit-notice", "", "", ""]
+    assert (got[23]["labels"], got[23]["blocks"]) == ("bsd-conditions", 2)
+
+
+def blocks_of(text):
+    """Labels and the greatest containment, by trying every block."""
+    words, lines = [], []
+    for n, line in enumerate(lower(text).split("\n")):
+        own = ALNUM.findall(line)
+        words, lines = words + own, lines + [n] * len(own)
+    labels, most = set(), 0.0
+    for label, t in TEMPLATES.items():
+        own = list(dict.fromkeys(ALNUM.findall(lower(t))))
+        for a in range(len(words)):
+            b = min(len(words), a + len(own) + op09_license_scan.FILL)
+            row = [0] * (len(own) + 1)
+            for w in words[a:b]:
+                row = longer(row, own, w)
+            same = {w for w, n in zip(words[a:b], lines[a:b]) if n == lines[a]} & set(own)
+            both = max(len(same), row[-1])
+            if 10 * both >= 8 * len(own):
+                labels.add(label)
+                most = max(most, both / len(own))
+    return labels, most
+
+
+def longer(row, own, w):
+    """One step of the longest common subsequence."""
+    out = [0]
+    for j, x in enumerate(own):
+        out.append(row[j] + 1 if x == w else max(row[j + 1], out[j]))
+    return out
+
+
+def test_license_blocks_against_every_block(spark):
+    rng = random.Random(9)
+    pool = [ALNUM.findall(lower(t)) for t in TEMPLATES.values()]
+    rows = []
+    for i in range(400):
+        words = []
+        for t in rng.choices(pool, k=rng.randint(1, 3)):
+            own = [w for w in t if rng.random() < 0.93]
+            if rng.random() < 0.2:
+                a, b = rng.randrange(len(own)), rng.randrange(len(own))
+                own[a], own[b] = own[b], own[a]
+            for w in own:
+                words += [w] + [rng.choice(["x", "the", "of"])] * (rng.random() < 0.2)
+            words += ["y"] * rng.randrange(25)
+        rows.append((i, "".join(w + rng.choice("     \n") for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    hit = 0
+    for r in license_scan(docs).collect():
+        found, most = blocks_of(rows[r["doc_id"]][1])
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert r["labels"] == ",".join(sorted(base | found)), rows[r["doc_id"]]
+        assert r["score"] == (1.0 if base else most)
+        hit += len(found)
+    assert hit > 100
+
+
 # ---- 10: near duplicates ----
 
 
