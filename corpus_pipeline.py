@@ -4,12 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 read again as the next stage's docs. All but the last return the columns of `documents`.
 
 Rows without doc_id pass the stages that decide by doc_id; rows that repeat a doc_id share its
-fate there. Null texts fail the quality rules. Further columns of docs are kept.
+fate there, but of rows with the same doc_id and text, or without doc_id and with the same text, the
+near-duplicate stage leaves one. Null texts fail the quality rules. Further columns of docs are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultweave.llm.op01_quality_rules import quality_filter
 from faultweave.llm.op03_pii import redacted
@@ -27,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.85 on 4-word shingles connect: the smallest
-    doc_id."""
+    doc_id. One row of each doc_id and text."""
     joined = ngram_jaccard_join(docs, k=4, percent=85)
-    return _without(docs, joined.where("component_id <> doc_id"))
+    return _one_of_each(_without(docs, joined.where("component_id <> doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    # Only rows whose hash occurs again are moved and compared as they are.
+    row_hash = F.xxhash64("doc_id", "text")
+    again = docs.groupBy(row_hash.alias("hash_of_row")).count().where("count > 1")
+    again = saved(again.select("hash_of_row"))
+    repeated = docs.join(again, row_hash == F.col("hash_of_row"), "left_semi")
+    single = docs.join(again, row_hash == F.col("hash_of_row"), "left_anti")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("ngram_jaccard_join", near_duplicates),

@@ -84,6 +84,17 @@ def test_near_duplicates_leave_one_of_each_group(spark, odd, sf_dir):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_near_duplicates_leave_one_of_repeated_rows(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long), (3, "own text of three"), (3, "own text of three")]
+    rows += [(3, "second text of three"), (None, long), (None, long), (None, "no id"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    want = Counter(dict.fromkeys(rows, 1))
+    del want[2, long]
+    assert Counter(map(tuple, kept)) == want
+
+
 def test_components_of_a_path(spark):
     links = spark.range(200).selectExpr("id AS a", "id + 1 AS b").where("a <> 99")
     links = links.union(spark.createDataFrame([(5, 5), (None, 3)], "a long, b long"))
