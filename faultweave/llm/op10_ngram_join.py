@@ -13,7 +13,7 @@ least t(n) = ceil(s * n) shingles for the size n of either, because their union
   shingles: so many that any partner still shares one.
 - **The boundary** is the size that makes the fewest rows, from the counts of sizes.
 
-Equal sets are one class from the start. On each list only the leader (smallest class) meets
+Equal word sequences are one class from the start, by a cryptographic digest. On each list only the leader (smallest class) meets
 all others; those links are verified on whole sets and joined to components. Then members that
 stand in another component than their leader meet the rest of their list. So a family of near
 copies costs its list's length and not its square, and no link between different sets is lost:
@@ -23,6 +23,7 @@ two sets bound their overlap.
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations
 from math import comb
 
@@ -129,24 +130,34 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, check): size and two hashes of each document's set."""
+    """(doc_id, n, key, check): size of each document's set, and the digest of its words."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "key", "check")])
 
     def run(batches):
         for batch in batches:
             for texts in chunks(batch["text"]):
-                n, key, check = [], [], []
-                for own in _distinct(texts, k):
-                    n.append(len(own))
-                    key.append(own.sum())
-                    check.append(mixed(own ^ U64(0x5555)).sum())
+                n = [len(own) for own in _distinct(texts, k)]
                 ids = batch["doc_id"].slice(texts.first_row, len(texts))
-                two = (signed(np.array(x, np.uint64)) for x in (key, check))
-                yield table(schema, ids, n, *two)
+                key, check = np.array([_digest(texts.of(i)) for i in range(len(texts))]).T
+                yield table(schema, ids, n, key, check)
 
     return docs.mapInArrow(run, "doc_id long, n long, key long, check long")
 
 
+def _digest(text: bytes) -> np.ndarray:
+    """128 bits of blake2b over the words, as two numbers."""
+    words = b" ".join(text.lower().split())
+    return np.frombuffer(blake2b(words, digest_size=16).digest(), np.int64)
+
+
+def _word_shingles(text: bytes, k: int) -> set[tuple]:
+    """The set of a text as words, without hashes."""
+    words = text.lower().split()
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(k)), strict=False))
+
+
 def _distinct(texts, k: int):
     found, text = shingles(Words(texts, NOT_SPACE), k, short=True)
     return (np.unique(own) for own in per_text(found, text, len(texts)))
@@ -198,11 +209,14 @@ def _keys(docs: DataFrame, bounds: Bounds, x: int, k: int) -> DataFrame:
             seen = set()  # copies within a batch give the same keys
             for texts in chunks(batch["text"]):
                 h, key, n, small = [], [], [], []
-                for own in _distinct(texts, k):
-                    size, name = len(own), int(own.sum())
-                    if not size or (name, size) in seen:
+                for i, own in enumerate(_distinct(texts, k)):
+                    size = len(own)
+                    if not size:
+                        continue
+                    name = int(_digest(texts.of(i))[0])
+                    if name in seen:
                         continue
-                    seen.add((name, size))
+                    seen.add(name)
                     parts = []
                     if size <= x:
                         parts.append((_subsets(own, bounds), True))
@@ -210,12 +224,12 @@ def _keys(docs: DataFrame, bounds: Bounds, x: int, k: int) -> DataFrame:
                         parts.append((own[: bounds.listed(size)], False))
                     for part, is_small in parts:
                         h.append(part)
-                        key.append(np.full(len(part), name, np.uint64))
+                        key.append(np.full(len(part), name, np.int64))
                         n.append(np.full(len(part), size, np.int64))
                         small.append(np.full(len(part), is_small))
                 if h:
-                    h, key = (signed(np.concatenate(c)) for c in (h, key))
-                    yield table(schema, h, key, np.concatenate(n), np.concatenate(small))
+                    h = signed(np.concatenate(h))
+                    yield table(schema, h, *map(np.concatenate, (key, n, small)))
 
     return docs.where("doc_id is not null").mapInArrow(
         run, "h long, key long, n long, small boolean"
@@ -242,21 +256,26 @@ def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are as similar as asked."""
+    """Those pairs (a, b) whose sets are as similar as asked: by hashes first, then by words."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        last, leader = None, None
+        last, leader, words = None, None, None
         for batch in batches:
             good = []
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             two = zip(unpacked(batch["body_a"]), unpacked(batch["body_b"]), strict=True)
             for i, (body_a, body_b) in enumerate(two):
                 if body_a != last:
-                    last, leader = body_a, next(_distinct(one_text(body_a), k))
+                    last, leader, words = body_a, next(_distinct(one_text(body_a), k)), None
                 other = next(_distinct(one_text(body_b), k))
                 both = len(np.intersect1d(leader, other, assume_unique=True))
-                if 100 * both >= percent * (len(leader) + len(other) - both):
+                if 100 * both < percent * (len(leader) + len(other) - both):
+                    continue
+                words = words or _word_shingles(body_a, k)
+                other = _word_shingles(body_b, k)
+                both = len(words & other)
+                if 100 * both >= percent * (len(words) + len(other) - both):
                     good.append(i)
             yield table(schema, [a[i] for i in good], [b[i] for i in good])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +129,12 @@ LETTER_OR_DIGIT = ~byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: A fixed random odd number for each byte.
+#: A fixed random odd number for each byte, for the rolling hash of short strings.
 BYTE_VALUE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Words of more bytes are hashed by blake2b.
+LONG = 64
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
@@ -168,7 +173,7 @@ class Words:
         self.low = np.searchsorted(self.begin, texts.start)
         self.high = np.searchsorted(self.begin, texts.end)
         self.text = np.repeat(np.arange(len(texts)), self.high - self.low)
-        self.hash = _hashed(data, inside[1:-1], self.begin, self.end)
+        self.hash = _hashed(data, self.begin, self.end)
 
     def __len__(self) -> int:
         return len(self.begin)
@@ -177,33 +182,34 @@ class Words:
         """Hashes of the first bytes of the words that are longer, and the text of each."""
         longer = self.end - self.begin > size
         begin = self.begin[longer]
-        kept = np.zeros(len(self.data), bool)
-        for j in range(size):
-            kept[begin + j] = True
-        return _hashed(self.data, kept, begin, begin + size) ^ U64(size), self.text[longer]
-
-
-def _hashed(
-    data: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray
-) -> np.ndarray:
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    data, inside = data[begin[0] :], inside[begin[0] :]
-    begin, end = begin - begin[0], end - begin[0]
-    longest = int((end - begin).max())
-    step = np.diff(np.append(begin, len(data)))
-    place = np.arange(len(data)) - np.repeat(begin, step)
-    np.minimum(place, longest, out=place)
-    value = BYTE_VALUE[data] * powers(longest + 1)[place]
-    value[~inside] = 0
-    return mixed(np.add.reduceat(value, begin) + (end - begin).astype(np.uint64))
+        return _hashed(self.data, begin, begin + size) ^ U64(size), self.text[longer]
+
+
+def _hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each data[begin:end]: blocks of eight bytes, each mixed into all before it.
+
+    The few strings longer than LONG are hashed whole by blake2b, so no text costs a step a block.
+    """
+    size = end - begin
+    h = mixed(size.astype(np.uint64) + U64(_POWER))
+    if not len(h):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    for at in range(0, min(int(size.max()), LONG), 8):
+        more = np.flatnonzero(size > at)
+        block = eight[begin[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]
+        h[more] = mixed((h[more] ^ block) + U64(_POWER))
+    for i in np.flatnonzero(size > LONG):
+        whole = data[begin[i] : end[i]].tobytes()
+        h[i] = int.from_bytes(blake2b(whole, digest_size=8).digest(), "little")
+    return h
 
 
 def word_hash(word: str) -> int:
     """The hash that Words gives to this one word."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    every = np.ones(len(raw), bool)
-    return int(_hashed(raw, every, np.zeros(1, np.int64), np.array([len(raw)]))[0])
+    return int(_hashed(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
 def shingles(words: Words, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +223,7 @@ def shingles(words: Words, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]
     weight = powers(2 * k + 2)
     count = words.high - words.low
     out = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         out[: n - j] += words.hash[j:] * weight[j + 1]
     place = np.arange(n) - np.repeat(words.low, count)
     whole = place + k <= np.repeat(count, count)
