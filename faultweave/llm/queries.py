@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultweave.llm import op01_quality_rules, op10_ngram_join
+from faultweave.llm import op01_quality_rules, op10_ngram_join, op12_collocations
 from faultweave.llm.op01_quality_rules import quality_rules
 from faultweave.llm.op02_token_counts import token_counts
 from faultweave.llm.op03_pii import pii_spans
@@ -16,9 +16,12 @@ from faultweave.llm.op07_suffix_dedup import remove_repeats
 from faultweave.llm.op08_language_id import language_id
 from faultweave.llm.op09_license_scan import license_scan
 from faultweave.llm.op10_ngram_join import ngram_jaccard_join
+from faultweave.llm.op11_best_fit import best_fit
+from faultweave.llm.op12_collocations import collocations
 from faultweave.llm.shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(documents(spark, sf_dir), WORD_TOKENIZER, length=4096)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), least=100, top=2000)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -74,9 +85,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 ORACLES = {
     "op1_quality_rules": op01_quality_rules.ORACLE,
     "op10_ngram_jaccard_join": op10_ngram_join.ORACLE,
+    "op12_phrase_collocations": op12_collocations.ORACLE,
 }
