@@ -5,7 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultweave.llm import op01_quality_rules, op10_ngram_join, op12_collocations
+from faultweave.llm import (
+    op01_quality_rules,
+    op10_ngram_join,
+    op12_collocations,
+    op13_prefix_trie,
+)
 from faultweave.llm.op01_quality_rules import quality_rules
 from faultweave.llm.op02_token_counts import token_counts
 from faultweave.llm.op03_pii import pii_spans
@@ -18,6 +23,7 @@ from faultweave.llm.op09_license_scan import license_scan
 from faultweave.llm.op10_ngram_join import ngram_jaccard_join
 from faultweave.llm.op11_best_fit import best_fit
 from faultweave.llm.op12_collocations import collocations
+from faultweave.llm.op13_prefix_trie import prefix_trie
 from faultweave.llm.shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +80,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir), least=100, top=2000)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -87,10 +97,12 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES = {
     "op1_quality_rules": op01_quality_rules.ORACLE,
     "op10_ngram_jaccard_join": op10_ngram_join.ORACLE,
     "op12_phrase_collocations": op12_collocations.ORACLE,
+    "op13_conversation_trie": op13_prefix_trie.ORACLE,
 }
