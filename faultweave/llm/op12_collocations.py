@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from faultweave.llm.shared import U64, mixed, saved, signed, table
 
 #: Words in a block, about, and in the unfinished blocks that a task holds.
-BLOCK = 1 << 19
-HELD = 1 << 20
+BLOCK = 1 << 20
+HELD = 1 << 21
 #: Candidates ranked in one task, about.
 RANKED = 100_000
 LONGEST = 5
@@ -61,11 +61,10 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     found = []
     for k in range(1, LONGEST + 1):
         # Both uses read one shuffle; a phrase has no more rows than there are blocks.
-        occurring = relation.where("h is not null").select("lang", "h", "block", "c")
-        occurring = occurring.repartition("lang", "h")
-        frequent = occurring.groupBy("lang", "h").agg(F.sum("c").alias("all"))
-        frequent = frequent.where(F.col("all") >= least).select("lang", "h")
-        stays = occurring.join(frequent.hint("shuffle_hash"), ["lang", "h"], "left_semi")
+        occurring = relation.where("h is not null").select("h", "block", "c").repartition("h")
+        frequent = occurring.groupBy("h").agg(F.sum("c").alias("all"))
+        frequent = frequent.where(F.col("all") >= least).select("h")
+        stays = occurring.join(frequent.hint("shuffle_hash"), "h", "left_semi")
         stays = stays.groupBy("block").agg(F.collect_list("h").alias("stays"))
         relation = saved(_extended(relation.where("words is not null"), stays, k))
         counted = relation.where("counts is not null").select("lang", F.explode("counts").alias("o"))
@@ -78,7 +77,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
 # ---- the relations ----
 
 
-#: A row of a stored relation is a block, or the count of one phrase in one block.
+#: A row of a stored relation is a block, or the count of one phrase, named by a hash that tells
+#: languages apart, in one block.
 _PHRASES = pa.list_(pa.struct([("phrase", pa.string()), ("size", pa.int32()), ("c", pa.int64())]))
 _RELATION = pa.schema(
     [("lang", pa.string()), ("block", pa.int64()), ("n", pa.int64())]
@@ -99,11 +99,12 @@ class _Block:
 
     def __init__(self, lang: str, block: int, words: list[bytes], at: np.ndarray):
         self.lang, self.block, self.words, self.at = lang, block, words, at
-        digests = (blake2b(w, digest_size=8).digest() for w in words)
-        self.word_hash = np.frombuffer(b"".join(digests), np.uint64)
+        digests = (blake2b(w, digest_size=8).digest() for w in [lang.encode(), *words])
+        hashes = np.frombuffer(b"".join(digests), np.uint64)
+        self.lang_hash, self.word_hash = hashes[0], hashes[1:]
 
     def hashes(self, place: np.ndarray, k: int) -> np.ndarray:
-        h = np.zeros(len(place), np.uint64)
+        h = np.full(len(place), self.lang_hash)
         for j in range(k):
             h = mixed((h ^ self.word_hash[self.at[place + j]]) + U64(k))
         return h
@@ -124,8 +125,8 @@ class _Block:
         h, c = np.unique(self.hashes(place, k), return_counts=True)
         for i in range(0, len(h), ROWS):
             own = signed(h[i : i + ROWS])
-            here = {"lang": [self.lang] * len(own), "block": np.full(len(own), self.block)}
-            yield _filled(len(own), here | {"h": own, "c": c[i : i + ROWS]})
+            here = {"block": np.full(len(own), self.block), "h": own, "c": c[i : i + ROWS]}
+            yield _filled(len(own), here)
 
 
 def _filled(n: int, columns: dict) -> pa.RecordBatch:
