@@ -12,8 +12,8 @@ neighbours in number. For each length k:
 3. Merge-join: an occurrence in R(k) and the one at the next position extend each other to an
    occurrence of k + 1 words. Both lists are sorted, so this is one pass.
 
-Blocks meet in shuffles only as (phrase, block, count), not as occurrences. Phrases are counted by
-hashes, whose counts are never too low; the frequent ones are then counted as texts, which decides.
+Blocks meet in shuffles only as (phrase, block, count), not as occurrences. There a phrase is a hash
+of 64 bits; the first block that holds a frequent one gives its text.
 """
 
 from __future__ import annotations
@@ -61,81 +61,80 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     found = []
     for k in range(1, LONGEST + 1):
         # Both uses read one shuffle; a phrase has no more rows than there are blocks.
-        occurring = relation.where("h is not null").select("h", "block", "c").repartition("h")
-        frequent = occurring.groupBy("h").agg(F.sum("c").alias("all"))
-        frequent = frequent.where(F.col("all") >= least).select("h")
-        stays = occurring.join(frequent.hint("shuffle_hash"), "h", "left_semi")
-        stays = stays.groupBy("block").agg(F.collect_list("h").alias("stays"))
-        relation = saved(_extended(relation.where("words is not null"), stays, k))
-        counted = relation.where("counts is not null").select("lang", F.explode("counts").alias("o"))
-        found.append(counted.select("lang", "o.*"))
-    found = reduce(DataFrame.unionByName, found)
-    found = found.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("f"))
-    return _ranked(_scored(saved(found.where(F.col("f") >= least)), totals), top)
+        occurring = _counted(relation, k).repartition("h")
+        frequent = occurring.groupBy("h").agg(F.sum("c").alias("f"), F.min("block").alias("first"))
+        frequent = frequent.where(F.col("f") >= least)
+        stays = occurring.drop("c").join(frequent.hint("shuffle_hash"), "h")
+        stays = stays.groupBy("block").agg(
+            F.collect_list("h").alias("stays"),
+            F.collect_list(F.when(F.col("block") == F.col("first"), F.struct("h", "f"))).alias("named"),
+        )
+        relation = saved(_extended(relation, stays, k))
+        found.append(relation.select("lang", F.explode("named").alias("o")).select("lang", "o.*"))
+    found = saved(reduce(DataFrame.unionByName, found))
+    return _ranked(_scored(found, totals), top)
 
 
 # ---- the relations ----
 
 
-#: A row of a stored relation is a block, or the count of one phrase, named by a hash that tells
-#: languages apart, in one block.
-_PHRASES = pa.list_(pa.struct([("phrase", pa.string()), ("size", pa.int32()), ("c", pa.int64())]))
+_PHRASES = pa.list_(pa.struct([("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())]))
 _RELATION = pa.schema(
     [("lang", pa.string()), ("block", pa.int64()), ("n", pa.int64())]
     + [(c, pa.binary()) for c in ("words", "ids", "places")]
-    + [("counts", _PHRASES), ("h", pa.int64()), ("c", pa.int64())]
+    + [("named", _PHRASES)]
 )
 _COLUMNS = (
     "lang string, block long, n long, words binary, ids binary, places binary, "
-    "counts array<struct<phrase: string, size: int, c: long>>, h long, c long"
+    "named array<struct<phrase: string, size: int, f: long>>"
 )
-#: Rows given on at once.
-ROWS = 1 << 16
 
 
 class _Block:
     """A block of one language: its distinct words, the numbers of its words in order with -1 for
     all that is not needed any more, and the places where the phrases of k words stand that stay."""
 
-    def __init__(self, lang: str, block: int, words: list[bytes], at: np.ndarray):
-        self.lang, self.block, self.words, self.at = lang, block, words, at
-        digests = (blake2b(w, digest_size=8).digest() for w in [lang.encode(), *words])
-        hashes = np.frombuffer(b"".join(digests), np.uint64)
-        self.lang_hash, self.word_hash = hashes[0], hashes[1:]
+    def __init__(self, lang: str, words: list[bytes], at: np.ndarray, place: np.ndarray):
+        self.lang, self.words, self.at, self.place = lang, words, at, place
 
-    def hashes(self, place: np.ndarray, k: int) -> np.ndarray:
-        h = np.full(len(place), self.lang_hash)
+    def hashes(self, k: int) -> np.ndarray:
+        """Of the phrases at all places, telling languages apart."""
+        digests = (blake2b(w, digest_size=8).digest() for w in [self.lang.encode(), *self.words])
+        word = np.frombuffer(b"".join(digests), np.uint64)
+        h = np.full(len(self.place), word[0])
         for j in range(k):
-            h = mixed((h ^ self.word_hash[self.at[place + j]]) + U64(k))
+            h = mixed((h ^ word[1:][self.at[self.place + j]]) + U64(k))
         return h
 
-    def rows(self, place: np.ndarray, n: int, k: int, counts: list | None):
-        """The block itself, and its counts of the phrases of k words at place."""
-        pack = zstandard.ZstdCompressor(level=1).compress
-        block = {
-            "lang": [self.lang],
-            "block": [self.block],
-            "n": [n],
-            "words": [pack(b" ".join(self.words))],
-            "ids": [pack(self.at.tobytes())],
-            "places": [pack(np.diff(place, prepend=0).astype(np.int32).tobytes())],
-            "counts": [counts],
-        }
-        yield _filled(1, block)
-        h, c = np.unique(self.hashes(place, k), return_counts=True)
-        for i in range(0, len(h), ROWS):
-            own = signed(h[i : i + ROWS])
-            here = {"block": np.full(len(own), self.block), "h": own, "c": c[i : i + ROWS]}
-            yield _filled(len(own), here)
-
-
-def _filled(n: int, columns: dict) -> pa.RecordBatch:
-    whole = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _RELATION]
-    return table(_RELATION, *whole)
+    def row(self, block: int, n: int, named: list[dict]) -> pa.RecordBatch:
+        words, ids = _pack(b" ".join(self.words)), _packed(self.at + 1)
+        places = _packed(np.diff(self.place, prepend=0))
+        named = pa.array([named], _PHRASES)
+        return table(_RELATION, [self.lang], [block], [n], [words], [ids], [places], named)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, i: int) -> _Block:
+        lang, words, ids, places = (batch[c][i].as_py() for c in ("lang", "words", "ids", "places"))
+        words = zstandard.ZstdDecompressor().decompress(words).split(b" ")
+        return cls(lang, words, _unpacked(ids) - 1, np.cumsum(_unpacked(places), dtype=np.int64))
+
+
+def _pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, their low bytes first and their high bytes last, which pack better."""
+    return _pack(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return planes.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int32)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """The blocks, with all their places and the counts of their words."""
+    """The blocks, with the places of all their words."""
 
     def run(batches):
         next_block = TaskContext.get().partitionId() << 32
@@ -153,10 +152,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
                         ids.append(np.array([*own, -1], np.int32))
             sizes.pop(lang)
             if ids:
-                block = _Block(lang, next_block, list(number), np.concatenate(ids))
+                at = np.concatenate(ids)
+                block = _Block(lang, list(number), at, np.flatnonzero(at >= 0))
+                yield block.row(next_block, len(block.place), [])
                 next_block += 1
-                place = np.flatnonzero(block.at >= 0)
-                yield from block.rows(place, len(place), 1, None)
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
@@ -174,58 +173,60 @@ def _blocks(docs: DataFrame) -> DataFrame:
     ).mapInArrow(run, _COLUMNS)
 
 
-def _extended(blocks: DataFrame, stays: DataFrame, k: int) -> DataFrame:
-    """The blocks with the places of frequent phrases of k words only, these phrases counted as
-    text, and the counts of the phrases of k + 1 words that they extend to."""
+def _counted(relation: DataFrame, k: int) -> DataFrame:
+    """(h, block, c): how often each phrase of k words, by hash, stands in each block."""
+    schema = pa.schema([(c, pa.int64()) for c in ("h", "block", "c")])
 
     def run(batches):
-        undo = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(len(batch)):
-                words, ids, gaps = (undo(batch[c][i].as_py()) for c in ("words", "ids", "places"))
-                at = np.frombuffer(ids, np.int32)
-                lang, number = batch["lang"][i].as_py(), batch["block"][i].as_py()
-                block = _Block(lang, number, words.split(b" "), at)
-                place = np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int64)
-                h = block.hashes(place, k)
-                stay = batch["stays"][i].values.to_numpy().view(np.uint64)
-                kept = np.isin(h, stay)
-                place, h = place[kept], h[kept]
-                counts = _as_text(block, place, h, k)
-                needed = np.zeros(len(at), bool)
-                for j in range(k):
-                    needed[place + j] = True
-                left = _without(block, needed)
+            for i, block in enumerate(batch["block"].to_pylist()):
+                h, c = np.unique(_Block.of(batch, i).hashes(k), return_counts=True)
+                yield table(schema, signed(h), np.full(len(h), block), c)
+
+    columns = relation.select("lang", "block", "words", "ids", "places")
+    return columns.mapInArrow(run, "h long, block long, c long")
+
+
+def _extended(relation: DataFrame, stays: DataFrame, k: int) -> DataFrame:
+    """The blocks with the places of phrases of k + 1 words whose parts of k words are frequent;
+    and the frequent phrases of k words that the block is to name, as text with their counts."""
+
+    def run(batches):
+        for batch in batches:
+            for i, number in enumerate(batch["block"].to_pylist()):
+                block = _Block.of(batch, i)
+                h = block.hashes(k)
+                kept = np.isin(h, batch["stays"][i].values.to_numpy().view(np.uint64))
+                place = block.place[kept]
+                named = _named(block, h[kept], place, batch["named"][i].values, k)
                 # Merge-join: k words here and k words at the next place are k + 1 words.
                 here = place[:-1][np.diff(place) == 1]
-                if k == LONGEST:
-                    here = here[:0]
-                yield from left.rows(here, 0, k + 1, counts)
-
-    joined = blocks.select("lang", "block", "words", "ids", "places").join(stays, "block")
-    return joined.mapInArrow(run, _COLUMNS)
-
-
-def _as_text(block: _Block, place: np.ndarray, h: np.ndarray, k: int) -> list[dict]:
-    """How often each phrase of k words stands at place; equal words, not equal hashes, make one."""
-    grams = np.stack([block.at[place + j] for j in range(k)], axis=1)
-    grams = grams[np.lexsort([*grams.T, h])]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
-    first = np.flatnonzero(new)
-    often = np.diff([*first, len(grams)]).tolist()
+                yield _only(block, here[: None if k < LONGEST else 0], k + 1).row(number, 0, named)
+
+    columns = relation.select("lang", "block", "words", "ids", "places")
+    return columns.join(stays, "block").mapInArrow(run, _COLUMNS)
+
+
+def _named(block: _Block, h: np.ndarray, place: np.ndarray, wanted: pa.Array, k: int) -> list[dict]:
+    own, first = np.unique(h, return_index=True)
+    hashes, counts = (wanted.field(c).to_numpy() for c in ("h", "f"))
+    at = place[first[np.searchsorted(own, hashes.view(np.uint64))]]
+    grams = np.stack([block.at[at + j] for j in range(k)], axis=1).tolist()
     return [
-        {"phrase": b" ".join(block.words[w] for w in gram).decode(), "size": k, "c": c}
-        for gram, c in zip(grams[first].tolist(), often, strict=True)
+        {"phrase": b" ".join(block.words[w] for w in gram).decode(), "size": k, "f": f}
+        for gram, f in zip(grams, counts.tolist(), strict=True)
     ]
 
 
-def _without(block: _Block, needed: np.ndarray) -> _Block:
-    """The block with the needed places and their words only."""
-    at = np.where(needed, block.at, -1).astype(np.int32)
-    used, number = np.unique(at[needed], return_inverse=True)
+def _only(block: _Block, place: np.ndarray, k: int) -> _Block:
+    """The block with the k words at each place only."""
+    needed = np.zeros(len(block.at), bool)
+    for j in range(k):
+        needed[place + j] = True
+    used, number = np.unique(block.at[needed], return_inverse=True)
+    at = np.full(len(block.at), -1, np.int32)
     at[needed] = number
-    return _Block(block.lang, block.block, [block.words[w] for w in used], at)
+    return _Block(block.lang, [block.words[w] for w in used], at, place)
 
 
 # ---- scores and ranks ----
