@@ -15,13 +15,14 @@ from faultweave.operators.graph import chain_edges, stage_nodes
 from faultweave.operators.rootcause import chain_root_causes, path_text, propagation_path
 from faultweave.operators.split import random_split
 from faultweave.sources.eventlog import (
-    UNREADABLE,
+    log_files,
     parse_events,
-    scan_event_logs,
-    scan_readable_logs,
+    scan_logs,
     stage_table,
     task_table,
+    without_broken,
 )
+from faultweave.sources.logstream import UNREADABLE
 
 # Names of the output tables.
 LOG_FILES = "log_files.parquet"
@@ -70,18 +71,18 @@ def run_preprocessing(
         tables[name] = spark.read.parquet(f"{out_dir}/{name}")
         return tables[name]
 
-    readable, outcome = scan_readable_logs(spark, log_dir)
-    outcome = save(LOG_FILES, outcome)
-    if skip_unreadable:
-        lines = readable
-    else:
-        _fail_on(outcome)
-        lines = scan_event_logs(spark, log_dir)
     events_path = f"{out_dir}/{PARSED}"
-    parse_events(lines, duration_from_times).write.mode("overwrite").partitionBy("kind").parquet(
-        events_path
-    )
-    events = spark.read.parquet(events_path)
+    parse_events(scan_logs(spark, log_dir), duration_from_times).write.mode(
+        "overwrite"
+    ).partitionBy("kind").parquet(events_path)
+    events = spark.read.schema(_event_schema(spark)).parquet(events_path)
+    files = save(LOG_FILES, log_files(events.filter(F.col("kind") == "file")))
+    broken = files.filter(F.col("state") == UNREADABLE).limit(1).collect()
+    if broken and not skip_unreadable:
+        path = broken[0]["log_path"]
+        raise ValueError(f"a log breaks off: {path}; skip_unreadable leaves such logs out")
+    if broken:
+        events = without_broken(events)
     tasks = save(TASK_METRICS, task_table(events))
     stages = save(STAGE_METRICS, stage_table(events))
 
@@ -98,10 +99,9 @@ def run_preprocessing(
     return tables
 
 
-def _fail_on(outcome: DataFrame) -> None:
-    broken = outcome.filter(F.col("state") == UNREADABLE).select("log_path").limit(1).collect()
-    if broken:
-        raise ValueError(f"a log breaks off: {broken[0][0]}; skip_unreadable leaves such logs out")
+def _event_schema(spark: SparkSession):
+    columns = "file string, app_id string, label int, value string, state string"
+    return parse_events(spark.createDataFrame([], columns)).schema
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,23 +1,29 @@
 """Event logs: newline-delimited JSON to task and stage tables.
 
-One text scan covers all class folders, so the plan does not grow with the
-number of files, and plain, `.zstd`, `.zst` and `.gz` files decode in the tasks.
-Spark's own `.lz4` logs have a framing that no Hadoop codec reads; they are left
-out of the scan and reported.
+One scan covers all class folders, so the plan does not grow with the number of
+files. Plain files are split among tasks; `.zstd`, `.zst`, `.gz` and Spark's own
+`.lz4` files are decoded in the tasks as streams. Each file is read once and
+gives its lines and its state.
 """
 
 from __future__ import annotations
 
-import io
 import re
-import zlib
+from collections.abc import Callable
+from typing import BinaryIO
 
-import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.functions.labels import FOLDER_LABELS
+from faultweave.sources.logstream import (
+    DECODERS,
+    NOT_SUPPORTED,
+    READ,
+    UNREADABLE,
+    open_file,
+    stream_files,
+)
 from faultweave.sources.schemas import STAGE_METRICS, TASK_METRICS, columns
 
 # The two event kinds that are read, and the success marker.
@@ -51,7 +57,7 @@ _STAGE_FIELDS = """
 _BAD = "_unparsed"
 
 _APP_DIR = "eventlog_v2_"
-_COMPRESSION_SUFFIX = r"\.(zstd|zst|lz4|gz)"
+_COMPRESSION_SUFFIX = r"\.(zstd|zst|lz4|gz|lzf|snappy)"
 # A log file directly inside a class folder, or a rolled part in its own folder.
 _LOG_PATH = rf"([^/]+)/(?:application_[^/]*|{_APP_DIR}[^/]+/events_[^/]*)$"
 
@@ -93,12 +99,8 @@ def with_path_labels(df: DataFrame, path_col: str) -> DataFrame:
 # ---------------------------------------------------------------- scan
 
 
-#: Name ends of files that Spark writes but cannot read as text, and of those it decodes.
-UNSUPPORTED = ".lz4"
-DECODED = (".gz", ".zstd", ".zst")
-
-# States of log files.
-READ, UNREADABLE, NOT_SUPPORTED = "read", "unreadable", "not supported"
+#: Name ends of files that Spark writes and that are not read.
+UNSUPPORTED = (".lzf", ".snappy")
 
 
 def _log_glob(base_dir: str) -> str:
@@ -107,103 +109,62 @@ def _log_glob(base_dir: str) -> str:
     return f"{base_dir.rstrip('/')}/{{{folders}}}/{{application_*,{_APP_DIR}*/events_*}}"
 
 
-def _supported(path: Column) -> Column:
-    return ~path.endswith(UNSUPPORTED)
+def _ends(path: Column, ends: tuple[str, ...]) -> Column:
+    return path.rlike("({})$".format("|".join(map(re.escape, ends))))
+
 
+def scan_logs(
+    spark: SparkSession,
+    base_dir: str,
+    fail: bool = False,
+    opener: Callable[[str], BinaryIO] = open_file,
+) -> DataFrame:
+    """(file, app_id, label, value, state) of every log in `base_dir/<class folder>/`.
 
-def _labelled_lines(spark: SparkSession, base_dir: str, whole: bool) -> DataFrame:
-    """(file, app_id, label, value); the filter on the path leaves whole files unopened.
+    Each line is a row with its value; each file has one more row with its state:
+    read, unreadable (it breaks off; its lines up to there are given all the same)
+    or not supported. With `fail` a file that breaks off ends the job. Missing class
+    folders are simply absent, and folders further down are not searched.
 
-    A file that breaks off fails the job if `whole`, else ends there.
+    Files are listed without their content, dealt to tasks by size, and compressed ones
+    read there once through `opener`, which opens a path as Spark names it.
     """
+    where = _log_glob(base_dir)
     file = F.col("_metadata.file_path")
-    reader = spark.read.option("ignoreCorruptFiles", not whole)
-    lines = reader.text(_log_glob(base_dir)).filter(_supported(file))
-    named = lines.select(file.alias("file"), plain_path(file).alias("log_path"), "value")
-    return with_path_labels(named, "log_path").select("file", "app_id", "label", "value")
+    listed = spark.read.format("binaryFile").load(where).select(file.alias("file"))
+    streamed = _ends(F.col("file"), tuple(DECODERS))
+    packed = listed.filter(streamed).mapInArrow(
+        stream_files(opener, fail), "file string, value string, state string"
+    )
+    skipped = _ends(F.col("file"), UNSUPPORTED)
+    states = listed.filter(~streamed).select(
+        "file",
+        F.lit(None).cast("string").alias("value"),
+        F.when(skipped, NOT_SUPPORTED).otherwise(READ).alias("state"),
+    )
+    plain = spark.read.text(where).filter(~_ends(file, (*DECODERS, *UNSUPPORTED)))
+    plain = plain.select(file.alias("file"), "value", F.lit(None).cast("string").alias("state"))
+    rows = plain.unionByName(packed).unionByName(states)
+    named = with_path_labels(rows.withColumn("log_path", plain_path(F.col("file"))), "log_path")
+    return named.select("file", "app_id", "label", "value", "state")
 
 
 def scan_event_logs(spark: SparkSession, base_dir: str) -> DataFrame:
-    """Lines of every log in `base_dir/<class folder>/` as (app_id, label, value).
-
-    Missing class folders are simply absent, and folders further down are not
-    searched. A file that cannot be decoded to its end fails the job.
-    """
-    return _labelled_lines(spark, base_dir, whole=True).drop("file")
-
+    """Lines of every log as (app_id, label, value). A file that breaks off fails the job."""
+    rows = scan_logs(spark, base_dir, fail=True)
+    return rows.filter("state IS NULL").select("app_id", "label", "value")
 
-def scan_readable_logs(spark: SparkSession, base_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The lines of all logs that can be read to their end, and the outcome by file.
 
-    The outcome is (log_path, app_id, label, state): read, unreadable or not
-    supported. An unreadable log is left out whole. Compressed files are read twice:
-    they are decoded once before, each as a stream in its task, to find those that
-    break off.
-    """
-    outcome = _outcome(spark, base_dir)
-    broken = outcome.filter(F.col("state") == UNREADABLE).select("file")
-    lines = _labelled_lines(spark, base_dir, whole=False).join(broken, "file", "left_anti")
-    return lines.drop("file"), outcome.drop("file")
-
-
-def _outcome(spark: SparkSession, base_dir: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(_log_glob(base_dir))
-    file = F.col("_metadata.file_path")
-    compressed = file.endswith(DECODED[0])
-    for end in DECODED[1:]:
-        compressed = compressed | file.endswith(end)
-    checked = (
-        files.filter(compressed)
-        .select(file.alias("file"), "content")
-        .mapInArrow(_decodable, "file string, state string")
-    )
-    state = F.when(_supported(file), READ).otherwise(NOT_SUPPORTED)
-    others = files.filter(~compressed).select(file.alias("file"), state.alias("state"))
-    named = checked.unionByName(others).withColumn("log_path", plain_path(F.col("file")))
-    return with_path_labels(named, "log_path").select(
-        "file", "log_path", "app_id", "label", "state"
-    )
+def log_files(rows: DataFrame) -> DataFrame:
+    """(log_path, app_id, label, state) of the files of a scan, or of events parsed from it."""
+    path = plain_path(F.col("file")).alias("log_path")
+    return rows.filter("state IS NOT NULL").select(path, "app_id", "label", "state")
 
 
-def _decodable(batches):
-    """(file, state) of compressed files, decoded in pieces that are not kept."""
-    for batch in batches:
-        states = [
-            READ if _ends_well(file, content.as_buffer()) else UNREADABLE
-            for file, content in zip(batch["file"].to_pylist(), batch["content"], strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([batch["file"], pa.array(states)], ["file", "state"])
-
-
-def _ends_well(file: str, content: pa.Buffer) -> bool:
-    source = io.BytesIO(content)
-    try:
-        if file.endswith(".gz"):
-            return _gzip_ends_well(source)
-        frame = zstandard.ZstdDecompressor().decompressobj(read_across_frames=False)
-        fed = False
-        while piece := source.read(1 << 20):
-            fed = True
-            frame.decompress(piece)
-            while frame.eof and frame.unused_data:
-                rest = frame.unused_data
-                frame = zstandard.ZstdDecompressor().decompressobj(read_across_frames=False)
-                frame.decompress(rest)
-        return not fed or frame.eof
-    except (zlib.error, zstandard.ZstdError):
-        return False
-
-
-def _gzip_ends_well(source: io.BytesIO) -> bool:
-    member, fed = zlib.decompressobj(31), False
-    while piece := source.read(1 << 20):
-        while piece:
-            if member.eof:
-                member = zlib.decompressobj(31)
-            fed = True
-            member.decompress(piece)
-            piece = member.unused_data
-    return not fed or member.eof
+def without_broken(rows: DataFrame) -> DataFrame:
+    """The rows of all files but those that break off, which are left out whole."""
+    broken = rows.filter(F.col("state") == UNREADABLE).select("file")
+    return rows.join(broken, "file", "left_anti")
 
 
 def read_event_log(spark: SparkSession, path: str, label: int) -> DataFrame:
@@ -222,7 +183,8 @@ def read_event_log(spark: SparkSession, path: str, label: int) -> DataFrame:
 
 
 def _decode(lines: DataFrame, events: tuple[str, ...], fields: str) -> DataFrame:
-    """Parse the lines of the given events; drop lines that are not JSON.
+    """Parse the lines of the given events; drop lines that are not JSON. Rows that give the
+    state of a file instead of a line stay as they are.
 
     `inline` stands between the parse and the filters below it: a filter on a
     plain parsed column would be pushed under the projection and parse each
@@ -231,7 +193,8 @@ def _decode(lines: DataFrame, events: tuple[str, ...], fields: str) -> DataFrame
     again, with doubles, to tell broken JSON from odd values.
     """
     schema = f"`Event` STRING, {fields}, `{_BAD}` STRING"
-    mentioned = F.lit(False)
+    is_state = F.col("state").isNotNull() if "state" in lines.columns else F.lit(False)
+    mentioned = is_state
     for event in events:
         mentioned = mentioned | F.col("value").contains(event)
     parsed = lines.filter(mentioned).select(
@@ -241,7 +204,7 @@ def _decode(lines: DataFrame, events: tuple[str, ...], fields: str) -> DataFrame
     odd = F.col(_BAD).isNotNull()
     wide = re.sub(r"\b(BIGINT|INT)\b", "DOUBLE", fields)
     return (
-        parsed.filter(F.col("Event").isin(*events))
+        parsed.filter(F.col("Event").isin(*events) | is_state)
         .filter(F.when(odd, F.try_parse_json("value").isNotNull()).otherwise(True))
         .withColumn("wide", F.when(odd, F.from_json("value", wide)))
     )
@@ -326,18 +289,22 @@ def parse_events(lines: DataFrame, duration_from_times: bool = False) -> DataFra
     """Both kinds from one pass: `kind` plus the structs `task` and `stage`.
 
     Written partitioned by `kind`, so that the raw logs are read once and each
-    table later reads only its own part.
+    table later reads only its own part. Rows of `scan_logs` keep their file, and those
+    with the state of a file are of the kind `file`.
     """
     decoded = _decode(lines, (TASK_END, STAGE_COMPLETED), f"{_TASK_FIELDS}, {_STAGE_FIELDS}")
     is_task = F.col("Event") == TASK_END
     task = F.struct(*[c.alias(n) for n, c in _task_columns(duration_from_times).items()])
     stage = F.struct(*[c.alias(n) for n, c in _stage_columns().items()])
+    kept = [c for c in ("file", "state") if c in lines.columns]
+    kind = F.when(is_task, "task").when(F.col("Event") == STAGE_COMPLETED, "stage")
     return decoded.select(
         "app_id",
         "label",
-        F.when(is_task, "task").otherwise("stage").alias("kind"),
-        F.when(is_task, task).alias("task"),
-        F.when(~is_task, stage).alias("stage"),
+        *kept,
+        kind.otherwise("file").alias("kind"),
+        F.when(kind == "task", task).alias("task"),
+        F.when(kind == "stage", stage).alias("stage"),
     )
 
 
