@@ -1,10 +1,12 @@
 """Stage graphs with true parent ids: reachability, shape and root cause.
 
-A stage may have many parents, so no closed form exists. All applications are
-walked together by doubling: the pairs at 2**k steps, joined with themselves, are
-the pairs at 2**(k + 1) steps, and any number of steps is a sum of such powers. So
-the rounds grow with the logarithm of the depth. Each round is kept once computed;
-the loops run jobs, as they must know when no longer step exists.
+A stage may have many parents, so no closed form exists. All applications are walked together.
+Each stage has one main arc, to the neighbour nearest in id, which follows the long chains that
+such graphs are made of. Jumps of 1, 2, 4, ... steps along main arcs are one row a stage, so a
+front runs down a whole chain in rounds by the logarithm of its length; then it takes one step
+along all arcs. The rounds grow with the times that a walk must leave main arcs, and no step makes
+pairs of stages beyond the answer. Each round is kept once computed; the loops run jobs, as they
+must know when nothing new is found.
 """
 
 from __future__ import annotations
@@ -32,17 +34,21 @@ def lineage_edges(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _jumps(arcs: DataFrame, most: int) -> list[DataFrame]:
-    """Arcs of 1, 2, 4, ... steps: (app_id, source, target), until none is left or a walk of
-    `most` steps can be made of them. Runs jobs."""
-    jumps = [cut_lineage(arcs.select("app_id", "source", "target").distinct())]
+def _main(arcs: DataFrame) -> DataFrame:
+    """One arc of each source: to the target nearest in id, of two the smaller."""
+    near = F.struct(F.abs(F.col("target") - F.col("source")), "target")
+    return arcs.groupBy("app_id", "source").agg(F.min_by("target", near).alias("target"))
+
+
+def _jumps(main: DataFrame, most: int) -> list[DataFrame]:
+    """The targets at 1, 2, 4, ... steps of main arcs: (app_id, source, target), until none is left
+    or all of them together make `most` steps. Runs jobs."""
+    jumps = [cut_lineage(main.select("app_id", "source", "target"))]
     while 2 ** len(jumps) <= most:
         half = jumps[-1]
         onward = half.selectExpr("app_id", "source AS target", "target AS next")
-        double = half.join(onward, ["app_id", "target"]).selectExpr(
-            "app_id", "source", "next AS target"
-        )
-        double = cut_lineage(double.distinct())
+        double = half.join(onward, ["app_id", "target"])
+        double = cut_lineage(double.selectExpr("app_id", "source", "next AS target"))
         if double.isEmpty():
             break
         jumps.append(double)
@@ -59,26 +65,39 @@ def reach(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything reachable from the seeds, the seeds included. Runs jobs.
 
     `arcs` is (app_id, source, target); `seeds` is (app_id, seed, stage_id), where
-    `seed` keeps walks of one application apart. Longest jumps are taken first:
-    after the jumps of 2**k steps all walks of any sum of such powers are found.
+    `seed` keeps walks of one application apart. Applications without seeds take no part.
+    What a round finds is closed under main arcs, so the next starts from new stages alone.
     """
     keys = ["app_id", "seed", "stage_id"]
-    found = seeds.select(*keys).distinct()
-    for jump in reversed(_jumps(arcs, _most_stages(arcs))):
-        onward = jump.selectExpr("app_id", "source AS stage_id", "target")
-        step = found.join(onward, ["app_id", "stage_id"]).selectExpr(
-            "app_id", "seed", "target AS stage_id"
-        )
-        found = cut_lineage(found.unionByName(step).distinct())
+    seeds = cut_lineage(seeds.select(*keys).distinct())
+    arcs = cut_lineage(arcs.join(seeds.select("app_id"), "app_id", "left_semi"))
+    jumps = _jumps(_main(arcs), _most_stages(arcs))
+    found, new = None, seeds
+    while found is None or not new.isEmpty():
+        for jump in jumps:
+            new = _along(jump, new, stay=True).distinct()
+        if found is not None:
+            new = new.join(found, keys, "left_anti")
+        new = cut_lineage(new)
+        found = new if found is None else cut_lineage(found.unionByName(new))
+        new = cut_lineage(_along(arcs, new).distinct().join(found, keys, "left_anti"))
     return found
 
 
+def _along(arcs: DataFrame, walks: DataFrame, stay: bool = False) -> DataFrame:
+    """The ends of the walks after one arc more; with `stay` also where they were."""
+    onward = arcs.selectExpr("app_id", "source AS stage_id", "target")
+    moved = walks.join(onward, ["app_id", "stage_id"], "left" if stay else "inner")
+    ends = "explode(array(stage_id, coalesce(target, stage_id)))" if stay else "target"
+    return moved.selectExpr("app_id", "seed", f"{ends} AS stage_id")
+
+
 def _walk(edges: DataFrame, seeds: DataFrame, source: str, target: str, found: str) -> DataFrame:
     arcs = edges.select("app_id", F.col(source).alias("source"), F.col(target).alias("target"))
     first = seeds.select(
         "app_id", F.col("seed_stage_id").alias("seed"), F.col("seed_stage_id").alias("stage_id")
     )
-    away = reach(cut_lineage(arcs), first).filter(F.col("stage_id") != F.col("seed"))
+    away = reach(arcs, first).filter(F.col("stage_id") != F.col("seed"))
     return away.select(
         "app_id", F.col("seed").alias("seed_stage_id"), F.col("stage_id").alias(found)
     )
@@ -97,8 +116,7 @@ def lineage_descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def lineage_shape(nodes: DataFrame) -> DataFrame:
     """Per application: stages, roots, leaves, depth, acyclicity. Runs jobs.
 
-    `depth` counts the stages of the longest walk, found by trying the longest
-    jumps first from wherever the walk has come. It is NULL for a cyclic graph,
+    `depth` counts the stages of the longest walk. It is NULL for a cyclic graph,
     where walks have more steps than there are stages to leave.
     """
     keys = ["app_id", "stage_id"]
@@ -108,30 +126,16 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
     parents = edges.select("app_id", F.col("parent_stage_id").alias("stage_id")).distinct()
     roots = stages.select(*keys).join(children, keys, "left_anti")
     leaves = stages.select(*keys).join(parents, keys, "left_anti")
-
-    arcs = edges.selectExpr("app_id", "parent_stage_id AS source", "child_stage_id AS target")
-    jumps = _jumps(arcs, _most_stages(arcs))
-    here, steps = stages.select(*keys), []
-    for k in reversed(range(len(jumps))):
-        onward = jumps[k].selectExpr("app_id", "source AS stage_id", "target")
-        moved = here.join(onward, keys).selectExpr("app_id", "target AS stage_id").distinct()
-        moved = cut_lineage(moved)
-        apps = moved.select("app_id").distinct()
-        steps.append(apps.withColumn("steps", F.lit(2**k)))
-        here = cut_lineage(moved.unionByName(here.join(apps, "app_id", "left_anti")))
-    walks = reduce(DataFrame.unionByName, steps).groupBy("app_id").agg(F.sum("steps").alias("steps"))
-
-    # Each step of an acyclic walk leaves another source; on a cycle the jumps together have more
-    # steps than any application has sources.
-    sources = arcs.groupBy("app_id").agg(F.count_distinct("source").alias("sources"))
+    walks = _longest_walks(
+        edges.selectExpr("app_id", "child_stage_id AS source", "parent_stage_id AS target")
+    )
     walked = F.coalesce("steps", F.lit(0))
-    acyclic = walked <= F.coalesce("sources", F.lit(0))
+    acyclic = F.coalesce("is_acyclic", F.lit(True))
     return (
         _per_app(stages, "total_stages")
         .join(_per_app(roots, "root_stages"), "app_id", "left")
         .join(_per_app(leaves, "leaf_stages"), "app_id", "left")
         .join(walks, "app_id", "left")
-        .join(sources, "app_id", "left")
         .select(
             "app_id",
             "total_stages",
@@ -143,6 +147,53 @@ def lineage_shape(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _longest_walks(arcs: DataFrame) -> DataFrame:
+    """(app_id, steps, is_acyclic) of the applications with arcs. Runs jobs.
+
+    Each stage keeps the steps of the longest walk found from it: max-plus sums along the jumps
+    of its main arc, then one step along all arcs. Where that step finds a longer walk, its arc
+    becomes the main arc, and the applications concerned go another round. A cycle comes into
+    main arcs as soon as walks grow around it, and the jumps then exceed the number of sources,
+    which no acyclic walk does.
+    """
+    keys = ["app_id", "stage_id"]
+    arcs = cut_lineage(arcs)
+    sources = arcs.groupBy("app_id").agg(F.count_distinct("source").alias("sources"))
+    limits = cut_lineage(sources)
+    most = (limits.agg(F.max("sources")).first()[0] or 0) + 1
+    ends = arcs.selectExpr("app_id", "source AS stage_id").union(arcs.select("app_id", "target"))
+    best = cut_lineage(ends.distinct().withColumn("steps", F.lit(0).cast("long")))
+    main, done = _main(arcs), []
+    while True:
+        for k, jump in enumerate(_jumps(main, most)):
+            ahead = best.selectExpr("app_id", "stage_id AS target", "steps AS far")
+            longer = jump.join(ahead, ["app_id", "target"]).selectExpr(
+                "app_id", "source AS stage_id", f"far + {2**k} AS steps"
+            )
+            best = cut_lineage(best.unionByName(longer).groupBy(*keys).agg(F.max("steps").alias("steps")))
+        ahead = best.selectExpr("app_id", "stage_id AS target", "steps AS far")
+        near = F.struct("far", -F.abs(F.col("target") - F.col("source")), "target")
+        offer = arcs.join(ahead, ["app_id", "target"]).groupBy("app_id", "source")
+        offer = offer.agg(F.max("far").alias("far"), F.max_by("target", near).alias("target"))
+        offer = offer.withColumnRenamed("source", "stage_id").join(best, keys)
+        offer = cut_lineage(offer.withColumn("grows", F.col("far") >= F.col("steps")))
+        apps = best.groupBy("app_id").agg(F.max("steps").alias("steps")).join(limits, "app_id")
+        grows = offer.filter("grows").select("app_id").distinct().withColumn("grows", F.lit(True))
+        apps = apps.join(grows, "app_id", "left").select(
+            "app_id", "steps", (F.col("steps") <= F.col("sources")).alias("is_acyclic"), "grows"
+        )
+        apps = cut_lineage(apps)
+        done.append(apps.filter("grows IS NULL OR NOT is_acyclic").drop("grows"))
+        left = apps.filter("grows AND is_acyclic").select("app_id")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        arcs = cut_lineage(arcs.join(left, "app_id", "left_semi"))
+        best = best.join(left, "app_id", "left_semi")
+        main = offer.join(left, "app_id", "left_semi").selectExpr(
+            "app_id", "stage_id AS source", "target"
+        )
+
+
 def _per_app(stages: DataFrame, name: str) -> DataFrame:
     return stages.groupBy("app_id").agg(F.count("*").alias(name))
 
@@ -247,7 +298,7 @@ def lineage_root_causes(
     starts = per_app.select(
         "app_id", F.lit(0).alias("seed"), F.coalesce("terminal", "leaf").alias("stage_id")
     )
-    walked = reach(cut_lineage(arcs), starts).drop("seed").join(stages, ["app_id", "stage_id"])
+    walked = reach(arcs, starts).drop("seed").join(stages, ["app_id", "stage_id"])
 
     ends = F.col("failed") & ~F.col("any_cause_above")
     walk = walked.groupBy("app_id").agg(

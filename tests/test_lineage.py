@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultweave.operators import graph, lineage, rootcause
 
@@ -186,3 +187,82 @@ def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
     seeds = spark.createDataFrame([("deep", 1023)], "app_id string, seed_stage_id int")
     edges = lineage.lineage_edges(chain_nodes(spark, 1024))
     assert lineage.lineage_ancestors(edges, seeds).count() == 1023
+
+
+def wide_nodes(spark, stages):
+    """One application whose stages have the parents o - 1 and o / 2."""
+    parents = "array_distinct(array(int(id - 1), int(id div 2)))"
+    rows = chain_nodes(spark, stages).drop("parent_ids")
+    return rows.withColumn("id", F.col("stage_id")).selectExpr(
+        "* EXCEPT (id)", f"if(id = 0, array(), {parents}) AS parent_ids"
+    )
+
+
+def test_many_parents_make_no_pairs_beyond_the_answer(spark, monkeypatch):
+    sizes, n = [], 3000
+    cut = lineage.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "cut_lineage", counted)
+    nodes = wide_nodes(spark, n)
+    edges = lineage.lineage_edges(nodes)
+    seeds = spark.createDataFrame([("deep", n - 1)], "app_id string, seed_stage_id int")
+    assert lineage.lineage_ancestors(edges, seeds).count() == n - 1
+    assert max(sizes) <= 2 * n and len(sizes) <= 20
+    sizes.clear()
+    seeds = spark.createDataFrame([("deep", 0)], "app_id string, seed_stage_id int")
+    assert lineage.lineage_descendants(edges, seeds).count() == n - 1
+    assert max(sizes) <= 2 * n and len(sizes) <= 20
+    sizes.clear()
+    shape = lineage.lineage_shape(nodes).first()
+    assert (shape.depth, shape.is_acyclic) == (n, True)
+    assert max(sizes) <= 2 * n and len(sizes) <= 40
+    sizes.clear()
+    causes, path = lineage.lineage_root_causes(nodes)
+    assert causes.first()["root_cause_stage_id"] == 0 and path.count() == n
+    assert max(sizes) <= 2 * n
+
+
+def test_shape_and_reach_of_random_digraphs(spark):
+    """Arcs in any direction, cycles among them."""
+    rng = random.Random(4)
+    rows, graphs = [], {}
+    for g in range(60):
+        n = rng.randint(1, 14)
+        few = rng.random() < 0.5
+        up = {
+            i: sorted({rng.randrange(n) for _ in range(rng.choice([0, 0, 1] if few else [0, 1, 3]))})
+            for i in range(n)
+        }
+        graphs[f"d{g}"] = up
+        rows += [(f"d{g}", i, 0, 0, "s", "FAILED", "OOM", p) for i, p in up.items()]
+    nodes = graph.stage_nodes(spark.createDataFrame(rows, SCHEMA))
+    shape = {r.app_id: (r.is_acyclic, r.depth) for r in lineage.lineage_shape(nodes).collect()}
+    cyclic = 0
+    for app, up in graphs.items():
+        if any(i in closure(i, up) for i in up):
+            want, cyclic = (False, None), cyclic + 1
+        else:
+            depth = {}
+
+            def walk(i, up=up, depth=depth):
+                if i not in depth:
+                    depth[i] = 1 + max(map(walk, up[i]), default=0)
+                return depth[i]
+
+            want = True, max(map(walk, up))
+        assert shape[app] == want, app
+    assert 5 < cyclic < 55
+    seeds = spark.createDataFrame(
+        [(app, i) for app, up in graphs.items() for i in list(up)[:3]],
+        "app_id string, seed_stage_id int",
+    )
+    got = lineage.lineage_ancestors(lineage.lineage_edges(nodes), seeds).collect()
+    want = {
+        (app, i, j) for app, up in graphs.items() for i in list(up)[:3] for j in closure(i, up) if j != i
+    }
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
