@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultweave.operators.evaluation import eval_metrics
@@ -96,13 +96,14 @@ def scaled_features(features: DataFrame) -> DataFrame:
 
 
 def cross_validate(features: DataFrame, folds: int = FOLDS) -> float:
-    """Mean F1 of the random forest over k folds of all rows. Runs jobs."""
+    """Mean F1 of the random forest over k folds of all rows. Runs jobs, all folds side by side."""
     validator = CrossValidator(
         estimator=Pipeline(stages=[assembler(), scaler(), classifiers()[RANDOM_FOREST]]),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=MulticlassClassificationEvaluator(metricName="f1"),
         numFolds=folds,
         seed=SEED,
+        parallelism=folds,
     )
     return validator.fit(features).avgMetrics[0]
 
@@ -115,6 +116,39 @@ def feature_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
+def slope(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """(class, steepest) of a fitted logistic regression: the largest slope of its penalised loss
+    over the rows, by the weights and the intercept of each class. One aggregate; 0 at the optimum.
+    """
+    fitted = model.stages[-1]
+    weights = fitted.coefficientMatrix.toArray()
+    classes, width = weights.shape
+    scored = model.transform(rows).select(
+        "label", vector_to_array("features").alias("x"), vector_to_array("probability").alias("p")
+    )
+    cells = []
+    for k in range(classes):
+        off = F.col("p")[k] - (F.col("label") == k).cast("double")
+        penalty = REGULARISATION * weights[k]
+        slopes = [F.avg(off * F.col("x")[j]) + float(penalty[j]) for j in range(width)]
+        steepest = F.greatest(*map(F.abs, slopes), F.abs(F.avg(off)))
+        cells.append(F.struct(F.lit(k).alias("class"), steepest.alias("steepest")))
+    return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def saved_and_loaded(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as it comes back from `path`. Writes."""
+    save_model(model, path)
+    return load_model(path)
+
+
+def parameters(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """(parameter, value) of the settings that the last stage was given."""
+    last = model.stages[-1]
+    given = [(p.name, str(last.getOrDefault(p))) for p in last.params if last.isSet(p)]
+    return spark.createDataFrame(given, "parameter string, value string")
+
+
 def compare(metrics: dict[str, DataFrame]) -> DataFrame:
     """One row per model and measure set; `is_best` marks the highest F1, first on ties."""
     rows = None

@@ -19,6 +19,7 @@ from faultweave.operators.models import (
     save_model,
     score,
 )
+from faultweave.operators.sizing import cut_lineage
 from faultweave.operators.split import random_split
 
 
@@ -32,17 +33,21 @@ class Comparison(NamedTuple):
 def train_and_compare(features: DataFrame) -> Comparison:
     """Train the three classifiers on 80% and measure them on the rest. Runs jobs.
 
-    The split repeats on features that read the same again, as a stored table does.
+    The split is drawn once: both sides are cut from their lineage before a model sees them, and
+    the measures, one row a model, are taken before the training rows are released.
     """
-    train, test = random_split(fill_features(features))
-    train, test = train.cache(), test.cache()
+    train, test = map(cut_lineage, random_split(fill_features(features)))
     models = {name: fit(train, classifier) for name, classifier in classifiers().items()}
-    metrics = {name: measure(model, test) for name, model in models.items()}
+    metrics = {name: _taken(measure(model, test)) for name, model in models.items()}
     train.unpersist()
-    test.unpersist()
     return Comparison(models, metrics, compare(metrics), test)
 
 
+def _taken(row: DataFrame) -> DataFrame:
+    """A table of one row, computed now."""
+    return row.sparkSession.createDataFrame(row.collect(), row.schema)
+
+
 def save_results(
     comparison: Comparison, model_path: str, predictions_path: str, name: str = RANDOM_FOREST
 ) -> None:

@@ -753,3 +753,30 @@ ORACLES["ml_importance_total"] = f"""WITH {_FEATURES}
 SELECT count(DISTINCT name) AS features, count(DISTINCT name) / 25.0::DOUBLE AS importance
 FROM (SELECT unnest([{", ".join(f"'{c}'" for c in _FEATURE_NAMES)}]) AS name
       FROM (SELECT * FROM features LIMIT 1))"""
+
+# What the audits of the fitted models must give: counts and impurity of the training rows, nothing
+# that differs, and the settings as they were given.
+_TRAIN = f"""train AS (
+    SELECT label FROM ({ORACLES["stratified_split"]}) WHERE is_train
+)"""
+
+ORACLES["ml_tree_audit"] = f"""WITH {_TRAIN},
+classes AS (SELECT count(*) AS n, sum(count(*)) OVER () AS total FROM train GROUP BY label)
+SELECT sum(n)::BIGINT AS root_rows, sum(n)::BIGINT AS leaf_rows,
+       {_round("-sum(n / total * log2(n / total))", "root_impurity")},
+       0::BIGINT AS wrong_nodes, 1::BIGINT AS leaves_beyond_splits
+FROM classes"""
+
+ORACLES["ml_importance_of_nodes"] = f"""SELECT unnest([
+    {", ".join(f"'{c}'" for c in _FEATURE_NAMES)}]) AS feature, true AS agrees"""
+
+ORACLES["ml_logistic_slope"] = f"""WITH {_TRAIN}
+SELECT label, count(*) AS rows, true AS flat FROM train GROUP BY label"""
+
+ORACLES["ml_saved_parameters"] = """
+SELECT * FROM (VALUES
+    ('Decision Tree', 'maxDepth', '5'), ('Decision Tree', 'maxBins', '32'),
+    ('Decision Tree', 'impurity', 'entropy'), ('Decision Tree', 'seed', '42'),
+    ('Logistic Regression', 'maxIter', '100'), ('Logistic Regression', 'family', 'multinomial'),
+    ('Logistic Regression', 'elasticNetParam', '0.0'), ('Logistic Regression', 'regParam', '0.01')
+) AS settings (model, parameter, value)"""

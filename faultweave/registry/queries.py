@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from faultweave.functions import scalars
 from faultweave.functions.labels import scenario_name, scenarios_by_label, scenarios_by_name
-from faultweave.operators import evaluation, features, graph, lineage, models, rootcause, split
+from faultweave.operators import (
+    evaluation,
+    features,
+    graph,
+    lineage,
+    models,
+    rootcause,
+    sizing,
+    split,
+    trees,
+)
 from faultweave.plans import workload
 from faultweave.registry import adapters
 from faultweave.sources import eventlog, lake, manifest
@@ -585,7 +595,7 @@ def scaled_features(spark, sf_dir):
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = models.fill_features(split.stratified_split(_features(spark, sf_dir))).cache()
+    rows = sizing.cut_lineage(models.fill_features(split.stratified_split(_features(spark, sf_dir))))
     kept = F.col("is_train")
     return rows.filter(kept).drop("is_train"), rows.filter(~kept).drop("is_train")
 
@@ -660,9 +670,75 @@ def ml_cross_validation(spark, sf_dir):
 
 @query
 def ml_holdout_report(spark, sf_dir):
-    """Train on all training rows; half of the others are the test, half the unseen set."""
-    train, others = _split_features(spark, sf_dir)
-    unseen = F.pmod(F.xxhash64("app_id"), F.lit(2)) == 0
+    """A tenth of the applications is held out before the split; the forest, fitted on the training
+    rows and measured on the test rows, is saved, loaded and measured on what neither has seen."""
+    rows = models.fill_features(_features(spark, sf_dir))
+    unseen = F.pmod(F.crc32(F.col("app_id").cast("binary")), F.lit(10)) == 0
+    known = sizing.cut_lineage(split.stratified_split(rows.filter(~unseen)))
+    train, test = known.filter("is_train"), known.filter("NOT is_train")
     model = models.fit(train, models.classifiers()[models.RANDOM_FOREST])
-    sides = (models.measure(model, others.filter(side)) for side in (~unseen, unseen))
-    return models.holdout_report(*sides)
+    loaded = models.saved_and_loaded(model, sizing.shared_folder(spark))
+    return models.holdout_report(
+        models.measure(model, test), models.measure(loaded, rows.filter(unseen))
+    )
+
+
+def _saved(spark: SparkSession, train: DataFrame, name: str):
+    """A model of the name that was fitted, saved and loaded, and where it lies."""
+    path = sizing.shared_folder(spark)
+    model = models.fit(train, models.classifiers()[name])
+    return models.saved_and_loaded(model, path), path
+
+
+@query
+def ml_tree_audit(spark, sf_dir):
+    """The saved decision tree, its training rows routed through its nodes again: rows at the root
+    and at all leaves, impurity of the root, and nodes whose count, impurity or gain differs."""
+    train, _ = _split_features(spark, sf_dir)
+    model, path = _saved(spark, train, models.DECISION_TREE)
+    rows = model.transform(train).select("label", vector_to_array("features").alias("scaled"))
+    nodes = trees.saved_nodes(spark, model, path)
+    told = trees.audit(rows, nodes, models.TREE_DEPTH)
+    far = F.abs(F.col("impurity") - F.col("fitted_impurity")) > 1e-9
+    off = F.abs(F.col("gain") - F.col("fitted_gain")) > 1e-9
+    wrong = (F.col("rows") != F.col("fitted_rows")) | far | F.coalesce(off, F.lit(False))
+    return told.agg(
+        F.max(F.when(F.col("id") == 0, F.col("rows"))).alias("root_rows"),
+        F.sum(F.when(F.col("is_leaf"), F.col("rows"))).alias("leaf_rows"),
+        rounded(F.max(F.when(F.col("id") == 0, F.col("impurity")))).alias("root_impurity"),
+        F.count_if(wrong).alias("wrong_nodes"),
+        (F.count_if("is_leaf") - F.count_if(~F.col("is_leaf"))).alias("leaves_beyond_splits"),
+    )
+
+
+@query
+def ml_importance_of_nodes(spark, sf_dir):
+    """Each feature, and whether the sum over the saved forest's nodes is its importance."""
+    train, _ = _split_features(spark, sf_dir)
+    model, path = _saved(spark, train, models.RANDOM_FOREST)
+    summed = trees.importances(trees.saved_nodes(spark, model, path))
+    told = models.feature_importance(model, train).withColumnRenamed("importance", "told")
+    same = F.abs(F.col("importance") - F.col("told")) < 1e-9
+    return summed.join(told, "feature").select("feature", same.alias("agrees"))
+
+
+@query
+def ml_logistic_slope(spark, sf_dir):
+    """Training rows of each class, and whether the fitted loss is flat by its coefficients."""
+    train, _ = _split_features(spark, sf_dir)
+    model = models.fit(train, models.classifiers()[models.LOGISTIC_REGRESSION])
+    steep = models.slope(model, train).withColumnRenamed("class", "label")
+    counts = train.groupBy("label").agg(F.count("*").alias("rows"))
+    return counts.join(steep, "label").select("label", "rows", (F.col("steepest") < 1e-3).alias("flat"))
+
+
+@query
+def ml_saved_parameters(spark, sf_dir):
+    """Settings of the decision tree and the regression as they come back from a saved model."""
+    train, _ = _split_features(spark, sf_dir)
+    kept = None
+    for name in (models.DECISION_TREE, models.LOGISTIC_REGRESSION):
+        loaded, _ = _saved(spark, train, name)
+        rows = models.parameters(loaded, spark).select(F.lit(name).alias("model"), "*")
+        kept = rows if kept is None else kept.unionByName(rows)
+    return kept

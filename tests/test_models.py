@@ -9,8 +9,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
-from faultweave.operators import evaluation, models, split
+from faultweave.operators import evaluation, models, split, trees
 from faultweave.operators.features import FEATURE_COLUMNS
 from faultweave.plans import classify
 
@@ -160,3 +162,51 @@ def test_the_logistic_fit_has_a_flat_slope(features):
     slope = p.T @ x / len(rows) + models.REGULARISATION * weights
     assert np.abs(slope).max() < 1e-3
     assert np.abs(p.mean(axis=0)).max() < 1e-3
+
+
+def test_audit_agrees_and_sees_an_altered_split(spark, features, tmp_path):
+    path = str(tmp_path / "tree")
+    model = models.saved_and_loaded(
+        models.fit(features, models.classifiers()[models.DECISION_TREE]), path
+    )
+    rows = model.transform(features).select("label", vector_to_array("features").alias("scaled"))
+    nodes = trees.saved_nodes(spark, model, path).cache()
+
+    def wrong(table):
+        return [
+            r.id
+            for r in trees.audit(rows, table, models.TREE_DEPTH).collect()
+            if r.rows != r.fitted_rows
+            or abs((r.impurity or 0) - r.fitted_impurity) > 1e-9
+            or abs((r.gain or 0) - (r.fitted_gain or 0)) > 1e-9
+        ]
+
+    assert nodes.count() > 5 and wrong(nodes) == []
+    altered = F.when(F.col("id") == 0, F.col("threshold") + 1).otherwise(F.col("threshold"))
+    assert wrong(nodes.withColumn("threshold", altered))
+    other = F.when(F.col("id") == 1, F.lit(24)).otherwise(F.col("feature"))
+    assert wrong(nodes.withColumn("feature", other))
+
+
+@pytest.mark.parametrize("name", [models.RANDOM_FOREST, models.DECISION_TREE])
+def test_importances_of_nodes(spark, features, tmp_path, name):
+    path = str(tmp_path / "model")
+    model = models.saved_and_loaded(models.fit(features, models.classifiers()[name]), path)
+    told = {r.feature: r.importance for r in models.feature_importance(model, features).collect()}
+    summed = trees.importances(trees.saved_nodes(spark, model, path)).collect()
+    assert len(summed) == 25
+    assert {r.feature: pytest.approx(r.importance, abs=1e-9) for r in summed} == told
+
+
+def test_slope_sees_an_altered_coefficient(features):
+    model = models.fit(features, models.classifiers()[models.LOGISTIC_REGRESSION])
+    assert max(r.steepest for r in models.slope(model, features).collect()) < 1e-3
+    short = models.classifiers()[models.LOGISTIC_REGRESSION].setMaxIter(2)
+    unfinished = models.fit(features, short)
+    assert max(r.steepest for r in models.slope(unfinished, features).collect()) > 1e-2
+
+
+def test_measures_are_taken_on_one_split(features):
+    result = classify.train_and_compare(features)
+    again = {n: models.measure(m, result.test).first() for n, m in result.models.items()}
+    assert again == {n: row.first() for n, row in result.metrics.items()}
