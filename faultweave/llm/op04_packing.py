@@ -34,7 +34,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
     the ids as little-endian unsigned 32 bits), doc_tokens (with the closing id), sequence_id,
     offset in the sequence.
 
-    Every id of a document lies in exactly one piece. A null text is empty and so has the closing
+    Strings of special tokens in a text are these tokens, as the file has them. Every id of a
+    document lies in exactly one piece. A null text is empty and so has the closing
     id only. Each row is packed, null doc_ids and repeated rows too. No rows give no rows.
     Sequence ids are unique and rise within a task. Columns other than doc_id and text are not
     read. length must be a power of two.
@@ -45,7 +46,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
     )
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, special=True)
         first = TaskContext.get().partitionId() << 40
         block, tokens = [], 0
         for batch in batches:

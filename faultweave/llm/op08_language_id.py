@@ -10,7 +10,6 @@ value at a place is a sum of table entries, one for each byte it covers.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,11 @@ EPOCHS = 12
 UNKNOWN = "und"
 _REACH = max(WIDTHS) - 1
 _ASCII_LETTER = byte_class((65, 90), (97, 122))
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L; numbers such as ² and ½ are not."""
+    return any(map(str.isalpha, text))
 
 
 def language_id(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> DataFrame:
@@ -81,7 +84,9 @@ def _fit(known: DataFrame, docs_a_language: int):
         *(F.lit(x) for lang, n in count.items() for x in (lang, min(1.0, docs_a_language / n)))
     )
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = known.where(place < share[F.col("lang")]).select("lang", "text")
+    # Of rows that repeat an id the smallest text, so documents bound the rows.
+    sample = known.where(place < share[F.col("lang")]).groupBy("doc_id", "lang")
+    sample = sample.agg(F.min("text").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("bytes", pa.binary())])
 
     def run(batches):
@@ -214,7 +219,7 @@ def _predicted(texts: Texts, model) -> tuple[list[str], list[float]]:
     lang, score = [], []
     for i in range(len(texts)):
         raw = texts.data[texts.start[i] : texts.end[i]]
-        if _ASCII_LETTER[raw].any() or _LETTER.search(raw.tobytes().decode()):
+        if _ASCII_LETTER[raw].any() or _has_letter(raw.tobytes().decode()):
             lang.append(langs[best[i]])
             score.append(min(1.0, float(weight[i, best[i]])))
         else:

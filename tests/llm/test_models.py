@@ -133,3 +133,11 @@ def test_suffix_array(letters):
         text = bytes(97 + rng.randrange(letters) for _ in range(rng.randrange(50)))
         text = text[:9] * 4 if rng.random() < 0.2 else text
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(i, "plain words of one language here", "en") for i in range(20)]
+    rows += [(101, "1 ½ ² ① Ⅷ", None), (102, "ª", None), (103, "ʰ", None), (104, "_ 9 ٣", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in language_id(docs).collect()}
+    assert [out[i] for i in (101, 102, 103, 104)] == ["und", "en", "en", "und"]

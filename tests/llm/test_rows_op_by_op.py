@@ -138,6 +138,15 @@ def test_packing_is_whole(odd, tokenizer):
             assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
 
 
+def test_special_tokens_are_those_of_the_file(spark):
+    text = "hello <|endoftext|> end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = pack(docs.coalesce(1), TOKENIZER, length=8).where("start = 0").collect()
+    ids = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert ids == [31373, 220, 50256, 886] and row.doc_tokens == 5
+    assert row.ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4")[: row.length].tobytes())
+
+
 def test_assign_balances_cost():
     sizes = [900, 800, 700, 600, 300, 200, 100, 90, 80, 70, 5000, 1, 1, 1]
     sequences = assign(sizes, 1024)
