@@ -275,6 +275,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part-supplier pairs seen in lineitem."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.selectExpr("l_partkey AS ps_partkey", "l_suppkey AS ps_suppkey").distinct()
+    """Up to four suppliers of each part, spread over all suppliers; lines of others don't match."""
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    parts = table(spark, sf_dir, "part").select("p_partkey", suppliers.alias("s"))
+    return parts.selectExpr(
+        "p_partkey AS ps_partkey",
+        """explode(array_distinct(transform(sequence(0, 3),
+            i -> (p_partkey + i * (s div 4 + p_partkey div s)) % s))) AS ps_suppkey""",
+    )

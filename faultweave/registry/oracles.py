@@ -531,7 +531,11 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey
 JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"""
 
 _PARTSUPP = """
-partsupp AS (SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem)"""
+partsupp AS (
+    SELECT DISTINCT p_partkey AS ps_partkey,
+           (p_partkey + i * (s // 4 + p_partkey // s)) % s AS ps_suppkey
+    FROM part, range(4) t(i), (SELECT count(*) AS s FROM supplier)
+)"""
 
 ORACLES["q_broadcast_partsupp"] = f"""WITH {_PARTSUPP}
 SELECT o_orderstatus, count(*) AS cnt
@@ -570,6 +574,11 @@ SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS distinct_keys, max(n) A
        {_round("max(n) / CAST(sum(n) AS DOUBLE)", "hottest_share", 9)}
 FROM per_key"""
 
+ORACLES["q_hot_key_join"] = f"""WITH {_SKEWED}
+SELECT o_orderpriority, count(*) AS line_count, {_total(_QTY, "total_qty")},
+       count(DISTINCT o_orderkey) AS order_count
+FROM skewed JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority"""
+
 ORACLES["q_heavy_segment_priority"] = f"""
 SELECT c_mktsegment, o_orderpriority, {_total(_PRICE, "total_price")}, {_total(_QTY, "total_qty")},
        {_round("avg(l_discount)", "avg_disc", 9)},

@@ -18,6 +18,7 @@ from faultweave.operators import (
     models,
     rootcause,
     sizing,
+    skew,
     split,
     trees,
 )
@@ -459,8 +460,22 @@ def q_large_volume_skewed(spark, sf_dir):
 
 @query
 def join_key_skew(spark, sf_dir):
-    skew = workload.join_key_skew(_skewed_lineitem(spark, sf_dir), "l_orderkey")
-    return skew.withColumn("hottest_share", rounded(F.col("hottest_share"), 9))
+    share = workload.join_key_skew(_skewed_lineitem(spark, sf_dir), "l_orderkey")
+    return share.withColumn("hottest_share", rounded(F.col("hottest_share"), 9))
+
+
+@query
+def q_hot_key_join(spark, sf_dir):
+    """Lines, quantity and orders by priority, over lines of which a fifth share one order."""
+    orders = adapters.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    lines = _skewed_lineitem(spark, sf_dir).select("l_orderkey", "l_quantity")
+    joined = skew.hot_key_join(lines, orders, {"l_orderkey": "o_orderkey"})
+    totals = joined.groupBy("o_orderpriority").agg(
+        F.count("*").alias("line_count"),
+        F.sum("l_quantity").alias("total_qty"),
+        F.count_distinct("o_orderkey").alias("order_count"),
+    )
+    return _round_all(totals)
 
 
 @query
