@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A template is a license statement, a set of words T. A block is a run of at most |T| + FILL words
-of a document. It matches where it holds at least c = ceil(containment * |T|) words of T: within a
-line in any order, over the ends of lines, as statements are wrapped, in the order of the template.
+A template is a license statement, a set of words T. A block is a run of at most |T| + fill words
+of a document, across the ends of lines, as statements are wrapped. It matches where it holds at
+least c = ceil(containment * |T|) words of T, in any order.
 
 The words of the templates are put in one global order, rarest in the documents first; the
 counts cover all documents. A matching block holds one of the first |T| - c + 1 words of T
@@ -57,9 +57,6 @@ TEMPLATES = {
     "rights-reserved": "Copyright. All rights reserved",
 }
 
-#: Words that a block may hold beside those of a template: names, years, marks of comments.
-FILL = 16
-
 
 def _word_list(text: str) -> list[str]:
     raw = text.encode()
@@ -88,16 +85,15 @@ class Templates:
         return np.where(self.hashes[at] == hashes, self.by_hash[at], -1)
 
     def order(self, frequency: dict[int, int]) -> None:
-        """Rank words rarest first, ties by the word; give each template's words by rank and as
-        written, and the ranks of all of them and of its prefix as tables."""
+        """Rank words rarest first, ties by the word; give each template's words by rank, and the
+        ranks of all of them and of its prefix as tables."""
         ranked = sorted(range(len(self.words)), key=lambda i: (frequency.get(i, 0), self.words[i]))
         self.rank = np.empty(len(ranked), np.int64)
         self.rank[ranked] = np.arange(len(ranked))
         number = {w: i for i, w in enumerate(self.words)}
-        self.ranks, self.written, self.is_own, self.is_prefix = {}, {}, {}, {}
+        self.ranks, self.is_own, self.is_prefix = {}, {}, {}
         for label, own in self.texts.items():
-            self.written[label] = [int(self.rank[number[w]]) for w in own]
-            self.ranks[label] = sorted(self.written[label])
+            self.ranks[label] = sorted(int(self.rank[number[w]]) for w in own)
             for is_in, upto in (
                 (self.is_own, len(own)),
                 (self.is_prefix, len(own) - self.least[label] + 1),
@@ -111,12 +107,14 @@ def license_scan(
     phrases: dict[str, str] = PHRASES,
     templates: dict[str, str] = TEMPLATES,
     containment: float = 0.8,
+    fill: int = 16,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base (places of a phrase), first_word and
     last_word (their smallest and largest start, words from 0; null if none), base_labels,
     labels (base and method), score and blocks (matching blocks of the method that do not overlap,
     by template).
 
+    A block holds at most `fill` words more than its template has: names, years, marks of comments.
     Words are runs outside `[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`, A-Z lower-cased. score is 1 where
     a phrase stands, else the greatest containment of a matching block, else 0. A null or empty
     text has no words, no labels and score 0; a null doc_id and repeated rows come out as they
@@ -148,7 +146,7 @@ def license_scan(
             for texts in chunks(batch["text"]):
                 words = Words(texts, LETTER_OR_DIGIT)
                 places = _places(words, runs)
-                matches = _matches(words, known)
+                matches = _matches(words, known, fill)
                 rows = [
                     _row(int(words.high[i] - words.low[i]), places[i], matches[i])
                     for i in range(len(texts))
@@ -200,7 +198,7 @@ def _places(words: Words, runs: dict[str, np.ndarray]) -> dict:
     return out
 
 
-def _matches(words: Words, known: Templates) -> dict:
+def _matches(words: Words, known: Templates, fill: int) -> dict:
     """By text, the (containment, label, counts) of each matching block: the first of blocks that
     overlap counts, but all are given."""
     out = defaultdict(list)
@@ -209,33 +207,18 @@ def _matches(words: Words, known: Templates) -> dict:
     number = known.numbers(words.hash)
     rank = np.where(number >= 0, known.rank[number], -1)
     hits = np.flatnonzero(rank >= 0)
-    # Ids of lines rise with the words.
-    line = np.cumsum(words.data == 10)[words.begin] + words.text
     for label, ranks in known.ranks.items():
         triggers = hits[known.is_prefix[label][rank[hits]]]
         if not len(triggers):
             continue
         own = hits[known.is_own[label][rank[hits]]]
         trigger = np.append(triggers, len(words))[np.searchsorted(triggers, own)]
-        end = np.minimum(own + len(ranks) + FILL, words.high[words.text[own]])
+        end = np.minimum(own + len(ranks) + fill, words.high[words.text[own]])
         near = trigger < end
         begin, end = own[near], end[near]
-        line_end = np.minimum(np.searchsorted(line, line[begin], "right"), end)
         places = {r: own[rank[own] == r] for r in ranks}
-        least = known.least[label]
-        found = {}
-        for at, upto, both in _holding(begin, line_end, places, least):
-            found[at] = (both, upto)
-        wrapped = line_end < end
-        for at, upto, _ in _holding(begin[wrapped], end[wrapped], places, least):
-            last = int(end[np.searchsorted(begin, at)])
-            held = own[np.searchsorted(own, at) : np.searchsorted(own, last)]
-            both, upto = _in_order(known.written[label], held.tolist(), rank[held].tolist())
-            if both >= least:
-                found[at] = max(found.get(at, (0, 0)), (both, upto))
         free = 0
-        for at in sorted(found):
-            both, upto = found[at]
+        for at, upto, both in _holding(begin, end, places, known.least[label]):
             out[int(words.text[at])].append((both / len(ranks), label, at >= free))
             free = upto if at >= free else free
     return out
@@ -261,23 +244,6 @@ def _holding(begin: np.ndarray, end: np.ndarray, places: dict[int, np.ndarray],
     return zip(begin.tolist(), upto.tolist(), both.tolist(), strict=True)
 
 
-def _in_order(written: list[int], at: list[int], held: list[int]) -> tuple[int, int]:
-    """The most words of a template that a block holds in its order, and the end of the last."""
-    best = [0] * (len(written) + 1)
-    place = {r: i for i, r in enumerate(written)}
-    upto = at[0]
-    for p, r in zip(at, held, strict=True):
-        i = place[r]
-        longest = best[i] + 1
-        if longest > best[-1]:
-            upto = p + 1
-        for j in range(i + 1, len(best)):
-            if best[j] >= longest:
-                break
-            best[j] = longest
-    return best[-1], upto
-
-
 def _row(n_words: int, places: list, matches: list) -> tuple:
     starts = [p for p, _ in places]
     base = {label for _, label in places}
