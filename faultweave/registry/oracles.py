@@ -758,6 +758,11 @@ models (model) AS (VALUES ('Random Forest'), ('Decision Tree'), ('Logistic Regre
 SELECT model, label, count(*) AS rows, CAST(count(*) AS DOUBLE) AS probability_sum
 FROM split, models WHERE NOT is_train GROUP BY model, label"""
 
+ORACLES["ml_cross_validation_folds"] = f"""WITH {APPS}
+SELECT CAST(CAST('0x' || substr(md5(app_id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, label,
+       count(*) AS rows, true AS f1_agrees
+FROM apps GROUP BY fold, label"""
+
 ORACLES["ml_importance_total"] = f"""WITH {_FEATURES}
 SELECT count(DISTINCT name) AS features, count(DISTINCT name) / 25.0::DOUBLE AS importance
 FROM (SELECT unnest([{", ".join(f"'{c}'" for c in _FEATURE_NAMES)}]) AS name

@@ -683,6 +683,20 @@ def ml_cross_validation(spark, sf_dir):
     return rows.agg(F.count("*").alias("rows")).withColumn("mean_f1", F.lit(mean_f1))
 
 
+@query
+def ml_cross_validation_folds(spark, sf_dir):
+    """Applications of each fold and class that its model judged, and whether the mean over the
+    folds of F1 from the confusion counts is the one that the validator tells."""
+    number = F.conv(F.substring(F.md5(F.col("app_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    fold = (number % models.FOLDS).cast("int")
+    rows = models.fill_features(_features(spark, sf_dir)).withColumn("fold", fold)
+    counts, mean_f1 = models.cross_validated_folds(sizing.cut_lineage(rows), "fold")
+    counts = sizing.cut_lineage(counts)
+    mean = models.weighted_f1(counts, "fold").agg(F.avg("f1")).scalar()
+    judged = counts.groupBy("fold", "label").agg(F.sum("rows").alias("rows"))
+    return judged.withColumn("f1_agrees", F.abs(mean - F.lit(mean_f1)) < 1e-9)
+
+
 @query
 def ml_holdout_report(spark, sf_dir):
     """A tenth of the applications is held out before the split; the forest, fitted on the training

@@ -210,3 +210,33 @@ def test_measures_are_taken_on_one_split(features):
     result = classify.train_and_compare(features)
     again = {n: models.measure(m, result.test).first() for n, m in result.models.items()}
     assert again == {n: row.first() for n, row in result.metrics.items()}
+
+
+def test_folds_are_judged_by_models_that_have_not_seen_them(features):
+    """Each fold is judged whole, about as well as by a forest fitted by hand on the other folds."""
+    rows = features.withColumn("fold", F.pmod(F.xxhash64("app_id"), F.lit(3)).cast("int")).cache()
+    counts, mean = models.cross_validated_folds(rows, "fold", folds=3)
+    got = {(r.fold, r.label, r.prediction): r.rows for r in counts.collect()}
+    want = {}
+    f1 = []
+    for fold in range(3):
+        model = models.fit(rows.filter(F.col("fold") != fold), models.classifiers()[models.RANDOM_FOREST])
+        judged = model.transform(rows.filter(F.col("fold") == fold))
+        for r in judged.groupBy("label", "prediction").count().collect():
+            want[fold, r.label, r.prediction] = r["count"]
+        f1.append(MulticlassClassificationEvaluator(metricName="f1").evaluate(judged))
+    # Trees are sampled by partition, so single predictions may differ; rows of a class may not.
+    for fold in range(3):
+        for label in range(7):
+            assert sum(n for (a, b, _), n in got.items() if (a, b) == (fold, label)) == sum(
+                n for (a, b, _), n in want.items() if (a, b) == (fold, label)
+            )
+    ours = [r.f1 for r in models.weighted_f1(counts, "fold").orderBy("fold").collect()]
+    assert sum(ours) / 3 == pytest.approx(mean, abs=1e-9)
+    assert ours == pytest.approx(f1, abs=0.15)
+
+
+def test_weighted_f1_equals_mllib(predictions):
+    counts = predictions.groupBy("label", "prediction").agg(F.count("*").alias("rows"))
+    want = MulticlassClassificationEvaluator(metricName="f1").evaluate(predictions)
+    assert models.weighted_f1(counts).first().f1 == pytest.approx(want, abs=1e-12)
