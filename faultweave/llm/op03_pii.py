@@ -1,11 +1,14 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
 Base kinds (email, ip, card, phone) follow fixed patterns and always stand. Further identifiers
-are candidates: runs of letters, digits, `_` and `-` with a digit. Four labelers vote on each
-candidate for, against or not at all: a shape pattern, a gazetteer of known beginnings and known
-harmless terms, the words before it, and the mix of its characters. Expectation-maximisation over
-the counts of vote patterns estimates how reliable each labeler is, and a span classifier (naive
-Bayes on features of the span) is trained on the posteriors and decides.
+are candidates of any length, whole words of letters, digits, `_`, `-`, `+`, `/`, inner dots and
+a closing `=`: those that mix letters and digits, have nine characters with a digit or twenty
+without, begin as known keys do, or are a value after a cue word and `:` or `=`; and account
+numbers printed in groups of four. Four labelers vote on each candidate for, against or not at
+all: a shape pattern, a gazetteer of known beginnings and known harmless terms, the words before
+it, and the mix of its characters. Expectation-maximisation over the counts of vote patterns
+estimates how reliable each labeler is, and a span classifier (naive Bayes on features of the
+span) is trained on the posteriors and decides.
 
 Patterns are written so that each place of a text is tried once: runs are possessive and begin
 where no run is under way. Java's matcher gives the matches and, by the same scan, the pieces
@@ -33,23 +36,49 @@ BASE = {
 #: A text without this cannot hold the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{9,}+"
 #: Characters before a candidate that count as its context.
 CONTEXT = 24
 #: Kinds of candidates by shape; all others are secrets.
 SHAPES = {
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$",
+    "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}$",
 }
 KINDS = (*BASE, *SHAPES, "secret")
 
 # Word lists of the labelers.
 BEGINNINGS = "akia|asia|ghp_|gho_|github_pat_|glpat-|sk-|sk_|pk_|rk_|xox|ya29|eyj|aiza|npm_|pypi-"
-HARMLESS = "iso-|utf-|sha-|md5|covid-|rfc|http|windows-|ieee|us-ascii|mp3|mp4|h264"
+HARMLESS = "//|www\\.|iso-|utf-|sha-|md5|covid-|rfc|http|windows-|ieee|us-ascii|mp3|mp4|h264"
 CUES = "token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer"
 CUES += "|credential|ssn|social security|iban|account|passport"
 HARMLESS_CUES = "version|isbn|issn|doi|page|chapter|section|figure|table|build|revision|commit|model"
 
+# A word is a run with dots inside; each is tried at its beginning only, and looked through once.
+_RUN = "[A-Za-z0-9_+/-]"
+_DOT = rf"\.(?={_RUN})"
+_START = rf"(?<!{_RUN})(?<!{_RUN}\.)"
+
+
+def _past(others: str, wanted: str) -> str:
+    """Looks ahead for wanted in the word, past others."""
+    return rf"(?={others}*+(?:{_DOT}{others}*+)*+{wanted})"
+
+
+_DIGIT = _past("[A-Za-z_+/-]", "[0-9]")
+_LETTER = _past("[0-9_+/-]", "[A-Za-z]")
+_VALUE = rf"(?<=[:=][ \"']{{0,2}})(?<=(?i:{CUES})[\"']?[ ]?[:=][ ]?[\"']?)"
+_WANTED = "|".join(
+    [
+        _DIGIT + _LETTER,
+        _DIGIT + rf"(?=(?:{_RUN}|{_DOT}){{9}})",
+        rf"(?={_RUN}{{20}})",
+        rf"(?=(?i:{BEGINNINGS}))",
+        _VALUE,
+    ]
+)
+_PRINTED = r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,7}+(?: [A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+_WORD = rf"{_RUN}++(?:{_DOT}{_RUN}++)*+(?:={{1,2}}+(?![A-Za-z0-9_+/=-]))?+"
+CANDIDATE = rf"{_START}(?:{_PRINTED}|(?:{_WANTED}){_WORD})"
+
 VOTES = ("by_shape", "by_gazetteer", "by_context", "by_mix")
 FEATURES = ("length", "digits", "charset", "cue", "before")
 #: 3 votes by 4 labelers, times the values of the features.
@@ -148,16 +177,30 @@ def _ordered(spans: Column) -> Column:
 
 def _offsets(matches: str, gaps: str) -> str:
     """SQL of structs (s, e, v, before) of the matches: running sums of the lengths of gaps and
-    matches, in blocks, so that a text of many matches costs little more than their number."""
-    block = 128
-    return f"""transform(array(transform({matches}, (m, i) -> length(m) + length({gaps}[i]))), d ->
-      transform(array(transform(sequence(0, size(d) div {block}), b -> aggregate(
-          slice(d, b * {block} + 1, {block}), 0, (a, x) -> a + x))), sums ->
-        transform({matches}, (m, i) -> transform(array(
-            aggregate(slice(sums, 1, i div {block}), 0, (a, x) -> a + x)
-            + aggregate(slice(d, i div {block} * {block} + 1, i % {block}), 0, (a, x) -> a + x)
-            + length({gaps}[i])), s -> struct(s AS s, s + length(m) AS e, m AS v,
-              right({gaps}[i], {CONTEXT}) AS before))[0]))[0])[0]"""
+    matches, in blocks and blocks of blocks, so that a text of many matches costs little more
+    than their number."""
+
+    def total(values: str, first: str, count: str) -> str:
+        return f"aggregate(slice({values}, {first} + 1, {count}), 0, (a, x) -> a + x)"
+
+    def blocks(values: str) -> str:
+        every = f"sequence(0, size({values}) div 64)"
+        return f"transform({every}, b -> {total(values, 'b * 64', '64')})"
+
+    place = " + ".join(
+        [
+            total("wide", "0", "i div 4096"),
+            total("sums", "i div 4096 * 64", "i div 64 % 64"),
+            total("d", "i div 64 * 64", "i % 64"),
+            f"length({gaps}[i])",
+        ]
+    )
+    found = f"""struct(s AS s, s + length(m) AS e, m AS v, right({gaps}[i], {CONTEXT}) AS before)"""
+    each = f"transform({matches}, (m, i) -> transform(array({place}), s -> {found})[0])"
+    with_wide = f"transform(array({blocks('sums')}), wide -> {each})[0]"
+    with_sums = f"transform(array({blocks('d')}), sums -> {with_wide})[0]"
+    lengths = f"transform({matches}, (m, i) -> length(m) + length({gaps}[i]))"
+    return f"transform(array({lengths}), d -> {with_sums})[0]"
 
 
 _NONE = "cast(array() AS array<struct<s:int,e:int,v:string,before:string>>)"
@@ -169,7 +212,7 @@ def _candidates(text: DataFrame, *keep: str) -> DataFrame:
     for kind, pattern in patterns.items():
         need = NEEDS.get(kind)
         can = F.col("text").contains(need) if need else F.lit(True)
-        if kind != "email":
+        if kind in ("ip", "card", "phone"):
             can = can & F.col("has_digit")
         all_of = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         matches.append(F.when(can, all_of).otherwise(F.array().cast("array<string>")).alias(f"m_{kind}"))
@@ -193,17 +236,24 @@ def _candidates(text: DataFrame, *keep: str) -> DataFrame:
         F.col("other"),
     )
     base = base.withColumn("base", _ordered(F.concat(*(_named(k) for k in BASE))))
-    free = F.filter(
-        "other",
-        lambda x: ~F.exists(
-            "base", lambda b: (b.s < x.e) & (x.s < b.e) & ~((x.s <= b.s) & (b.e <= x.e))
-        ),
-    )
+    # Spans that overlap a candidate and aren't within it go over its start or its end.
+    cut = " OR ".join(_crosses(k, f"x.{end}") for k in BASE for end in ("s", "e"))
+    free = F.expr(f"filter(other, x -> NOT ({cut}))")
     return base.withColumn("other", free).select(
         *keep, *BASE, "base", F.transform("other", _voted).alias("candidates")
     )
 
 
+def _crosses(spans: str, place: str) -> str:
+    """SQL: one of the spans, which are in order and apart, holds place and begins before it.
+    Found by halving."""
+    before = f"""aggregate(sequence(cast(log2(size({spans})) AS int), 0, -1), 0, (a, k) ->
+        IF(a + shiftleft(1, k) <= size({spans}) AND {spans}[a + shiftleft(1, k) - 1].s < {place},
+           a + shiftleft(1, k), a))"""
+    last = f"transform(array({before}), n -> n > 0 AND {spans}[greatest(n, 1) - 1].e > {place})[0]"
+    return f"(size({spans}) > 0 AND {last})"
+
+
 def _named(kind: str) -> Column:
     return F.transform(
         kind, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(kind).alias("kind"))
@@ -248,8 +298,12 @@ def _voted(x: Column) -> Column:
     )
     n = F.length(x.v)
     digits = n - F.length(F.regexp_replace(x.v, "[0-9]", ""))
-    plain = low.rlike("^(?:[0-9]{1,4}-){1,3}[0-9]{1,4}$|^[a-z]+(?:-[a-z]+)*-?[0-9]{1,3}$|^[0-9]+$")
+    plain = low.rlike(
+        "^(?:[0-9]{1,4}[-/.+]){1,3}[0-9]{1,4}$|^[a-z]++(?:[-_/.+][a-z]++)*+[-_]?[0-9]{0,3}$"
+        "|^[0-9.]+$"
+    )
     shape = x.v.rlike("|".join(SHAPES.values())) | low.rlike("^(?=[0-9]*[a-f])[0-9a-f]{32,}$")
+    begins = low.rlike(f"^(?:.*[/.+])?(?:{BEGINNINGS})")
     cue = before.rlike(f"(?:{CUES})[^a-z0-9]*(?:[a-z]+[^a-z0-9]+)?$")
     no_cue = before.rlike(f"(?:{HARMLESS_CUES})[^a-z0-9]*$")
     mixed = (n >= 20) & digits.between(n * 0.1, n * 0.9)
@@ -262,15 +316,15 @@ def _voted(x: Column) -> Column:
         x.e.alias("e"),
         kind.alias("kind"),
         vote(shape, plain & ~shape).alias("by_shape"),
-        vote(low.rlike(f"^(?:{BEGINNINGS})"), low.rlike(f"^(?:{HARMLESS})")).alias("by_gazetteer"),
+        vote(begins, low.rlike(f"^(?:{HARMLESS})")).alias("by_gazetteer"),
         vote(cue, no_cue).alias("by_context"),
         vote(mixed, (n < 14) & ~shape).alias("by_mix"),
         F.least(F.lit(4), (n / 10).cast("int")).alias("length"),
         (digits * 4 / n).cast("int").alias("digits"),
         F.when(low.rlike("^[0-9a-f]+$"), 0)
         .when(x.v.rlike("^[0-9-]+$"), 1)
-        .when(x.v.rlike("^[A-Z0-9]+$"), 2)
-        .when(x.v.rlike("[_-]"), 3)
+        .when(x.v.rlike("^[A-Z0-9 ]+$"), 2)
+        .when(x.v.rlike("[_.+/-]"), 3)
         .otherwise(4)
         .alias("charset"),
         F.when(cue, 2).when(no_cue, 1).otherwise(0).alias("cue"),

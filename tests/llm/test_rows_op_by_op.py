@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faultweave.llm import op03_pii, op07_suffix_dedup, op10_ngram_join
@@ -231,6 +234,66 @@ def test_added_spans_and_redaction(spark):
     assert out[99] == "[EMAIL] and [EMAIL] [IP]"
 
 
+CANDIDATES = {
+    "key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY.": ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"],
+    "x aGVsbG8+d29ybGQ/IQ== y": ["aGVsbG8+d29ybGQ/IQ=="],
+    "to GB29 NWBK 6016 1331 9268 19 now": ["GB29 NWBK 6016 1331 9268 19"],
+    "DE89 3704 0044 0532 0130 00, NL91 ABNA 0417 1643 00": [
+        "DE89 3704 0044 0532 0130 00",
+        "NL91 ABNA 0417 1643 00",
+    ],
+    "password: hunter and Password = 'swordfish'": ["hunter", "swordfish"],
+    "the password is not here: look, 5 of 2020, 3.14 a/b": [],
+    "x1 and 1x.": ["x1", "1x"],
+    "ghp_abcdefghij": ["ghp_abcdefghij"],
+    "correcthorsebatterystaple": ["correcthorsebatterystaple"],
+    "eyJhb1.eyJzd2.c2ln": ["eyJhb1.eyJzd2.c2ln"],
+    "123-45-6789 a=b2 c3=d4": ["123-45-6789", "b2", "c3", "d4"],
+    "a.b@c1.de me@x9.org": [],
+    "a..b1...c": ["b1"],
+    "": [],
+}
+
+
+def test_candidates_are_whole_words_of_any_length(spark):
+    rows = list(CANDIDATES.items())
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = op03_pii._candidates(docs, "doc_id", "text").select(
+        "doc_id", F.expr("transform(candidates, x -> substring(text, x.s + 1, x.e - x.s))").alias("v")
+    )
+    assert {r["doc_id"]: r["v"] for r in found.collect()} == {
+        i: want for i, (_, want) in enumerate(rows)
+    }
+
+
+def test_secrets_with_signs_and_blanks_are_redacted(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        key = base64.b64encode(rng.bytes(29)).decode()
+        groups = " ".join(f"{rng.integers(10**4):04d}" for _ in range(4))
+        rows.append((i, f"secret_key = '{key}' pays to iban GB29 NWBK {groups} 19 of chapter b12"))
+        rows.append((100 + i, f"In chapter a{i} of 2019/2020 the price rose by 3.14 and/or {i}kg"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in op03_pii.redacted(docs).collect()}
+    for i, text in rows:
+        if i < 100:
+            assert out[i] == "secret_key = '[SECRET]' pays to iban [IBAN] of chapter b12"
+        else:
+            assert out[i] == text
+
+
+def test_long_runs_take_linear_time(spark):
+    size = 20_000
+    texts = ["a." * size, "a.." * size, "a/" * size, "=" * size, "x1 " * size, ": " * size]
+    texts += ["GB29" + " ABCD" * size, "token=" * size, "1.1.1.1 a1 " * (size // 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    begin = time.monotonic()
+    got = {r["doc_id"]: r["n_ip"] for r in op03_pii.pii_spans(docs).collect()}
+    assert got[8] == size // 8
+    assert time.monotonic() - begin < 120
+
+
 def test_offsets_of_many_matches(spark):
     text = " ".join(f"10.0.{i % 256}.{i % 200}" for i in range(1000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
