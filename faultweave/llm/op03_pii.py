@@ -55,7 +55,7 @@ HARMLESS_CUES = "version|isbn|issn|doi|page|chapter|section|figure|table|build|r
 # A word is a run with dots inside; each is tried at its beginning only, and looked through once.
 _RUN = "[A-Za-z0-9_+/-]"
 _DOT = rf"\.(?={_RUN})"
-_START = rf"(?<!{_RUN})(?<!{_RUN}\.)"
+_START = rf"(?<!{_RUN})(?<!{_RUN}\.)(?={_RUN})"
 
 
 def _past(others: str, wanted: str) -> str:
