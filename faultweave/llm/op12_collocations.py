@@ -99,11 +99,13 @@ class _Block:
 
     def hashes(self, k: int) -> np.ndarray:
         """Of the phrases at all places, telling languages apart."""
-        digests = (blake2b(w, digest_size=8).digest() for w in [self.lang.encode(), *self.words])
+        digests = (blake2b(w, digest_size=8).digest() for w in self.words)
         word = np.frombuffer(b"".join(digests), np.uint64)
-        h = np.full(len(self.place), word[0])
+        # A hash apart from those of words: a word that is its language's name must not cancel it.
+        lang = blake2b(self.lang.encode(), digest_size=8, person=b"lang").digest()
+        h = np.full(len(self.place), np.frombuffer(lang, np.uint64)[0])
         for j in range(k):
-            h = mixed((h ^ word[1:][self.at[self.place + j]]) + U64(k))
+            h = mixed((h ^ word[self.at[self.place + j]]) + U64(k))
         return h
 
     def row(self, block: int, n: int, named: list[dict]) -> pa.RecordBatch:

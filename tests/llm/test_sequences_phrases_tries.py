@@ -186,6 +186,19 @@ def test_collocations(spark, monkeypatch, block, top):
     assert len({lang for lang, *_ in want}) >= 3
 
 
+def test_collocations_with_words_that_name_their_language(spark):
+    names = ["en", "de", "fr", "und", "x"]
+    rng = random.Random(9)
+    rows = [
+        (rng.choice(["en", "de", "fr", "und", None, ""]), " ".join(rng.choices(names, k=40)))
+        for _ in range(60)
+    ]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = plain_collocations(rows, 3, 2000)
+    assert Counter(map(tuple, collocations(docs, least=3).collect())) == want
+    assert len({lang for lang, *_ in want}) == 5
+
+
 def test_scores_beyond_64_bits(spark):
     found = [("a", 10**12, 1), ("b", 10**12, 1), ("a b", 10**12 - 1, 2)]
     rows = [("en", p, s, f) for p, f, s in found]
