@@ -338,10 +338,8 @@ def _voted(x: Column) -> Column:
 
 def _train(placed: DataFrame) -> dict[tuple[str, int], float]:
     """Log odds of each value of each feature, and of a span as such under ("", 0)."""
-    columns = (*VOTES, *FEATURES)
-    one = placed.select(F.explode("candidates").alias("x")).select(*(f"x.{c}" for c in columns))
-    rows = one.groupBy(*columns).agg(F.count("*").alias("n")).collect()  # PATTERNS rows at most
-    rows = sorted(((tuple(r[:-1]), r["n"]) for r in rows))
+    rows = _patterns(placed).collect()  # PATTERNS + 1 rows at most
+    rows = sorted((tuple(r[:-1]), r["n"]) for r in rows if r["by_shape"] is not None)
     votes = defaultdict(int)
     for key, n in rows:
         votes[key[: len(VOTES)]] += n
@@ -357,6 +355,17 @@ def _train(placed: DataFrame) -> dict[tuple[str, int], float]:
     return {p: v if p == ("", 0) else v - odds["", 0] for p, v in odds.items()}
 
 
+def _patterns(placed: DataFrame) -> DataFrame:
+    """How many candidates have each pattern of votes and features; rows without any have nulls.
+
+    A plain explode also filters on the size of the array. That filter, pushed down to the table,
+    finds all candidates again, several times; the outer one has no filter.
+    """
+    columns = (*VOTES, *FEATURES)
+    one = placed.select(F.explode_outer("candidates").alias("x")).select(*(f"x.{c}" for c in columns))
+    return one.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def expected(votes: dict[tuple, int]) -> dict[tuple, float]:
     """The posterior of a true span for each vote pattern, by expectation-maximisation.
 

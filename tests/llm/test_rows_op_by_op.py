@@ -302,6 +302,22 @@ def test_offsets_of_many_matches(spark):
     assert row["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
 
 
+def test_training_looks_for_candidates_once(odd):
+    """Each pattern stands in the plan once, and the counts are those of all candidates."""
+    text = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    placed = op03_pii._candidates(text, "doc_id")
+    counted = op03_pii._patterns(placed)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(op03_pii.BASE) + 1
+    want, none = Counter(), 0
+    for (found,) in placed.select("candidates").collect():
+        want.update(tuple(x[c] for c in (*op03_pii.VOTES, *op03_pii.FEATURES)) for x in found)
+        none += not found
+    got = {tuple(r[:-1]): r["n"] for r in counted.collect()}
+    assert got.pop((None,) * 9) == none
+    assert got == want and want
+
+
 def test_expectation_maximisation_finds_the_reliable_labelers():
     rng = np.random.default_rng(5)
     votes = Counter()
