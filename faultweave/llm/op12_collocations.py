@@ -5,19 +5,21 @@ into blocks of about BLOCK words. A row of the stored relation R(1) is one block
 pieces in order, with a gap in the numbering between pieces, so that neighbours in a piece are
 neighbours in number. For each length k:
 
-1. Group and count: each block counts its phrases of k words once; the counts of all blocks are
-   added up by phrase.
-2. Semi-join: the frequent phrases go back to the blocks that hold them, and only their
+1. Group and count: each block counts its phrases of k words once and deals them to parts by their
+   hash; within a part the counts of all blocks are added up by phrase.
+2. Semi-join: a part tells each block which of the block's phrases are frequent, and only their
    occurrences stay in R(k).
 3. Merge-join: an occurrence in R(k) and the one at the next position extend each other to an
    occurrence of k + 1 words. Both lists are sorted, so this is one pass.
 
-Blocks meet in shuffles only as (phrase, block, count), not as occurrences. There a phrase is a hash
-of 64 bits; the first block that holds a frequent one gives its text.
+Blocks meet in shuffles only as (phrase, count) lists of a block and a part, not as occurrences.
+There a phrase is a hash of 64 bits; lists are sorted by it and hold differences, and the answer is
+a bit a phrase. The first block that holds a frequent phrase gives its text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from functools import reduce
@@ -30,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultweave.llm.shared import U64, mixed, saved, signed, table
+from faultweave.llm.shared import U64, mixed, saved, table
 
 #: Words in a block, about, and in the unfinished blocks that a task holds.
 BLOCK = 1 << 20
 HELD = 1 << 21
+#: Occurrences in a part, at most about, and the logarithm of the fewest parts.
+PART = 1 << 22
+PART_BITS = 6
 #: Candidates ranked in one task, about.
 RANKED = 100_000
 LONGEST = 5
@@ -58,18 +63,13 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     """
     relation = saved(_blocks(docs))
     totals = saved(relation.groupBy("lang").agg(F.sum("n").alias("n")))
+    words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(PART_BITS, math.ceil(math.log2(max(words / PART, 1))))
     found = []
     for k in range(1, LONGEST + 1):
-        # Both uses read one shuffle; a phrase has no more rows than there are blocks.
-        occurring = _counted(relation, k).repartition("h")
-        frequent = occurring.groupBy("h").agg(F.sum("c").alias("f"), F.min("block").alias("first"))
-        frequent = frequent.where(F.col("f") >= least)
-        stays = occurring.drop("c").join(frequent.hint("shuffle_hash"), "h")
-        stays = stays.groupBy("block").agg(
-            F.collect_list("h").alias("stays"),
-            F.collect_list(F.when(F.col("block") == F.col("first"), F.struct("h", "f"))).alias("named"),
-        )
-        relation = saved(_extended(relation, stays, k))
+        answers = _answers(_counted(relation, k, bits).repartition("part"), least)
+        answers = answers.groupBy("block").agg(F.collect_list(F.struct(*_ANSWER)).alias("answers"))
+        relation = saved(_extended(relation, answers, k, bits))
         found.append(relation.select("lang", F.explode("named").alias("o")).select("lang", "o.*"))
     found = saved(reduce(DataFrame.unionByName, found))
     return _ranked(_scored(found, totals), top)
@@ -135,6 +135,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return planes.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int32)
 
 
+def _packed_wide(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**64, byte by byte, the low bytes first."""
+    return _pack(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked_wide(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return planes.reshape(8, -1).T.copy().view("<u8").reshape(-1)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """The blocks, with the places of all their words."""
 
@@ -175,21 +185,84 @@ def _blocks(docs: DataFrame) -> DataFrame:
     ).mapInArrow(run, _COLUMNS)
 
 
-def _counted(relation: DataFrame, k: int) -> DataFrame:
-    """(h, block, c): how often each phrase of k words, by hash, stands in each block."""
-    schema = pa.schema([(c, pa.int64()) for c in ("h", "block", "c")])
+#: What a part answers a block: bits of the phrases that are frequent and of those that the block is
+#: to name, in the order of their hashes; and the occurrences of the latter.
+_ANSWER = ("part", "stays", "named", "f")
+
+
+def _deal(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where in the ascending hashes each part begins, and the end: a part has equal first bits."""
+    first = np.arange(1 << bits, dtype=np.uint64) << U64(64 - bits)
+    return np.append(np.searchsorted(h, first), len(h))
+
+
+def _counted(relation: DataFrame, k: int, bits: int) -> DataFrame:
+    """(part, block, h, c): how often each phrase of k words, by hash, stands in each block."""
+    schema = pa.schema(
+        [("part", pa.int32()), ("block", pa.int64()), ("h", pa.binary()), ("c", pa.binary())]
+    )
 
     def run(batches):
         for batch in batches:
             for i, block in enumerate(batch["block"].to_pylist()):
                 h, c = np.unique(_Block.of(batch, i).hashes(k), return_counts=True)
-                yield table(schema, signed(h), np.full(len(h), block), c)
+                at = _deal(h, bits)
+                parts = np.flatnonzero(np.diff(at))
+                own = [slice(at[p], at[p + 1]) for p in parts]
+                lists = [_packed_wide(np.diff(h[o], prepend=U64(0))) for o in own]
+                counts = [_packed_wide(c[o]) for o in own]
+                yield table(schema, parts, np.full(len(parts), block), lists, counts)
 
     columns = relation.select("lang", "block", "words", "ids", "places")
-    return columns.mapInArrow(run, "h long, block long, c long")
+    return columns.mapInArrow(run, "part int, block long, h binary, c binary")
 
 
-def _extended(relation: DataFrame, stays: DataFrame, k: int) -> DataFrame:
+def _answers(counted: DataFrame, least: int) -> DataFrame:
+    """(block, part, stays, named, f): the answers to the lists that have frequent phrases. The rows
+    of a part are in one partition."""
+    schema = pa.schema(
+        [("block", pa.int64()), ("part", pa.int32())] + [(c, pa.binary()) for c in _ANSWER[1:]]
+    )
+
+    def answered(part: int, lists: list[tuple[int, bytes, bytes]]):
+        lists.sort(key=lambda x: x[0])
+        own = [np.cumsum(_unpacked_wide(h), dtype=np.uint64) for _, h, _ in lists]
+        end = np.cumsum([len(x) for x in own])
+        h, c = np.concatenate(own), np.concatenate([_unpacked_wide(c) for _, _, c in lists])
+        # Stable, so that the first row of a phrase is that of its first block.
+        order = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+        f = np.add.reduceat(c[order].astype(np.int64), begin)
+        stays, named = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        stays[order] = np.repeat(f >= least, np.diff(begin, append=len(h)))
+        first = order[begin]
+        named[first] = f >= least
+        total = np.zeros(len(h), np.int64)
+        total[first] = f
+        for (block, _, _), low, high in zip(lists, [0, *end[:-1]], end, strict=True):
+            here = stays[low:high], named[low:high]
+            if here[0].any():
+                told = [np.packbits(x).tobytes() for x in here]
+                often = _packed_wide(total[low:high][here[1]])
+                yield table(schema, [block], [part], [told[0]], [told[1]], [often])
+
+    def run(batches):
+        part, lists = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part and lists:
+                    yield from answered(part, lists)
+                    lists = []
+                part = row["part"]
+                lists.append((row["block"], row["h"], row["c"]))
+        if lists:
+            yield from answered(part, lists)
+
+    columns = "block long, part int, stays binary, named binary, f binary"
+    return counted.sortWithinPartitions("part").mapInArrow(run, columns)
+
+
+def _extended(relation: DataFrame, answers: DataFrame, k: int, bits: int) -> DataFrame:
     """The blocks with the places of phrases of k + 1 words whose parts of k words are frequent;
     and the frequent phrases of k words that the block is to name, as text with their counts."""
 
@@ -197,26 +270,34 @@ def _extended(relation: DataFrame, stays: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i, number in enumerate(batch["block"].to_pylist()):
                 block = _Block.of(batch, i)
-                h = block.hashes(k)
-                kept = np.isin(h, batch["stays"][i].values.to_numpy().view(np.uint64))
-                place = block.place[kept]
-                named = _named(block, h[kept], place, batch["named"][i].values, k)
+                own, first, which = np.unique(block.hashes(k), return_index=True, return_inverse=True)
+                at = _deal(own, bits)
+                stays, named, f = np.zeros(len(own), bool), [], []
+                for answer in sorted(batch["answers"][i].as_py(), key=lambda x: x["part"]):
+                    low, high = at[answer["part"]], at[answer["part"] + 1]
+                    stays[low:high] = _bits(answer["stays"], high - low)
+                    named.append(low + np.flatnonzero(_bits(answer["named"], high - low)))
+                    f.append(_unpacked_wide(answer["f"]))
+                grams = block.place[first[np.concatenate(named)]]
+                told = _named(block, grams, np.concatenate(f), k)
+                place = block.place[stays[which]]
                 # Merge-join: k words here and k words at the next place are k + 1 words.
                 here = place[:-1][np.diff(place) == 1]
-                yield _only(block, here[: None if k < LONGEST else 0], k + 1).row(number, 0, named)
+                yield _only(block, here[: None if k < LONGEST else 0], k + 1).row(number, 0, told)
 
     columns = relation.select("lang", "block", "words", "ids", "places")
-    return columns.join(stays, "block").mapInArrow(run, _COLUMNS)
+    return columns.join(answers, "block").mapInArrow(run, _COLUMNS)
+
+
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def _named(block: _Block, h: np.ndarray, place: np.ndarray, wanted: pa.Array, k: int) -> list[dict]:
-    own, first = np.unique(h, return_index=True)
-    hashes, counts = (wanted.field(c).to_numpy() for c in ("h", "f"))
-    at = place[first[np.searchsorted(own, hashes.view(np.uint64))]]
-    grams = np.stack([block.at[at + j] for j in range(k)], axis=1).tolist()
+def _named(block: _Block, place: np.ndarray, f: np.ndarray, k: int) -> list[dict]:
+    grams = np.stack([block.at[place + j] for j in range(k)], axis=1).tolist()
     return [
-        {"phrase": b" ".join(block.words[w] for w in gram).decode(), "size": k, "f": f}
-        for gram, f in zip(grams, counts.tolist(), strict=True)
+        {"phrase": b" ".join(block.words[w] for w in gram).decode(), "size": k, "f": n}
+        for gram, n in zip(grams, f.tolist(), strict=True)
     ]
 
 

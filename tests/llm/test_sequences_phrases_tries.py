@@ -199,6 +199,26 @@ def test_collocations_with_words_that_name_their_language(spark):
     assert len({lang for lang, *_ in want}) == 5
 
 
+def test_blocks_and_parts_exchange_lists_and_bits(spark, monkeypatch):
+    """A block and a part meet in one row each way, however many phrases they share."""
+    monkeypatch.setattr(op12_collocations, "BLOCK", 300)
+    monkeypatch.setattr(op12_collocations, "HELD", 600)
+    rng = random.Random(4)
+    rows = [("en", " ".join(f"w{int(rng.expovariate(0.03))}" for _ in range(60))) for _ in range(80)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    relation = op12_collocations._blocks(docs).cache()
+    counted = op12_collocations._counted(relation, 1, 2).cache()
+    pairs = counted.select("block", "part").collect()
+    assert len(pairs) == len(set(pairs)) <= 4 * relation.count()
+    answers = op12_collocations._answers(counted.repartition("part"), 6).collect()
+    assert {(r["block"], r["part"]) for r in answers} <= set(map(tuple, pairs))
+    assert len(answers) == len({(r["block"], r["part"]) for r in answers})
+    count = Counter(w for _, text in rows for w in text.split())
+    told = [n for r in answers for n in op12_collocations._unpacked_wide(r["f"]).tolist()]
+    assert sorted(told) == sorted(n for n in count.values() if n >= 6)
+    assert sum(len(r["f"]) > 0 for r in answers) > 4
+
+
 def test_scores_beyond_64_bits(spark):
     found = [("a", 10**12, 1), ("b", 10**12, 1), ("a b", 10**12 - 1, 2)]
     rows = [("en", p, s, f) for p, f, s in found]
